@@ -1,0 +1,36 @@
+"""Global ordering helpers that stay distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ephysframe.session import cut_lineage
+
+
+def with_row_index(df: DataFrame, order: list[Column], name: str = "index", num_partitions: int | None = None) -> DataFrame:
+    """Add a 0-based row number following ``order`` without a one-task window.
+
+    The rows are range-partitioned and sorted by ``order``, checkpointed so
+    the partition contents are fixed, and each row's number is the number of
+    rows in earlier partitions (a table with one row per partition, summed
+    in a tiny window and broadcast) plus its position inside its partition
+    (the low 33 bits of ``monotonically_increasing_id``). ``order`` must be a
+    total order (end it with a unique key) for the numbers to be stable.
+    """
+    staged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    staged = cut_lineage(staged.sortWithinPartitions(*order))
+    staged = staged.withColumns({"_pid": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()})
+    sizes = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(
+        "_pid",
+        F.coalesce(
+            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_off"),
+    )
+    local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (
+        staged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
+        .withColumn(name, (F.col("_off") + local).cast("long"))
+        .drop("_pid", "_mono", "_off")
+    )
