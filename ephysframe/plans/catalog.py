@@ -80,3 +80,141 @@ def q_unit_locations_v1(c: Ctx) -> DataFrame:
     gate = dict(roles.SESSION_GATE, **roles.UNIT_GATE_V1)
     out = gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
     return out.withColumn("unit_ids", joined("unit_ids"))
+
+
+# ------------------------------------------------------------- coverage ------
+
+COUNT_COLUMNS = ["session_id", "location", "location_count", "structure", "subject_id", "date", "unit_ids",
+                 "implant_location", "electrode_group_name"]
+
+
+@query("unit_counts")
+def q_unit_counts(c: Ctx) -> DataFrame:
+    """Per (session, location) unit counts over all good units."""
+    return coverage.unit_counts(c.good).withColumn("unit_ids", joined("unit_ids")).select(*COUNT_COLUMNS)
+
+
+@query("units_at_location_starts_with")
+def q_units_prefix(c: Ctx) -> DataFrame:
+    """C5 starts_with, left hemisphere, sorted by date and location."""
+    return c.matched(AREA_PREFIX, "starts_with", ordered=True).select(*GOOD_COLUMNS)
+
+
+@query("units_at_location_contains")
+def q_units_regex(c: Ctx) -> DataFrame:
+    """C5 contains (regex), both hemispheres."""
+    return c.matched(AREA_REGEX, "contains", include_right_hemisphere=True).select(*GOOD_COLUMNS)
+
+
+@query("units_at_location_case_insensitive")
+def q_units_ci(c: Ctx) -> DataFrame:
+    """C5 starts_with, case-insensitive: each term is lowered."""
+    return c.matched(AREA_PREFIX.lower(), "starts_with", case_sensitive=False).select(*GOOD_COLUMNS)
+
+
+@query("units_at_location_children_of")
+def q_units_children(c: Ctx) -> DataFrame:
+    """C5 children_of: exact match on the in-volume descendants of two regions."""
+    return c.matched(AREA_REGIONS, "children_of").select(*GOOD_COLUMNS)
+
+
+@query("units_at_location_any")
+def q_units_any(c: Ctx) -> DataFrame:
+    """C5 with no term: every left-hemisphere unit with a location."""
+    return c.matched("", "starts_with").select(*GOOD_COLUMNS)
+
+
+@query("location_breakdown")
+def q_location_breakdown(c: Ctx) -> DataFrame:
+    """Units per subject × location for the prefix search, with totals."""
+    return coverage.location_breakdown(coverage.unit_counts(c.matched(AREA_PREFIX)), "subject_id")
+
+
+@query("co_recorded_structures")
+def q_co_recorded(c: Ctx) -> DataFrame:
+    """Top-15 structures co-recorded with the children of NATION_1."""
+    return coverage.co_recorded_structures(c.good, c.matched(AREA_NATION, "children_of"), k=15)
+
+
+@query("location_summary")
+def q_location_summary(c: Ctx) -> DataFrame:
+    """Per-location table with queried rows first and a row index."""
+    return coverage.location_summary(c.good, c.matched(AREA_PREFIX))
+
+
+@query("implant_value_counts")
+def q_implant_value_counts(c: Ctx) -> DataFrame:
+    """Implant locations of the older grouping's prefix search."""
+    from ephysframe.plans import roles
+
+    gate = dict(roles.SESSION_GATE, **roles.UNIT_GATE_V1)
+    groups = gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
+    found = groups.where(F.col("location").startswith(AREA_PREFIX))
+    return coverage.implant_value_counts(found)
+
+
+PROBE_COLUMNS = ["session_id", "electrode_group_name", "implant_location", "ccf_ml", "ccf_ap", "ccf_dv", "location",
+                 "structure", "is_right_hemisphere", "color_hex_triplet", "color_hex_int", "color_hex_str"]
+
+
+def _probe_locs(c: Ctx, area: str, mode: str, **kw) -> DataFrame:
+    return coverage.probe_locations(
+        c.electrodes, c.electrode_groups, c.matched(area, mode), c.tree, c.midline, area, mode, atlas=c.atlas, **kw
+    )
+
+
+def _probe_out(df: DataFrame) -> DataFrame:
+    rgb = [F.round(F.col("color_rgb")[i], 9).alias(f"color_{ch}") for i, ch in enumerate("rgb")]
+    return df.select(*PROBE_COLUMNS, *rgb)
+
+
+@query("probe_locations_children_of")
+def q_probe_locations_children(c: Ctx) -> DataFrame:
+    """Electrode positions of probes reaching NATION_1's children, at unit positions."""
+    return _probe_out(_probe_locs(c, AREA_NATION, "children_of"))
+
+
+@query("probe_locations_contains_whole_probe")
+def q_probe_locations_regex(c: Ctx) -> DataFrame:
+    """Whole probes hitting both regex terms, filtered by implant and probe letter."""
+    return _probe_out(
+        _probe_locs(c, "NATION_1, Supplier#00000001", "contains", whole_probe=True,
+                    filter_implant_location="^s", filter_probe_letter="b")
+    )
+
+
+@query("missed_insertions")
+def q_missed(c: Ctx) -> DataFrame:
+    """Small-implant probe B tracks that never reached NATION_1's children."""
+    kw = {"filter_implant_location": "small", "filter_probe_letter": "B", "whole_probe": True}
+    hit = _probe_locs(c, AREA_NATION, "children_of", **kw)
+    everything = _probe_locs(c, "", "children_of", **kw)
+    return _probe_out(coverage.missed_insertions(everything, hit))
+
+
+@query("insertion_hit_rate")
+def q_hit_rate(c: Ctx) -> DataFrame:
+    """C11: per probe × hole hit rate for NATION_1's children."""
+    matched = c.matched(AREA_NATION, "children_of")
+    probe_locs = _probe_locs(c, AREA_NATION, "children_of")
+    out = coverage.insertion_hit_rate(matched, probe_locs, c.good)
+    return out.orderBy(F.desc("total_hits_this_implant"), F.desc("hits"), F.desc("rate"))
+
+
+@query("overlay_regions")
+def q_overlay(c: Ctx) -> DataFrame:
+    """C20: areas drawn over the atlas for the NATION_1 search."""
+    return coverage.overlay_regions(c.matched(AREA_NATION, "children_of"), AREA_NATION)
+
+
+@query("overlay_regions_single")
+def q_overlay_single(c: Ctx) -> DataFrame:
+    """C20 with exactly one matched location: the location itself."""
+    area = "Supplier#000000011"
+    return coverage.overlay_regions(c.matched(area, "starts_with", include_right_hemisphere=True), area)
+
+
+@query("pick_structure")
+def q_pick_structure(c: Ctx) -> DataFrame:
+    """Seeded pick of one left-hemisphere structure (Spark hash: no SQL twin)."""
+    return coverage.pick_structure(c.good, seed=7)

@@ -131,3 +131,219 @@ WHERE u.isi_violations_count < CAST(8.0 AS DOUBLE) AND u.amplitude_cutoff < CAST
   AND u.presence_ratio > CAST(10.0 AS DOUBLE)
 GROUP BY u.session_id, u.location
 """)
+
+
+def children_cte(terms: list[str]) -> str:
+    """In-volume frontier descendants (term_idx, acronym) of each term, as SQL.
+
+    Left-hemisphere labels; a labelled node under the root counts when no
+    labelled proper ancestor sits at or below the root.
+    """
+    roots = " UNION ALL ".join(
+        f"SELECT {i} AS term_idx, id AS root_id FROM tree WHERE acronym = '{t}'" for i, t in enumerate(terms)
+    )
+    return f"""
+vol AS (SELECT DISTINCT structure_id AS id FROM voxels WHERE ml < (SELECT n_ml // 2 FROM midline)),
+pn AS (SELECT id, CAST(unnest(parts) AS BIGINT) AS node, unnest(range(len(parts))) AS pos
+       FROM (SELECT id, list_filter(string_split(structure_id_path, '/'), lambda x: x <> '') AS parts FROM tree)),
+lab AS (SELECT * FROM pn WHERE id IN (SELECT id FROM vol)),
+lastv AS (SELECT id, max(pos) AS lp FROM lab WHERE node IN (SELECT id FROM vol) AND node <> id GROUP BY id),
+roots AS ({roots}),
+children AS (
+  SELECT r.term_idx, t.acronym FROM roots r JOIN lab ON lab.node = r.root_id LEFT JOIN lastv ON lastv.id = lab.id
+  JOIN tree t ON t.id = lab.id WHERE lastv.lp IS NULL OR lab.pos > lastv.lp)"""
+
+
+def with_children(terms: list[str], body: str, matched_where: str | None = None) -> str:
+    extra = ""
+    if matched_where is not None:
+        extra = f",\nmatched AS (SELECT * FROM good WHERE {matched_where})"
+    return "WITH " + ROLES.strip() + "," + children_cte(terms) + extra + "\n" + body
+
+
+GOOD_COLS = """unit_id, session_id, subject_id, date, electrode_group_name, implant_location, location, structure,
+       is_right_hemisphere, ccf_ap, ccf_dv, ccf_ml, id, color_hex_triplet, color_hex_int"""
+PREFIX = "Supplier#0000000"
+LEFT = "is_right_hemisphere = false"
+NATION_MATCH = f"{LEFT} AND location IN (SELECT acronym FROM children)"
+
+SQL["unit_counts"] = with_roles("""
+SELECT session_id, location, count(location) AS location_count,
+       arg_min(structure, (unit_id, electrode_group_name)) AS structure,
+       arg_min(subject_id, (unit_id, electrode_group_name)) AS subject_id,
+       arg_min(date, (unit_id, electrode_group_name)) AS date,
+       string_agg(unit_id, ',' ORDER BY unit_id) AS unit_ids,
+       arg_min(implant_location, (unit_id, electrode_group_name)) AS implant_location,
+       arg_min(electrode_group_name, (unit_id, electrode_group_name)) AS electrode_group_name
+FROM good GROUP BY session_id, location
+""")
+
+SQL["units_at_location_starts_with"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}') ORDER BY date, location
+""")
+
+SQL["units_at_location_contains"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good WHERE regexp_matches(location, '#00000001[0-9]$')
+""")
+
+SQL["units_at_location_case_insensitive"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good WHERE {LEFT} AND starts_with(lower(location), lower('{PREFIX}'))
+""")
+
+SQL["units_at_location_children_of"] = with_children(["AMERICA", "ASIA"], f"""
+SELECT {GOOD_COLS} FROM good WHERE {LEFT} AND location IN (SELECT acronym FROM children)
+""")
+
+SQL["units_at_location_any"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good WHERE {LEFT} AND location IS NOT NULL
+""")
+
+SQL["location_breakdown"] = with_roles(f"""
+, counts AS (
+  SELECT session_id, location, count(location) AS location_count,
+         arg_min(subject_id, (unit_id, electrode_group_name)) AS subject_id
+  FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}') GROUP BY session_id, location)
+SELECT subject_id, location, CAST(sum(location_count) AS BIGINT) AS units,
+       (SELECT CAST(sum(location_count) AS BIGINT) FROM counts) AS total_units,
+       (SELECT count(DISTINCT session_id) FROM counts) AS total_sessions
+FROM counts GROUP BY subject_id, location
+""".replace("\n, counts AS", ",\ncounts AS", 1)).replace(")\n,\ncounts AS", "),\ncounts AS")
+
+SQL["co_recorded_structures"] = with_children(["NATION_1"], """
+, other AS (
+  SELECT * FROM good
+  WHERE session_id IN (SELECT session_id FROM matched) AND unit_id IS NOT NULL
+    AND unit_id NOT IN (SELECT unit_id FROM matched WHERE unit_id IS NOT NULL)),
+per AS (SELECT structure, session_id, count(unit_id) AS unit_count FROM other GROUP BY structure, session_id),
+top AS (SELECT structure, CAST(sum(unit_count) AS BIGINT) AS total_structure_count FROM per GROUP BY structure
+        ORDER BY total_structure_count DESC, structure ASC NULLS LAST LIMIT 15)
+SELECT per.structure, per.session_id, per.unit_count, top.total_structure_count
+FROM per JOIN top ON per.structure IS NOT DISTINCT FROM top.structure
+""", NATION_MATCH)
+
+SQL["location_summary"] = with_roles(f"""
+, matched AS (SELECT * FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}')),
+s AS (
+  SELECT location,
+         count(DISTINCT unit_id) + max(CASE WHEN unit_id IS NULL THEN 1 ELSE 0 END) AS units,
+         count(DISTINCT session_id) + max(CASE WHEN session_id IS NULL THEN 1 ELSE 0 END) AS sessions,
+         count(DISTINCT subject_id) + max(CASE WHEN subject_id IS NULL THEN 1 ELSE 0 END) AS subjects,
+         arg_min(structure, (unit_id, session_id)) AS structure,
+         arg_min(safe_name, (unit_id, session_id)) AS description
+  FROM good WHERE {LEFT} GROUP BY location),
+q AS (SELECT location, min(color_hex_triplet) AS colour FROM matched GROUP BY location)
+SELECT s.*, q.colour IS NOT NULL AS selected,
+       CASE WHEN q.colour IS NOT NULL THEN '#' || q.colour END AS highlight,
+       row_number() OVER (ORDER BY (q.colour IS NOT NULL) DESC, s.units DESC, s.location ASC NULLS LAST) - 1 AS index
+FROM s LEFT JOIN q ON q.location = s.location
+""").replace("good)\n, matched", "good),\nmatched")
+
+SQL["implant_value_counts"] = with_roles(f"""
+, v1 AS (
+  SELECT u.session_id, u.location, arg_min(g.location, (u.unit_id, u.electrode_group_name)) AS implant_location
+  FROM good_sessions s
+  JOIN units u ON u.session_id = s.session_id
+  JOIN electrode_groups g ON g.session_id = u.session_id AND g.name = u.electrode_group_name
+  WHERE u.isi_violations_count < CAST(8.0 AS DOUBLE) AND u.amplitude_cutoff < CAST(0.08 AS DOUBLE)
+    AND u.presence_ratio > CAST(10.0 AS DOUBLE)
+  GROUP BY u.session_id, u.location)
+SELECT implant_location, count(*) AS count FROM v1 WHERE starts_with(location, '{PREFIX}') GROUP BY implant_location
+""").replace("good)\n, v1", "good),\nv1")
+
+PROBE_SELECT = """
+SELECT e.session_id, e.electrode_group_name, g.location AS implant_location, e.ccf_ml, e.ccf_ap, e.ccf_dv,
+       e.location, e.structure, e.is_right_hemisphere, t.color_hex_triplet, t.color_hex_int, t.color_hex_str,
+       round(t.color_r, 9) AS color_r, round(t.color_g, 9) AS color_g, round(t.color_b, 9) AS color_b"""
+
+
+def probe_sql(hits_sql: str, n_terms: int, join_on: list[str], filters: str = "TRUE", term_filter: bool = True) -> str:
+    """Electrodes (left) of probes hitting every term, coinciding with a matched unit."""
+    cond = " AND ".join(f"m.{k} = e.{k}" for k in join_on)
+    probe_filter = ""
+    if term_filter:
+        probe_filter = f"""AND (e.session_id, e.electrode_group_name) IN (
+    SELECT session_id, electrode_group_name FROM vals JOIN hits USING (value)
+    GROUP BY session_id, electrode_group_name HAVING count(DISTINCT term_idx) = {n_terms})"""
+    return f""",
+el AS (
+  SELECT session_id, group_name AS electrode_group_name, x AS ccf_ap, y AS ccf_dv, z AS ccf_ml, location, structure,
+         z > (SELECT m FROM midline) AS is_right_hemisphere
+  FROM electrodes WHERE NOT (z > (SELECT m FROM midline))),
+vals AS (SELECT session_id, electrode_group_name, v AS value FROM el, unnest([location, structure]) AS t(v)
+         WHERE v IS NOT NULL),
+dv AS (SELECT DISTINCT value FROM vals),
+hits AS ({hits_sql}),
+pl AS ({PROBE_SELECT}
+  FROM el e
+  JOIN electrode_groups g ON g.session_id = e.session_id AND g.name = e.electrode_group_name
+  JOIN tree t ON t.acronym = e.location
+  WHERE EXISTS (SELECT 1 FROM matched m WHERE {cond})
+    AND e.ccf_ap > -1 AND e.ccf_dv > -1 AND e.ccf_ml > -1 AND {filters}
+    {probe_filter})"""
+
+
+CHILD_HITS = "SELECT DISTINCT c.term_idx, dv.value FROM dv JOIN children c ON contains(dv.value, c.acronym)"
+POS_KEYS = ["session_id", "electrode_group_name", "ccf_ap", "ccf_dv", "ccf_ml"]
+PROBE_KEYS = ["session_id", "electrode_group_name"]
+
+SQL["probe_locations_children_of"] = with_children(
+    ["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + "\nSELECT * FROM pl", NATION_MATCH
+)
+
+SQL["probe_locations_contains_whole_probe"] = with_roles(
+    """
+, matched AS (SELECT * FROM good WHERE is_right_hemisphere = false AND
+   (regexp_matches(location, 'NATION_1') OR regexp_matches(location, 'Supplier#00000001')))"""
+    + probe_sql(
+        "SELECT 0 AS term_idx, value FROM dv WHERE regexp_matches(value, 'NATION_1') UNION ALL "
+        "SELECT 1 AS term_idx, value FROM dv WHERE regexp_matches(value, 'Supplier#00000001')",
+        2, PROBE_KEYS, "regexp_matches(g.location, '^s') AND e.electrode_group_name = 'probeB'",
+    )
+    + "\nSELECT * FROM pl"
+).replace("good)\n, matched", "good),\nmatched")
+
+SQL["missed_insertions"] = with_children(["NATION_1"], """
+, everything AS (SELECT * FROM good WHERE is_right_hemisphere = false AND location IS NOT NULL)"""
+    + probe_sql("SELECT 0 AS term_idx, value FROM dv", 0, PROBE_KEYS,
+                "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False)
+      .replace("FROM matched m", "FROM everything m")
+    + """,
+hit_pl AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) IN (
+    SELECT session_id, electrode_group_name FROM vals JOIN (""" + CHILD_HITS + """) h USING (value)
+    GROUP BY session_id, electrode_group_name HAVING count(DISTINCT term_idx) = 1)
+  AND (session_id, electrode_group_name) IN (SELECT session_id, electrode_group_name FROM matched))
+SELECT * FROM pl WHERE (session_id, electrode_group_name) NOT IN (SELECT session_id, electrode_group_name FROM hit_pl)
+""", NATION_MATCH).replace("children)\n, everything", "children),\neverything")
+
+SQL["insertion_hit_rate"] = with_children(["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """,
+ins AS (
+  SELECT *, CAST(session_id AS VARCHAR) || '_' || electrode_group_name || '_' || implant_location AS insertion_id
+  FROM matched WHERE (session_id, electrode_group_name) IN (SELECT session_id, electrode_group_name FROM pl)),
+tot AS (SELECT electrode_group_name, implant_location,
+               count(DISTINCT session_id) + max(CASE WHEN session_id IS NULL THEN 1 ELSE 0 END) AS total
+        FROM good GROUP BY electrode_group_name, implant_location),
+g AS (
+  SELECT i.electrode_group_name, i.implant_location,
+         count(DISTINCT insertion_id) + max(CASE WHEN insertion_id IS NULL THEN 1 ELSE 0 END) AS hits,
+         min(total) AS total
+  FROM ins i JOIN tot ON tot.electrode_group_name = i.electrode_group_name AND tot.implant_location = i.implant_location
+  WHERE total > 0 GROUP BY i.electrode_group_name, i.implant_location),
+r AS (
+  SELECT string_split(implant_location, ' ')[1] AS implant, string_split(implant_location, ' ')[2] AS hole,
+         regexp_replace(electrode_group_name, 'probe', '') AS probe, hits, total,
+         floor((200 * hits + total) / (2 * total)) / 100.0 AS rate
+  FROM g)
+SELECT *, CAST(sum(hits) OVER (PARTITION BY implant) AS BIGINT) AS total_hits_this_implant FROM r WHERE rate IS NOT NULL
+""", NATION_MATCH)
+
+SQL["overlay_regions"] = with_children(["NATION_1"], """
+SELECT DISTINCT CASE WHEN (SELECT count(DISTINCT location) + max(CASE WHEN location IS NULL THEN 1 ELSE 0 END)
+                           FROM matched) > 1 THEN structure ELSE location END AS area
+FROM matched
+""", NATION_MATCH)
+
+SQL["overlay_regions_single"] = with_roles("""
+, matched AS (SELECT * FROM good WHERE starts_with(location, 'Supplier#000000011'))
+SELECT DISTINCT CASE WHEN (SELECT count(DISTINCT location) FROM matched) > 1 THEN structure ELSE location END AS area
+FROM matched
+""").replace("good)\n, matched", "good),\nmatched")
