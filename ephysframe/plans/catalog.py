@@ -218,3 +218,159 @@ def q_overlay_single(c: Ctx) -> DataFrame:
 def q_pick_structure(c: Ctx) -> DataFrame:
     """Seeded pick of one left-hemisphere structure (Spark hash: no SQL twin)."""
     return coverage.pick_structure(c.good, seed=7)
+
+
+# ------------------------------------------------------------ behaviour ------
+
+@query("session_mean_dprime")
+def q_session_mean_dprime(c: Ctx) -> DataFrame:
+    """Per-session mean d-prime, session number and days since first."""
+    from ephysframe.operators import behavior
+    from ephysframe.plans import roles
+
+    out = behavior.session_mean_dprime(roles.dprime_blocks(c.spark, c.d))
+    return out.withColumn("mean_dprime", F.round("mean_dprime", 6))
+
+
+@query("dprime_over_time")
+def q_dprime_over_time(c: Ctx) -> DataFrame:
+    """C27 over time for a typed list of subject ids."""
+    from ephysframe.operators import behavior
+    from ephysframe.plans import roles
+
+    out = behavior.dprime_over_time(roles.dprime_blocks(c.spark, c.d), "1, 2 3  4,17")
+    return out.withColumn("mean_dprime", F.round("mean_dprime", 6))
+
+
+# ---------------------------------------------------------- tree, volume ------
+
+@query("structure_tree")
+def q_structure_tree(c: Ctx) -> DataFrame:
+    """The tree with its derived colour columns."""
+    return c.tree.select(
+        "id", "acronym", "parent_structure_id", "depth", "structure_id_path", "color_hex_triplet", "color_hex_int",
+        "color_hex_str", *[F.round(F.col("color_rgb")[i], 9).alias(f"color_{ch}") for i, ch in enumerate("rgb")],
+    )
+
+
+@query("frontier_descendants")
+def q_frontier(c: Ctx) -> DataFrame:
+    """C4: for every internal node, its nearest descendants labelled in the volume."""
+    from ephysframe.operators import tree as T
+
+    roots = c.tree.where(F.col("depth") < 3).select(F.col("id").alias("root_id"))
+    return T.frontier_descendants(c.tree, c.atlas.volume_ids, roots)
+
+
+@query("immediate_children")
+def q_immediate_children(c: Ctx) -> DataFrame:
+    """C4 (one level): direct children of every node."""
+    from ephysframe.operators import tree as T
+
+    return T.immediate_children(c.tree, c.tree.select(F.col("id").alias("root_id")))
+
+
+@query("acronym_lookup")
+def q_acronym_lookup(c: Ctx) -> DataFrame:
+    """C14: acronym → id for every structure named by a unit."""
+    from ephysframe.operators import tree as T
+
+    keys = c.units.select(F.col("structure").alias("acronym")).distinct()
+    return T.acronyms_to_ids(c.tree, keys)
+
+
+@query("id_lookup")
+def q_id_lookup(c: Ctx) -> DataFrame:
+    """C14: id → acronym for every label present in the volume."""
+    from ephysframe.operators import tree as T
+
+    keys = c.voxels.select(F.col("structure_id").alias("id")).distinct()
+    return T.ids_to_acronyms(c.tree, keys)
+
+
+@query("structure_info")
+def q_structure_info(c: Ctx) -> DataFrame:
+    """C14: full tree row of each region, looked up by acronym."""
+    from ephysframe.operators import tree as T
+    from ephysframe.plans import roles
+
+    keys = roles.table(c.spark, c.d, "region").select(F.col("r_name").alias("acronym"))
+    return T.structure_info(c.tree, keys).select(
+        "id", "acronym", "name", "safe_name", "parent_structure_id", "depth", "structure_id_path",
+        "color_hex_triplet", "color_hex_int", "color_hex_str",
+    )
+
+
+@query("volume_acronyms")
+def q_volume_acronyms(c: Ctx) -> DataFrame:
+    """Acronyms of the labels in the left hemisphere of the volume."""
+    from ephysframe.operators import tree as T
+
+    return T.volume_acronyms(c.tree, c.atlas.volume_ids)
+
+
+@query("volume_hemispheres")
+def q_volume_hemispheres(c: Ctx) -> DataFrame:
+    """Midline and voxel count per side."""
+    from ephysframe.operators import volume as V
+
+    left = V.hemisphere(c.voxels, "left").select(F.count(F.lit(1))).scalar()
+    right = V.hemisphere(c.voxels, "right").select(F.count(F.lit(1))).scalar()
+    n_ml = V.axis_size(c.voxels, "ml")
+    return c.spark.range(1).select(
+        n_ml.alias("n_ml"), c.midline.alias("midline_um"), left.alias("left_voxels"), right.alias("right_voxels")
+    )
+
+
+def _mask(c: Ctx, area: str | None, side: str = "left") -> DataFrame:
+    from ephysframe.operators import volume as V
+
+    if not area:
+        return V.region_mask(c.voxels, side=side)
+    ids = c.atlas.children_acronyms([area]).join(c.tree.select("id", "acronym"), "acronym").select("id")
+    return V.region_mask(c.voxels, ids, side=side)
+
+
+@query("region_mask")
+def q_region_mask(c: Ctx) -> DataFrame:
+    """C17: left-hemisphere voxels of EUROPE's in-volume descendants."""
+    return _mask(c, "EUROPE")
+
+
+def _area_rgb(c: Ctx, area: str):
+    row = c.tree.where(F.col("acronym") == area)
+    return tuple(row.select(F.col("color_rgb")[i]).scalar() for i in range(3))
+
+
+def _round_image(df: DataFrame) -> DataFrame:
+    return df.select("y", "x", *[F.round(ch, 9).alias(ch) for ch in ("r", "g", "b", "a")])
+
+
+@query("projection_area")
+def q_projection_area(c: Ctx) -> DataFrame:
+    """Horizontal projection of EUROPE, coloured, alpha by density."""
+    from ephysframe.operators import volume as V
+
+    img = V.project(_mask(c, "EUROPE"), "horizontal", depth_size=V.axis_size(c.voxels, "dv"), rgb=_area_rgb(c, "EUROPE"))
+    return _round_image(img)
+
+
+@query("projection_slab")
+def q_projection_slab(c: Ctx) -> DataFrame:
+    """Coronal projection of the whole left volume through a 10-plane
+    slab, grey, 0/1 alpha, 0..255 colour."""
+    from ephysframe.operators import volume as V
+
+    img = V.project(_mask(c, None), "coronal", depth_size=V.axis_size(c.voxels, "ap"), thickness=10,
+                    with_opacity=False, normalize_rgb=False)
+    return _round_image(img)
+
+
+@query("scatter_density")
+def q_scatter_density(c: Ctx) -> DataFrame:
+    """Horizontal density image of the prefix-matched units."""
+    from ephysframe.operators import volume as V
+
+    shape = (V.axis_size(c.voxels, "ap"), F.floor(V.axis_size(c.voxels, "ml") / 2))
+    img = V.scatter_density(c.matched(AREA_PREFIX), "horizontal", image_shape=shape, opacity_range=(0.7, 1.0))
+    return _round_image(img)

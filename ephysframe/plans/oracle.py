@@ -64,7 +64,7 @@ voxels AS (
   SELECT CAST(round(l_tax * 100) AS INTEGER) AS ml, CAST(round(l_discount * 100) AS INTEGER) AS dv,
          CAST(l_quantity AS INTEGER) AS ap, min(l_suppkey) * 4 + 3 AS structure_id
   FROM lineitem GROUP BY 1, 2, 3),
-midline AS (SELECT 12.5 * (max(ml) + 1) AS m, max(ml) + 1 AS n_ml FROM voxels),
+midline AS (SELECT CAST(12.5 AS DOUBLE) * (max(ml) + 1) AS m, max(ml) + 1 AS n_ml FROM voxels),
 passing AS (
   SELECT session_id FROM performance
   WHERE same_modal_dprime > CAST(10.0 AS DOUBLE) AND cross_modal_dprime > CAST(0.02 AS DOUBLE)
@@ -347,3 +347,128 @@ SQL["overlay_regions_single"] = with_roles("""
 SELECT DISTINCT CASE WHEN (SELECT count(DISTINCT location) FROM matched) > 1 THEN structure ELSE location END AS area
 FROM matched
 """).replace("good)\n, matched", "good),\nmatched")
+
+DPRIME = """
+WITH blocks AS (
+  SELECT event_id AS block_index, user_id AS subject_id, CAST(ts AS DATE) AS date,
+         CAST(user_id AS VARCHAR) || '_' || strftime(CAST(ts AS DATE), '%Y-%m-%d') || '_0' AS session_id,
+         CASE WHEN event_type = 'view' THEN value END AS vis, CASE WHEN event_type = 'click' THEN value END AS aud
+  FROM events),
+b2 AS (SELECT *, (coalesce(vis, 0) + coalesce(aud, 0))
+                 / nullif(CAST(vis IS NOT NULL AS INTEGER) + CAST(aud IS NOT NULL AS INTEGER), 0) AS mean_dprime
+       FROM blocks),
+num AS (SELECT subject_id, session_id,
+               dense_rank() OVER (PARTITION BY subject_id ORDER BY session_id) AS session_number
+        FROM (SELECT DISTINCT subject_id, session_id FROM b2)),
+per AS (SELECT session_id, arg_min(subject_id, block_index) AS subject_id, arg_min(date, block_index) AS date,
+               avg(mean_dprime) AS mean_dprime, count(block_index) AS num_blocks
+        FROM b2 WHERE mean_dprime IS NOT NULL GROUP BY session_id),
+fd AS (SELECT subject_id, min(date) AS first_date FROM per GROUP BY subject_id),
+result AS (
+  SELECT per.session_id, per.subject_id, per.date, num.session_number, round(per.mean_dprime, 6) AS mean_dprime,
+         per.num_blocks, CAST(date_diff('day', fd.first_date, per.date) AS BIGINT) AS days_since_first_session
+  FROM per JOIN num ON num.subject_id = per.subject_id AND num.session_id = per.session_id
+  JOIN fd ON fd.subject_id = per.subject_id)
+"""
+
+SQL["session_mean_dprime"] = DPRIME + "SELECT * FROM result ORDER BY subject_id, date"
+SQL["dprime_over_time"] = DPRIME + """
+SELECT session_id, subject_id, CAST(date AS VARCHAR) AS date, session_number, mean_dprime, num_blocks,
+       days_since_first_session
+FROM result WHERE subject_id IN (1, 2, 3, 4, 17)"""
+
+SQL["structure_tree"] = with_roles("""
+SELECT id, acronym, parent_structure_id, depth, structure_id_path, color_hex_triplet, color_hex_int, color_hex_str,
+       round(color_r, 9) AS color_r, round(color_g, 9) AS color_g, round(color_b, 9) AS color_b
+FROM tree
+""")
+
+
+def frontier_sql(roots_sql: str, body: str) -> str:
+    cte = children_cte(["root"]).replace(
+        "roots AS (SELECT 0 AS term_idx, id AS root_id FROM tree WHERE acronym = 'root')", f"roots AS ({roots_sql})"
+    )
+    return "WITH " + ROLES.strip() + "," + cte + "\n" + body
+
+
+SQL["frontier_descendants"] = frontier_sql("SELECT 0 AS term_idx, id AS root_id FROM tree WHERE depth < 3", """
+SELECT r.root_id, lab.id FROM roots r JOIN lab ON lab.node = r.root_id LEFT JOIN lastv ON lastv.id = lab.id
+WHERE lastv.lp IS NULL OR lab.pos > lastv.lp
+""")
+
+SQL["immediate_children"] = with_roles("""
+SELECT parent_structure_id AS root_id, id FROM tree WHERE parent_structure_id IN (SELECT id FROM tree)
+""")
+
+SQL["acronym_lookup"] = with_roles("""
+SELECT k.acronym, t.id
+FROM (SELECT DISTINCT structure AS acronym FROM units) k
+LEFT JOIN (SELECT acronym, min(id) AS id FROM tree GROUP BY acronym) t ON t.acronym = k.acronym
+""")
+
+SQL["id_lookup"] = with_roles("""
+SELECT k.id, t.acronym
+FROM (SELECT DISTINCT structure_id AS id FROM voxels) k
+LEFT JOIN (SELECT id, min(acronym) AS acronym FROM tree GROUP BY id) t ON t.id = k.id
+""")
+
+SQL["structure_info"] = with_roles("""
+SELECT id, acronym, name, safe_name, parent_structure_id, depth, structure_id_path, color_hex_triplet,
+       color_hex_int, color_hex_str
+FROM tree WHERE acronym IN (SELECT r_name FROM region)
+""")
+
+SQL["volume_acronyms"] = with_children(["root"], """
+SELECT acronym FROM tree WHERE id IN (SELECT id FROM vol)
+""")
+
+SQL["volume_hemispheres"] = with_roles("""
+SELECT n_ml, m AS midline_um,
+       (SELECT count(*) FROM voxels WHERE ml < (SELECT n_ml // 2 FROM midline)) AS left_voxels,
+       (SELECT count(*) FROM voxels WHERE ml >= (SELECT n_ml // 2 FROM midline)) AS right_voxels
+FROM midline
+""")
+
+EUROPE_MASK = """
+SELECT ml, dv, ap, structure_id FROM voxels
+WHERE ml < (SELECT n_ml // 2 FROM midline)
+  AND structure_id IN (SELECT t.id FROM children c JOIN tree t ON t.acronym = c.acronym)"""
+
+SQL["region_mask"] = with_children(["EUROPE"], EUROPE_MASK)
+
+SQL["projection_area"] = with_children(["EUROPE"], f"""
+, mask AS ({EUROPE_MASK}),
+nd AS (SELECT max(dv) + 1 AS n FROM voxels),
+b AS (SELECT greatest(round_even((n // 2) - 0.5 * n, 0), 0) AS lo, least(round_even((n // 2) + 0.5 * n, 0) + 1, n) AS hi
+      FROM nd),
+cnt AS (SELECT ap AS y, ml AS x, count(*) AS n FROM mask, b WHERE dv >= lo AND dv < hi GROUP BY ap, ml),
+rgb AS (SELECT color_r, color_g, color_b FROM tree WHERE acronym = 'EUROPE')
+SELECT y, x, round(color_r, 9) AS r, round(color_g, 9) AS g, round(color_b, 9) AS b,
+       round(CAST(n AS DOUBLE) / (SELECT max(n) FROM cnt), 9) AS a
+FROM cnt, rgb
+""").replace("children)\n, mask", "children),\nmask")
+
+SQL["projection_slab"] = with_roles("""
+, mask AS (SELECT * FROM voxels WHERE ml < (SELECT n_ml // 2 FROM midline) AND structure_id > 0),
+nd AS (SELECT max(ap) + 1 AS n FROM voxels),
+b AS (SELECT greatest(round_even((n // 2) - 0.5 * 10, 0), 0) AS lo, least(round_even((n // 2) + 0.5 * 10, 0) + 1, n) AS hi
+      FROM nd)
+SELECT dv AS y, ml AS x, round(CAST(0.6 AS DOUBLE) * 255, 9) AS r, round(CAST(0.6 AS DOUBLE) * 255, 9) AS g,
+       round(CAST(0.6 AS DOUBLE) * 255, 9) AS b, CAST(1.0 AS DOUBLE) AS a
+FROM mask, b WHERE ap >= lo AND ap < hi GROUP BY dv, ml
+""").replace("good)\n, mask", "good),\nmask")
+
+SQL["scatter_density"] = with_roles(f"""
+, matched AS (SELECT * FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}')),
+shape AS (SELECT (SELECT max(ap) + 1 FROM voxels) AS h, (SELECT n_ml // 2 FROM midline) AS w),
+pts AS (SELECT ccf_ap / 25 AS fy, ccf_ml / 25 AS fx, h, w FROM matched, shape
+        WHERE ccf_ap / 25 >= 0 AND ccf_ap / 25 <= h AND ccf_ml / 25 >= 0 AND ccf_ml / 25 <= w),
+bins AS (SELECT CAST(CASE WHEN fy = h THEN h - 1 ELSE floor(fy) END AS BIGINT) AS y,
+                CAST(CASE WHEN fx = w THEN w - 1 ELSE floor(fx) END AS BIGINT) AS x, count(*) AS n
+         FROM pts GROUP BY 1, 2),
+op AS (SELECT y, x, CAST(0.7 AS DOUBLE) + (CAST(1.0 AS DOUBLE) - CAST(0.7 AS DOUBLE))
+                    * (CAST(n AS DOUBLE) / (SELECT max(n) FROM bins)) AS raw FROM bins),
+al AS (SELECT y, x, least(greatest(CASE WHEN raw <= 0.7 THEN 0.0 ELSE raw END, 0.0), 1.0) AS a FROM op)
+SELECT y, x, CAST(1.0 AS DOUBLE) AS r, CAST(1.0 AS DOUBLE) AS g, CAST(1.0 AS DOUBLE) AS b, round(a, 9) AS a
+FROM al WHERE a > 0
+""").replace("good)\n, matched", "good),\nmatched")
