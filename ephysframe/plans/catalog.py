@@ -374,3 +374,98 @@ def q_scatter_density(c: Ctx) -> DataFrame:
     shape = (V.axis_size(c.voxels, "ap"), F.floor(V.axis_size(c.voxels, "ml") / 2))
     img = V.scatter_density(c.matched(AREA_PREFIX), "horizontal", image_shape=shape, opacity_range=(0.7, 1.0))
     return _round_image(img)
+
+
+# --------------------------------------------------------------- boards ------
+
+@query("find_sessions")
+def q_find_sessions(c: Ctx) -> DataFrame:
+    """Sessions of typed subjects within a date range."""
+    from ephysframe.operators import status
+    from ephysframe.plans import roles
+
+    return status.find_sessions(roles.board_sessions(c.spark, c.d), "7, 13 x, abc, 1001", None, "1996-01-01", "1998-12-31")
+
+
+@query("sorting_status")
+def q_sorting_status(c: Ctx) -> DataFrame:
+    """Sorting board over every ecephys session."""
+    from ephysframe.operators import status
+    from ephysframe.plans import roles
+
+    sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
+    out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
+    return out.withColumns({"jobs_running": joined("jobs_running"), "complete_probe_data": joined("complete_probe_data")})
+
+
+@query("already_triggered")
+def q_already_triggered(c: Ctx) -> DataFrame:
+    """Raw assets with a running trigger job."""
+    from ephysframe.operators import status
+    from ephysframe.plans import roles
+
+    return status.already_triggered(roles.computations(c.spark, c.d))
+
+
+def _upload(c: Ctx, **kw) -> DataFrame:
+    from ephysframe.operators import status
+    from ephysframe.plans import roles
+
+    folders = roles.folders(c.spark, c.d).where(F.col("folder").startswith("DRpilot") & ~F.col("folder").contains("366122"))
+    return status.upload_status(folders, roles.manifests(c.spark, c.d), roles.uploaded(c.spark, c.d), **kw)
+
+
+@query("upload_status")
+def q_upload_status(c: Ctx) -> DataFrame:
+    """Upload board over every folder."""
+    return _upload(c)
+
+
+@query("upload_status_unstarted")
+def q_upload_unstarted(c: Ctx) -> DataFrame:
+    """C24 with the ephys-only and unstarted-only switches."""
+    return _upload(c, ephys_only=True, unstarted_only=True)
+
+
+@query("inventory_apply")
+def q_inventory_apply(c: Ctx) -> DataFrame:
+    """Probe inventory after applying a change batch by serial number."""
+    from ephysframe.operators import inventory
+    from ephysframe.plans import roles
+
+    return inventory.inventory_apply(
+        roles.probes_current(c.spark, c.d), roles.probe_changes(c.spark, c.d), ["changed_at", "event_id"]
+    )
+
+
+@query("qc_manifest")
+def q_qc_manifest(c: Ctx) -> DataFrame:
+    """QC files matched to sessions by name prefix, classified."""
+    from ephysframe.operators import qc
+    from ephysframe.plans import roles
+
+    return qc.qc_manifest(roles.qc_files(c.spark, c.d), roles.qc_sessions(c.spark, c.d))
+
+
+@query("column_filters")
+def q_column_filters(c: Ctx) -> DataFrame:
+    """Like / > / three-state bool filters on the good-unit table."""
+    from ephysframe.operators import status
+
+    spec = {
+        "location": ("like", "#00000002"),
+        "ccf_ap": (">", 100.0),
+        "is_right_hemisphere": ("bool", False),
+        "structure": ("like", "NATION"),
+        "electrode_group_name": ("bool", None),  # three-state switch left open: no filter
+    }
+    return status.column_filters(c.good, spec).select(*GOOD_COLUMNS)
+
+
+@query("session_table")
+def q_session_table(c: Ctx) -> DataFrame:
+    """Every session, id descending."""
+    from ephysframe.operators import status
+    from ephysframe.plans import roles
+
+    return status.session_table(roles.qc_sessions(c.spark, c.d))

@@ -472,3 +472,155 @@ al AS (SELECT y, x, least(greatest(CASE WHEN raw <= 0.7 THEN 0.0 ELSE raw END, 0
 SELECT y, x, CAST(1.0 AS DOUBLE) AS r, CAST(1.0 AS DOUBLE) AS g, CAST(1.0 AS DOUBLE) AS b, round(a, 9) AS a
 FROM al WHERE a > 0
 """).replace("good)\n, matched", "good),\nmatched")
+
+BOARDS = """
+WITH bs AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS subject_id, CAST(o_orderdate AS DATE) AS date,
+         CASE WHEN o_orderstatus = 'P' THEN 'behavior' ELSE 'ecephys' END AS platform
+  FROM orders),
+assets AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS session_id, 'raw_' || o_orderkey AS asset_id, 'raw' AS kind,
+         o_orderdate AS created, false AS failed, CAST(NULL AS VARCHAR[]) AS sorted_probes,
+         CAST(NULL AS VARCHAR) AS output
+  FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL
+  SELECT CAST(l_orderkey AS VARCHAR), concat_ws('_', 'sorted', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'sorted',
+         l_shipdate, l_returnflag = 'A', string_split(substr('ABCDEFG', 1, l_linenumber), ''),
+         'sorted ' || l_linenumber || ' probes'
+  FROM lineitem WHERE l_returnflag <> 'N'),
+comps AS (
+  SELECT concat_ws('_', 'job', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS name,
+         CASE WHEN l_returnflag = 'R' THEN 'trigger' ELSE 'sorting' END AS cap, l_linestatus = 'O' AS in_progress,
+         'raw_' || l_orderkey AS asset,
+         CASE WHEN l_linenumber % 2 = 0 THEN 'input data asset ID' ELSE 'other' END AS pname,
+         CASE WHEN l_linenumber % 2 = 1 THEN 'input_data_asset_ID' ELSE 'x' END AS pkey
+  FROM lineitem)
+"""
+
+SQL["find_sessions"] = BOARDS + """
+SELECT DISTINCT * FROM bs
+WHERE subject_id IN ('7', '13', '1001') AND platform = 'ecephys'
+  AND date >= DATE '1996-01-01' AND date <= DATE '1998-12-31'
+"""
+
+SQL["sorting_status"] = BOARDS + """,
+raw AS (SELECT session_id, arg_max(asset_id, (created, asset_id)) AS raw_asset FROM assets WHERE kind = 'raw'
+        GROUP BY session_id),
+srt AS (SELECT session_id, arg_max({'a': asset_id, 'f': failed, 'p': sorted_probes, 'o': output}, (created, asset_id)) AS s
+        FROM assets WHERE kind = 'sorted' GROUP BY session_id),
+jobs AS (SELECT r.session_id, list_sort(list(c.name)) AS jobs FROM raw r JOIN comps c ON c.asset = r.raw_asset
+         WHERE c.in_progress AND c.cap = 'sorting' GROUP BY r.session_id),
+t AS (
+  SELECT s.id AS session, s.subject_id AS subject, raw.raw_asset, srt.s.a AS sorted_asset, srt.s.f AS failed,
+         srt.s.p AS sorted_probes, srt.s.o AS output,
+         CASE WHEN raw.raw_asset IS NOT NULL THEN coalesce(jobs.jobs, []) END AS jr
+  FROM bs s LEFT JOIN raw ON raw.session_id = s.id LEFT JOIN srt ON srt.session_id = s.id
+  LEFT JOIN jobs ON jobs.session_id = s.id
+  WHERE s.platform = 'ecephys'),
+t2 AS (SELECT *, coalesce(len(jr) > 0, false) AS busy FROM t),
+t3 AS (SELECT *, CASE WHEN busy THEN NULL ELSE NOT failed END AS success FROM t2)
+SELECT subject, session, raw_asset, CASE WHEN raw_asset IS NOT NULL THEN sorted_asset END AS latest_sorted_asset,
+       array_to_string(list_sort(jr), ',') AS jobs_running, success,
+       CASE WHEN busy THEN NULL ELSE array_to_string(list_sort(sorted_probes), ',') END AS complete_probe_data,
+       NOT coalesce(success, false) AS needs_attention,
+       concat_ws(chr(10),
+         CASE WHEN raw_asset IS NOT NULL THEN 'raw asset ID: ' || raw_asset END,
+         CASE WHEN busy THEN 'sorting jobs in progress: ' || array_to_string(jr, ', ')
+              WHEN output IS NULL THEN 'no sorted data found'
+              ELSE 'sorted asset ID: ' || sorted_asset || chr(10) || chr(10) || 'output:' || chr(10) || output END
+       ) AS detail
+FROM t3
+"""
+
+SQL["already_triggered"] = BOARDS + """
+SELECT asset AS asset_id, max(name) AS job_name FROM comps
+WHERE in_progress AND cap = 'trigger' AND (pname = 'input data asset ID' OR pkey = 'input_data_asset_ID')
+GROUP BY asset
+"""
+
+UPLOAD = """
+WITH folders AS (
+  SELECT 'DRpilot_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS folder,
+         o_orderstatus <> 'P' AS has_ephys
+  FROM orders),
+lo AS (
+  SELECT *, 'DRpilot_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS folder
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),
+m1 AS (
+  SELECT folder, arg_min(strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), (l_linenumber, l_partkey, l_suppkey, l_shipdate))
+                   FILTER (WHERE l_returnflag <> 'N') AS dt
+  FROM lo WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY folder),
+m2 AS (
+  SELECT folder,
+         arg_min(strftime(l_shipdate, '%Y-%m-%d'), (l_linenumber, l_partkey, l_suppkey, l_shipdate))
+           FILTER (WHERE l_returnflag <> 'N')
+         || '_' ||
+         arg_min(strftime(l_shipdate, '%H:%M:%S'), (l_linenumber, l_partkey, l_suppkey, l_shipdate))
+           FILTER (WHERE l_returnflag <> 'R') AS dt
+  FROM lo WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY folder),
+dts AS (SELECT folder, replace(replace(dt, ':', '-'), ' ', '_') AS dt FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2)),
+up AS (SELECT DISTINCT 'ecephys_' || o_custkey || '_' || strftime(l_shipdate, '%Y-%m-%d_%H-%M-%S') AS aind_id
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
+b AS (
+  SELECT regexp_extract(f.folder, '(\\d+)', 1) AS subject, f.has_ephys AS ephys,
+         CAST(strptime(regexp_extract(f.folder, '(\\d{8})', 1), '%Y%m%d') AS DATE) AS date, f.folder,
+         d.folder IS NOT NULL AS started, d.dt
+  FROM folders f LEFT JOIN dts d ON d.folder = f.folder
+  WHERE starts_with(f.folder, 'DRpilot') AND NOT contains(f.folder, '366122')),
+c AS (SELECT *, CASE WHEN started THEN 'ecephys_' || subject || '_' || dt END AS aind_id FROM b)
+SELECT subject, ephys, date, folder, started, aind_id,
+       CASE WHEN started THEN aind_id IS NOT NULL AND aind_id IN (SELECT aind_id FROM up) END AS finished
+FROM c
+"""
+
+SQL["upload_status"] = UPLOAD
+SQL["upload_status_unstarted"] = UPLOAD + "WHERE ephys AND NOT started"
+
+SQL["inventory_apply"] = """
+WITH cur AS (
+  SELECT 'P' || c_custkey AS serial_number, CAST(NULL AS DATE) AS date_installed, CAST(NULL AS DATE) AS date_removed,
+         CAST(NULL AS VARCHAR) AS issue, c_mktsegment AS rig, 'nation ' || c_nationkey AS storage_location,
+         c_acctbal < 0 AS is_destroyed
+  FROM customer),
+ch AS (
+  SELECT 'P' || (user_id * 11) AS serial_number, ts, event_id, CAST(ts AS DATE) AS date_installed,
+         CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) END AS date_removed,
+         CASE WHEN event_type = 'error' THEN props ELSE '' END AS issue, event_type AS rig, '' AS storage_location,
+         CASE WHEN event_type = 'error' THEN true END AS is_destroyed
+  FROM events),
+latest AS (
+  SELECT serial_number,
+         arg_max({'di': date_installed, 'dr': date_removed, 'i': issue, 'r': rig, 's': storage_location,
+                  'd': is_destroyed}, (ts, event_id)) AS x
+  FROM ch GROUP BY serial_number)
+SELECT * FROM cur WHERE serial_number NOT IN (SELECT serial_number FROM latest)
+UNION ALL
+SELECT serial_number, x.di, x.dr, nullif(x.i, ''), nullif(x.r, ''), nullif(x.s, ''), coalesce(x.d, false) FROM latest
+"""
+
+SQL["qc_manifest"] = """
+WITH files AS (SELECT regexp_replace(url, '^[a-z]+://', 'qc/') AS path FROM pages),
+f AS (SELECT path, list_filter(string_split(path, '/'), lambda p: p <> '') AS parts FROM files),
+f2 AS (
+  SELECT path, parts[-1] AS name, regexp_extract(parts[-1], '(\\.[^.]*)$', 1) AS suffix,
+         regexp_replace(parts[-1], '\\.[^.]*$', '') AS stem, CAST(len(parts) - 1 AS INTEGER) AS depth
+  FROM f WHERE NOT list_contains(parts, '.vscode')),
+sess AS (SELECT CAST(o_orderkey AS VARCHAR) || '_0' AS session_id FROM orders),
+m AS (
+  SELECT DISTINCT s.session_id, f2.path FROM f2 JOIN sess s
+    ON length(s.session_id) > 2 AND starts_with(f2.name, substr(s.session_id, 1, length(s.session_id) - 2))),
+o AS (
+  SELECT m.session_id, f2.path, f2.name, f2.suffix,
+         CASE WHEN f2.suffix = '.png' THEN 'figure'
+              WHEN f2.suffix = '.json' AND NOT contains(f2.name, 'plotly') THEN 'json' END AS kind,
+         trim(replace(f2.stem, '_', ' ')) AS title, f2.depth
+  FROM m JOIN f2 ON f2.path = m.path)
+SELECT o.*, o.path = min(o.path) OVER (PARTITION BY o.session_id) AS is_first FROM o
+"""
+
+SQL["column_filters"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good
+WHERE contains(location, '#00000002') AND ccf_ap > 100.0 AND is_right_hemisphere = false AND contains(structure, 'NATION')
+""")
+
+SQL["session_table"] = "SELECT CAST(o_orderkey AS VARCHAR) || '_0' AS session_id FROM orders ORDER BY session_id DESC"

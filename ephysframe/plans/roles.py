@@ -198,3 +198,141 @@ def dprime_blocks(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_type") == "view", F.col("value")).alias("vis_intra_dprime"),
         F.when(F.col("event_type") == "click", F.col("value")).alias("aud_intra_dprime"),
     )
+
+
+# ------------------------------------------------------------ boards ---------
+# sessions / assets / computations of the sorting board, folders / manifests
+# / uploads of the upload board, probe inventory and QC files.
+
+def board_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_custkey").cast("string").alias("subject_id"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.when(F.col("o_orderstatus") == "P", "behavior").otherwise("ecephys").alias("platform"),
+    )
+
+
+def assets(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "orders").where(F.col("o_orderstatus") != "P").select(
+        F.col("o_orderkey").cast("string").alias("session_id"),
+        F.concat(F.lit("raw_"), F.col("o_orderkey")).alias("asset_id"),
+        F.lit("raw").alias("kind"),
+        F.col("o_orderdate").alias("created"),
+        F.lit(False).alias("failed"),
+        F.lit(None).cast("array<string>").alias("sorted_probes"),
+        F.lit(None).cast("string").alias("output"),
+    )
+    srt = table(spark, d, "lineitem").where(F.col("l_returnflag") != "N").select(
+        F.col("l_orderkey").cast("string").alias("session_id"),
+        F.concat_ws("_", F.lit("sorted"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("asset_id"),
+        F.lit("sorted").alias("kind"),
+        F.col("l_shipdate").alias("created"),
+        (F.col("l_returnflag") == "A").alias("failed"),
+        F.split(F.substr(F.lit(PROBE_LETTERS), F.lit(1), F.col("l_linenumber")), "").alias("sorted_probes"),
+        F.concat(F.lit("sorted "), F.col("l_linenumber"), F.lit(" probes")).alias("output"),
+    )
+    return raw.unionByName(srt)
+
+
+def computations(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    raw_id = F.concat(F.lit("raw_"), F.col("l_orderkey"))
+    even = F.col("l_linenumber") % 2 == 0
+    return li.select(
+        F.concat_ws("_", F.lit("job"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("name"),
+        F.when(F.col("l_returnflag") == "R", "trigger").otherwise("sorting").alias("capsule_or_pipeline_id"),
+        (F.col("l_linestatus") == "O").alias("in_progress"),
+        F.array(F.struct(raw_id.alias("id"))).alias("data_assets"),
+        F.array(
+            F.struct(
+                F.when(even, "input data asset ID").otherwise("other").alias("name"),
+                F.when(~even, "input_data_asset_ID").otherwise("x").alias("param_name"),
+                raw_id.alias("value"),
+            )
+        ).alias("parameters"),
+    )
+
+
+def folders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(
+        F.concat(F.lit("DRpilot_"), F.col("o_custkey"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"),
+                 F.col("o_orderkey")).alias("folder"),
+        (F.col("o_orderstatus") != "P").alias("has_ephys"),
+    )
+
+
+def _manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where(F.col("o_orderstatus") != "P")
+    li = table(spark, d, "lineitem")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumns(
+        {
+            "folder": F.concat(F.lit("DRpilot_"), F.col("o_custkey"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"),
+                               F.lit("_"), F.col("o_orderkey")),
+            "row": F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"),
+        }
+    )
+
+
+def manifests(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Two header variants: ``acq-datetime``, or ``acq-date`` + ``acq-time``."""
+    lines = _manifest_lines(spark, d)
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    v1 = lines.where(urgent).select(
+        "folder", "row",
+        F.when(F.col("l_returnflag") != "N", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("acq-datetime"),
+    )
+    v2 = lines.where(~urgent).select(
+        "folder", "row",
+        F.when(F.col("l_returnflag") != "N", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("acq-date"),
+        F.when(F.col("l_returnflag") != "R", F.date_format("l_shipdate", "HH:mm:ss")).alias("acq-time"),
+    )
+    return [v1, v2]
+
+
+def uploaded(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem").where(F.col("l_linestatus") == "F")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("ecephys_"), F.col("o_custkey"), F.lit("_"), F.date_format("l_shipdate", "yyyy-MM-dd_HH-mm-ss")).alias(
+            "session_id"
+        )
+    )
+
+
+def probes_current(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    return c.select(
+        F.concat(F.lit("P"), F.col("c_custkey")).alias("serial_number"),
+        F.lit(None).cast("date").alias("date_installed"),
+        F.lit(None).cast("date").alias("date_removed"),
+        F.lit(None).cast("string").alias("issue"),
+        F.col("c_mktsegment").alias("rig"),
+        F.concat(F.lit("nation "), F.col("c_nationkey")).alias("storage_location"),
+        (F.col("c_acctbal") < 0).alias("is_destroyed"),
+    )
+
+
+def probe_changes(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events")
+    day = F.col("ts").cast("date")
+    return ev.select(
+        F.concat(F.lit("P"), F.col("user_id") * 11).alias("serial_number"),
+        F.col("ts").alias("changed_at"),
+        "event_id",
+        day.alias("date_installed"),
+        F.when(F.col("event_type") == "signup", day).alias("date_removed"),
+        F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.lit("")).alias("issue"),
+        F.col("event_type").alias("rig"),
+        F.lit("").alias("storage_location"),
+        F.when(F.col("event_type") == "error", F.lit(True)).alias("is_destroyed"),
+    )
+
+
+def qc_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "qc/").alias("path"))
+
+
+def qc_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("_0")).alias("session_id"))
