@@ -160,7 +160,7 @@ def raw_tree(spark: SparkSession, d: str) -> DataFrame:
     supplier = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     r_id, n_id, s_id = region_id(F.col("r_regionkey")), nation_id(F.col("n_nationkey")), supplier_id(F.col("s_suppkey"))
     parts = [
-        rows(region.limit(1), F.lit(ROOT_ID).cast("bigint"), F.lit("root"), "root", F.lit(None), 0, root_path),
+        rows(spark.range(1), F.lit(ROOT_ID).cast("bigint"), F.lit("root"), "root", F.lit(None), 0, root_path),
         rows(region, r_id, F.col("r_name"), "region", F.lit(ROOT_ID), 1, F.concat(root_path, r_id.cast("string"), F.lit("/"))),
         rows(nation, n_id, F.col("n_name"), "nation", region_id(F.col("n_regionkey")), 2,
              F.concat(root_path, region_id(F.col("n_regionkey")).cast("string"), F.lit("/"), n_id.cast("string"), F.lit("/"))),
