@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ephysframe.functions import first_by, parse_id_list, row_mean
+from ephysframe.operators.ordering import row_number_within
 
 
 def session_mean_dprime(performance: DataFrame) -> DataFrame:
@@ -19,18 +20,18 @@ def session_mean_dprime(performance: DataFrame) -> DataFrame:
     ``days_since_first_session`` counts from the subject's first session
     that still has a score.
 
-    The rank runs over distinct (subject, session) pairs, not over blocks,
-    and the first-day lookup is a grouped aggregate joined back, so no
-    window ever holds a subject's blocks.
+    The rank is a distributed row number over distinct (subject, session)
+    pairs (see ``ordering.row_number_within``) and the first-day lookup is
+    a grouped aggregate joined back, so no task ever holds all of one
+    subject's rows.
     """
     blocks = performance.withColumn("mean_dprime", row_mean("vis_intra_dprime", "aud_intra_dprime"))
-    numbering = (
-        blocks.select("subject_id", "session_id")
-        .distinct()
-        .withColumn(
-            "session_number",
-            F.dense_rank().over(Window.partitionBy("subject_id").orderBy("session_id")).cast("bigint"),
-        )
+    numbering = row_number_within(
+        blocks.select("subject_id", "session_id").distinct(),
+        [F.asc_nulls_last("session_id")],
+        ["subject_id"],
+        name="session_number",
+        start=1,
     )
     per_session = (
         blocks.where(F.col("mean_dprime").isNotNull())

@@ -45,19 +45,28 @@ class Atlas:
         return root_ids.join(desc, "root_id").join(names, "id").select("term_idx", "acronym")
 
 
-def unit_counts(units: DataFrame) -> DataFrame:
-    """Per (session, location): unit count, unit id list and the first
-    structure / subject / date / implant / probe (first by unit id)."""
+def unit_counts(units: DataFrame, with_unit_ids: bool = False) -> DataFrame:
+    """Per (session, location): unit count and the first structure /
+    subject / date / implant / probe (first by unit id).
+
+    The dashboards also gathered each group's unit ids into a list. That
+    list is opt-in (``with_unit_ids``): a group holding a large share of all
+    units would become one huge row. The ids per group are the rows of
+    ``units`` itself (session_id, location, unit_id), which is how the
+    co-recorded count (C9) consumes them.
+    """
     order = ("unit_id", "electrode_group_name")
-    return units.groupBy("session_id", "location").agg(
+    aggs = [
         F.count("location").alias("location_count"),
         first_by("structure", *order).alias("structure"),
         first_by("subject_id", *order).alias("subject_id"),
         first_by("date", *order).alias("date"),
-        F.array_sort(F.collect_list("unit_id")).alias("unit_ids"),
         first_by("implant_location", *order).alias("implant_location"),
         first_by("electrode_group_name", *order).alias("electrode_group_name"),
-    )
+    ]
+    if with_unit_ids:
+        aggs.append(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
+    return units.groupBy("session_id", "location").agg(*aggs)
 
 
 def _hemisphere_filter(df: DataFrame, include_right_hemisphere: bool) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ephysframe.functions import all_of, list_lacks, n_unique
+from ephysframe.functions import all_of, first_by, list_lacks, n_unique
 
 # The dashboards' default thresholds.
 DPRIME_THRESHOLD = 1.0
@@ -143,6 +143,7 @@ def unit_locations_v1(
     max_isi_count: float = ISI_VIOLATIONS_RATIO_THRESHOLD,
     max_amp_cutoff: float = AMPLITUDE_CUTOFF_THRESHOLD,
     min_presence: float = PRESENCE_RATIO_THRESHOLD,
+    with_unit_ids: bool = False,
 ) -> DataFrame:
     """The older gate and grouping.
 
@@ -166,13 +167,13 @@ def unit_locations_v1(
     )
     joined = sessions.join(u, "session_id").join(groups, ["session_id", "electrode_group_name"])
     order = ("unit_id", "electrode_group_name")
-    from ephysframe.functions import first_by
-
-    return joined.groupBy("session_id", "location").agg(
+    aggs = [
         F.count("location").alias("location_count"),
         first_by("structure", *order).alias("structure"),
         first_by("subject_id", *order).alias("subject_id"),
         first_by("date", *order).alias("date"),
-        F.array_sort(F.collect_list("unit_id")).alias("unit_ids"),
         first_by("implant_location", *order).alias("implant_location"),
-    )
+    ]
+    if with_unit_ids:  # opt-in, as in coverage.unit_counts
+        aggs.append(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
+    return joined.groupBy("session_id", "location").agg(*aggs)

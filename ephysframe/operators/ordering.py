@@ -1,36 +1,63 @@
-"""Global ordering helpers that stay distributed."""
+"""Global and per-group ordering helpers that stay distributed."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ephysframe.session import cut_lineage
 
 
-def with_row_index(df: DataFrame, order: list[Column], name: str = "index", num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based row number following ``order`` without a one-task window.
-
-    The rows are range-partitioned and sorted by ``order``, checkpointed so
-    the partition contents are fixed, and each row's number is the number of
-    rows in earlier partitions (a table with one row per partition, summed
-    in a tiny window and broadcast) plus its position inside its partition
-    (the low 33 bits of ``monotonically_increasing_id``). ``order`` must be a
-    total order (end it with a unique key) for the numbers to be stable.
+def row_number_within(
+    df: DataFrame,
+    order: list[Column],
+    partition_by: list[str] | tuple[str, ...] = (),
+    name: str = "index",
+    start: int = 0,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Number rows ``start, start+1, ...`` following ``order`` (within each
+    ``partition_by`` group) without a window that holds a group's rows.
+
+    Rows are range-partitioned and sorted by (group, order), checkpointed so
+    partition contents are fixed, and each row's number is its position
+    inside its partition (low 33 bits of ``monotonically_increasing_id``)
+    plus the rows of its group in earlier partitions. That offset comes from
+    a table with one row per (partition, group), summed in a window whose
+    groups hold at most one row per partition. A group holding a third of
+    all rows is therefore spread over many tasks like any other data.
+    ``order`` (with the group) must be a total order for stable numbers.
     """
-    staged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
-    staged = cut_lineage(staged.sortWithinPartitions(*order))
+    keys = [F.col(c) for c in partition_by]
+    sort = keys + list(order)
+    staged = df.repartitionByRange(num_partitions, *sort) if num_partitions else df.repartitionByRange(*sort)
+    staged = cut_lineage(staged.sortWithinPartitions(*sort))
     staged = staged.withColumns({"_pid": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()})
-    sizes = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
+    staged = staged.withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    per = staged.groupBy("_pid", *partition_by).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
+    earlier = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(
+        F.col("_pid").alias("_opid"),
+        *[F.col(c).alias(f"_o_{c}") for c in partition_by],
+        "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+    )
+    if not partition_by:
+        offsets = F.broadcast(offsets)  # one row per partition: bounded
+    cond = reduce(
+        lambda a, b: a & b,
+        [F.col("_pid") == F.col("_opid")] + [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in partition_by],
     )
-    local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    value = F.col("_off") + F.col("_local") - F.col("_first") + F.lit(start)
     return (
-        staged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
-        .withColumn(name, (F.col("_off") + local).cast("long"))
-        .drop("_pid", "_mono", "_off")
+        staged.join(offsets, cond)
+        .withColumn(name, value.cast("long"))
+        .drop("_pid", "_mono", "_local", "_opid", "_first", "_off", *[f"_o_{c}" for c in partition_by])
     )
+
+
+def with_row_index(df: DataFrame, order: list[Column], name: str = "index", num_partitions: int | None = None) -> DataFrame:
+    """0-based global row number following ``order``."""
+    return row_number_within(df, order, (), name=name, start=0, num_partitions=num_partitions)

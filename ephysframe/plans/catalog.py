@@ -78,20 +78,19 @@ def q_unit_locations_v1(c: Ctx) -> DataFrame:
     from ephysframe.plans import roles
 
     gate = dict(roles.SESSION_GATE, **roles.UNIT_GATE_V1)
-    out = gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
-    return out.withColumn("unit_ids", joined("unit_ids"))
+    return gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
 
 
 # ------------------------------------------------------------- coverage ------
 
-COUNT_COLUMNS = ["session_id", "location", "location_count", "structure", "subject_id", "date", "unit_ids",
+COUNT_COLUMNS = ["session_id", "location", "location_count", "structure", "subject_id", "date",
                  "implant_location", "electrode_group_name"]
 
 
 @query("unit_counts")
 def q_unit_counts(c: Ctx) -> DataFrame:
     """Per (session, location) unit counts over all good units."""
-    return coverage.unit_counts(c.good).withColumn("unit_ids", joined("unit_ids")).select(*COUNT_COLUMNS)
+    return coverage.unit_counts(c.good).select(*COUNT_COLUMNS)
 
 
 @query("units_at_location_starts_with")

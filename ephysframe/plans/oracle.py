@@ -122,7 +122,6 @@ SELECT u.session_id, u.location, count(u.location) AS location_count,
        arg_min(u.structure, (u.unit_id, u.electrode_group_name)) AS structure,
        arg_min(s.subject_id, (u.unit_id, u.electrode_group_name)) AS subject_id,
        arg_min(s.date, (u.unit_id, u.electrode_group_name)) AS date,
-       string_agg(u.unit_id, ',' ORDER BY u.unit_id) AS unit_ids,
        arg_min(g.location, (u.unit_id, u.electrode_group_name)) AS implant_location
 FROM good_sessions s
 JOIN units u ON u.session_id = s.session_id
@@ -172,7 +171,6 @@ SELECT session_id, location, count(location) AS location_count,
        arg_min(structure, (unit_id, electrode_group_name)) AS structure,
        arg_min(subject_id, (unit_id, electrode_group_name)) AS subject_id,
        arg_min(date, (unit_id, electrode_group_name)) AS date,
-       string_agg(unit_id, ',' ORDER BY unit_id) AS unit_ids,
        arg_min(implant_location, (unit_id, electrode_group_name)) AS implant_location,
        arg_min(electrode_group_name, (unit_id, electrode_group_name)) AS electrode_group_name
 FROM good GROUP BY session_id, location

@@ -83,7 +83,7 @@ def test_units_at_location_modes(domain):
 
 
 def test_unit_counts_and_breakdown(domain):
-    counts = coverage.unit_counts(domain["good"])
+    counts = coverage.unit_counts(domain["good"], with_unit_ids=True)
     rows = {(r.session_id, r.location): r for r in counts.collect()}
     assert rows[("s1", "VISp1")].location_count == 2 and rows[("s1", "VISp1")].unit_ids == ["u1", "u2"]
     b = coverage.location_breakdown(counts, "subject_id").collect()
