@@ -1 +1,3 @@
 """Structured Streaming entry points."""
+
+from ephysframe.streaming.inventory_stream import start_inventory_stream  # noqa: F401

@@ -1,0 +1,49 @@
+"""Probe inventory edits as a stream.
+
+The dashboard saved the inventory on every edit or new entry. Here edits
+arrive as Parquet files in a folder; each micro-batch is merged by serial
+number into the snapshot store (``operators.inventory.InventoryStore``).
+A batch replayed after a failure re-applies the same last-wins upserts, so
+the result is the same; progress lives in the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ephysframe.operators.inventory import InventoryStore
+from ephysframe.session import checkpoint_dir
+from ephysframe.sources.schemas import PROBES
+
+CHANGES = T.StructType(list(PROBES.fields) + [T.StructField("changed_at", T.TimestampType(), True)])
+
+
+def start_inventory_stream(
+    spark: SparkSession,
+    changes_dir: str,
+    store_root: str,
+    *,
+    checkpoint: str | None = None,
+    available_now: bool = False,
+    interval: str = "10 seconds",
+) -> StreamingQuery:
+    """Start the stream; ``available_now`` processes what is there and stops."""
+    store = InventoryStore(spark, store_root)
+    store.initialize()
+
+    def apply(batch: DataFrame, epoch_id: int) -> None:
+        if not batch.isEmpty():
+            store.apply(batch, ["changed_at"])
+
+    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "inventory-stream")
+    writer = (
+        spark.readStream.schema(CHANGES).parquet(changes_dir)
+        .writeStream.foreachBatch(apply)
+        .option("checkpointLocation", ckpt)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()

@@ -1,0 +1,25 @@
+"""Inventory edits applied by a streaming query (foreachBatch merge)."""
+
+import datetime as dt
+
+from ephysframe.streaming import start_inventory_stream
+from ephysframe.streaming.inventory_stream import CHANGES
+from ephysframe.operators.inventory import InventoryStore
+
+
+def test_inventory_stream(spark, tmp_path):
+    changes, store_root = str(tmp_path / "changes"), str(tmp_path / "store")
+    t0 = dt.datetime(2024, 1, 1)
+    rows1 = [("P1", dt.date(2024, 1, 1), None, None, "NP1", None, None, t0),
+             ("P2", dt.date(2024, 1, 1), None, "", "NP2", "", True, t0)]
+    spark.createDataFrame(rows1, CHANGES).write.parquet(changes + "/b1")
+    q = start_inventory_stream(spark, changes + "/*", store_root, checkpoint=str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination(120)
+    rows2 = [("P1", dt.date(2024, 1, 1), dt.date(2024, 2, 1), "bent", "NP1", "drawer", None, t0 + dt.timedelta(days=1))]
+    spark.createDataFrame(rows2, CHANGES).write.parquet(changes + "/b2")
+    q = start_inventory_stream(spark, changes + "/*", store_root, checkpoint=str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination(120)
+    out = {r.serial_number: r for r in InventoryStore(spark, store_root).load().collect()}
+    assert set(out) == {"P1", "P2"}
+    assert out["P1"].issue == "bent" and out["P1"].date_removed == dt.date(2024, 2, 1) and out["P1"].is_destroyed is False
+    assert out["P2"].issue is None and out["P2"].is_destroyed is True
