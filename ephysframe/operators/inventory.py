@@ -8,7 +8,9 @@ as the next snapshot, so a failed write never damages the current one.
 from __future__ import annotations
 
 import os
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,30 +50,39 @@ def inventory_apply(current: DataFrame, changes: DataFrame, order: list[str], ke
 
 
 class InventoryStore:
-    """Snapshot store: ``<root>/v=<n>`` folders of Parquet."""
+    """Snapshot store: ``<root>/v=<n>`` folders of Parquet.
+
+    Versions are found with Spark's own partition discovery, so the root can
+    be any file system Spark reads (HDFS, object stores). A version appears
+    only once its write job has committed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _versions(self) -> list[int]:
-        if not os.path.isdir(self.root):
-            return []
-        return sorted(int(d[2:]) for d in os.listdir(self.root) if d.startswith("v=") and
-                      os.path.exists(os.path.join(self.root, d, "_SUCCESS")))
+    def latest_version(self) -> int | None:
+        """Highest committed version, from the file index (metadata only)."""
+        try:
+            files = self.spark.read.schema(PROBES).parquet(self.root).inputFiles()
+        except AnalysisException:
+            return None
+        versions = [int(m.group(1)) for f in files if (m := re.search(r"/v=(\d+)/", f))]
+        return max(versions) if versions else None
 
     def initialize(self) -> None:
         """Create the empty table if missing."""
-        if not self._versions():
-            self.spark.createDataFrame([], PROBES).write.mode("overwrite").parquet(os.path.join(self.root, "v=0"))
+        if self.latest_version() is None:
+            self.spark.createDataFrame([], PROBES).coalesce(1).write.mode("overwrite").parquet(os.path.join(self.root, "v=0"))
 
     def load(self) -> DataFrame:
         """Current snapshot."""
         self.initialize()
-        return self.spark.read.schema(PROBES).parquet(os.path.join(self.root, f"v={self._versions()[-1]}"))
+        return self.spark.read.schema(PROBES).parquet(os.path.join(self.root, f"v={self.latest_version()}"))
 
     def save(self, df: DataFrame) -> int:
         """Write ``df`` as the next snapshot (S8); returns its version."""
-        nxt = (self._versions() or [-1])[-1] + 1
+        current = self.latest_version()
+        nxt = 0 if current is None else current + 1
         df.select(*[f.name for f in PROBES.fields]).write.mode("overwrite").parquet(os.path.join(self.root, f"v={nxt}"))
         return nxt
 
