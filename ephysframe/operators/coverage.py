@@ -19,6 +19,7 @@ from ephysframe.functions import (
     all_of, any_of, first_by, format_probe_name_py, match_term, n_unique, replace_first,
     round_half_up_ratio, split_part, split_terms, strict_concat,
 )
+from ephysframe.operators.joins import broadcast_if_small
 from ephysframe.operators.ordering import with_row_index
 from ephysframe.operators.tree import acronyms_to_ids, frontier_descendants
 
@@ -201,7 +202,7 @@ def probe_locations(
         .select(*probe_key, "implant_location", "ccf_ml", "ccf_ap", "ccf_dv", "location", "structure", "is_right_hemisphere")
     )
     colours = tree.select(F.col("acronym").alias("location"), *[c for c in tree.columns if c.startswith("color_")])
-    return e.join(colours, "location")
+    return e.join(broadcast_if_small(colours), "location")
 
 
 def _insertion_filters(implant: str | None, probe_letter: str | None) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ephysframe.functions import all_of, first_by, list_lacks, n_unique
+from ephysframe.operators.joins import broadcast_if_small
 
 # The dashboards' default thresholds.
 DPRIME_THRESHOLD = 1.0
@@ -105,7 +106,7 @@ def good_units(
         F.col("name").alias("electrode_group_name"),
         F.col("location").alias("implant_location"),
     )
-    tree_by_location = tree.withColumnRenamed("acronym", "location")
+    tree_by_location = broadcast_if_small(tree.withColumnRenamed("acronym", "location"))
     midline_col = midline if isinstance(midline, Column) else F.lit(float(midline))
     return (
         sessions.join(u, "session_id")

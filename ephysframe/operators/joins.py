@@ -1,0 +1,22 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: largest side (rows) we broadcast after checking its size.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
+
+    The check counts at most ``max_rows + 1`` rows (a bounded job). Beyond
+    the bound the frame is returned unchanged and the join shuffles (AQE may
+    still choose a broadcast from runtime sizes). Used for lookup tables
+    such as the structure tree, whose size is small in an atlas but is not
+    bounded by the schema.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
