@@ -236,6 +236,20 @@ def location_breakdown(counts: DataFrame, group_by: str = "subject_id") -> DataF
     )
 
 
+def location_legend(counts: DataFrame) -> DataFrame:
+    """Sorted distinct locations (the legend order of the breakdown)."""
+    return counts.select("location").distinct().orderBy(F.asc_nulls_first("location"))
+
+
+def approx_location_stats(locations: DataFrame) -> DataFrame:
+    """Approximate distinct sessions and locations of a probe-track
+    result in one aggregate (HyperLogLog++, mergeable partial states)."""
+    return locations.agg(
+        F.approx_count_distinct("session_id").alias("approx_sessions"),
+        F.approx_count_distinct("location").alias("approx_locations"),
+    )
+
+
 def co_recorded_structures(good: DataFrame, matched_units: DataFrame, k: int = 15) -> DataFrame:
     """In sessions that hit the area, the units NOT in it, counted per
     structure × session, for the ``k`` structures with most such units

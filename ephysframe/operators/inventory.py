@@ -49,6 +49,12 @@ def inventory_apply(current: DataFrame, changes: DataFrame, order: list[str], ke
     return kept.unionByName(latest)
 
 
+def as_text_dates(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:
+    """The inventory shown with its dates as text, as the form stored them."""
+    dates = [f.name for f in df.schema.fields if f.dataType.typeName() == "date"]
+    return df.withColumns({c: F.date_format(c, fmt) for c in dates})
+
+
 class InventoryStore:
     """Snapshot store: ``<root>/v=<n>`` folders of Parquet.
 

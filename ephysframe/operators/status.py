@@ -194,6 +194,11 @@ def upload_status(
     ).orderBy(F.desc("date"), "folder")
 
 
+def hide_columns(df: DataFrame, hidden: tuple[str, ...] | list[str], when: bool = True) -> DataFrame:
+    """P10: drop display-only columns when a flag is set."""
+    return df.drop(*hidden) if when else df
+
+
 def column_filters(df: DataFrame, spec: dict[str, tuple[str, object]]) -> DataFrame:
     """Per-column table filters: ``like`` (substring), ``<``, ``>`` and a
     three-state boolean (``None`` = no filter)."""

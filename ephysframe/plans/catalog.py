@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ephysframe.operators import coverage, gates
+from ephysframe.operators import behavior, coverage, gates, inventory, qc, status
+from ephysframe.operators import tree as T
+from ephysframe.operators import volume as V
+from ephysframe.plans import roles
 from ephysframe.plans.context import Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,8 +78,6 @@ def q_coverage_stats_ungated(c: Ctx) -> DataFrame:
 @query("unit_locations_v1")
 def q_unit_locations_v1(c: Ctx) -> DataFrame:
     """Older gate grouped per (session, location)."""
-    from ephysframe.plans import roles
-
     gate = dict(roles.SESSION_GATE, **roles.UNIT_GATE_V1)
     return gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
 
@@ -144,8 +145,6 @@ def q_location_summary(c: Ctx) -> DataFrame:
 @query("implant_value_counts")
 def q_implant_value_counts(c: Ctx) -> DataFrame:
     """Implant locations of the older grouping's prefix search."""
-    from ephysframe.plans import roles
-
     gate = dict(roles.SESSION_GATE, **roles.UNIT_GATE_V1)
     groups = gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
     found = groups.where(F.col("location").startswith(AREA_PREFIX))
@@ -224,9 +223,6 @@ def q_pick_structure(c: Ctx) -> DataFrame:
 @query("session_mean_dprime")
 def q_session_mean_dprime(c: Ctx) -> DataFrame:
     """Per-session mean d-prime, session number and days since first."""
-    from ephysframe.operators import behavior
-    from ephysframe.plans import roles
-
     out = behavior.session_mean_dprime(roles.dprime_blocks(c.spark, c.d))
     return out.withColumn("mean_dprime", F.round("mean_dprime", 6))
 
@@ -234,9 +230,6 @@ def q_session_mean_dprime(c: Ctx) -> DataFrame:
 @query("dprime_over_time")
 def q_dprime_over_time(c: Ctx) -> DataFrame:
     """C27 over time for a typed list of subject ids."""
-    from ephysframe.operators import behavior
-    from ephysframe.plans import roles
-
     out = behavior.dprime_over_time(roles.dprime_blocks(c.spark, c.d), "1, 2 3  4,17")
     return out.withColumn("mean_dprime", F.round("mean_dprime", 6))
 
@@ -255,8 +248,6 @@ def q_structure_tree(c: Ctx) -> DataFrame:
 @query("frontier_descendants")
 def q_frontier(c: Ctx) -> DataFrame:
     """C4: for every internal node, its nearest descendants labelled in the volume."""
-    from ephysframe.operators import tree as T
-
     roots = c.tree.where(F.col("depth") < 3).select(F.col("id").alias("root_id"))
     return T.frontier_descendants(c.tree, c.atlas.volume_ids, roots)
 
@@ -264,16 +255,12 @@ def q_frontier(c: Ctx) -> DataFrame:
 @query("immediate_children")
 def q_immediate_children(c: Ctx) -> DataFrame:
     """C4 (one level): direct children of every node."""
-    from ephysframe.operators import tree as T
-
     return T.immediate_children(c.tree, c.tree.select(F.col("id").alias("root_id")))
 
 
 @query("acronym_lookup")
 def q_acronym_lookup(c: Ctx) -> DataFrame:
     """C14: acronym → id for every structure named by a unit."""
-    from ephysframe.operators import tree as T
-
     keys = c.units.select(F.col("structure").alias("acronym")).distinct()
     return T.acronyms_to_ids(c.tree, keys)
 
@@ -281,8 +268,6 @@ def q_acronym_lookup(c: Ctx) -> DataFrame:
 @query("id_lookup")
 def q_id_lookup(c: Ctx) -> DataFrame:
     """C14: id → acronym for every label present in the volume."""
-    from ephysframe.operators import tree as T
-
     keys = c.voxels.select(F.col("structure_id").alias("id")).distinct()
     return T.ids_to_acronyms(c.tree, keys)
 
@@ -290,9 +275,6 @@ def q_id_lookup(c: Ctx) -> DataFrame:
 @query("structure_info")
 def q_structure_info(c: Ctx) -> DataFrame:
     """C14: full tree row of each region, looked up by acronym."""
-    from ephysframe.operators import tree as T
-    from ephysframe.plans import roles
-
     keys = roles.table(c.spark, c.d, "region").select(F.col("r_name").alias("acronym"))
     return T.structure_info(c.tree, keys).select(
         "id", "acronym", "name", "safe_name", "parent_structure_id", "depth", "structure_id_path",
@@ -303,16 +285,12 @@ def q_structure_info(c: Ctx) -> DataFrame:
 @query("volume_acronyms")
 def q_volume_acronyms(c: Ctx) -> DataFrame:
     """Acronyms of the labels in the left hemisphere of the volume."""
-    from ephysframe.operators import tree as T
-
     return T.volume_acronyms(c.tree, c.atlas.volume_ids)
 
 
 @query("volume_hemispheres")
 def q_volume_hemispheres(c: Ctx) -> DataFrame:
     """Midline and voxel count per side."""
-    from ephysframe.operators import volume as V
-
     left = V.hemisphere(c.voxels, "left").select(F.count(F.lit(1))).scalar()
     right = V.hemisphere(c.voxels, "right").select(F.count(F.lit(1))).scalar()
     n_ml = V.axis_size(c.voxels, "ml")
@@ -322,7 +300,6 @@ def q_volume_hemispheres(c: Ctx) -> DataFrame:
 
 
 def _mask(c: Ctx, area: str | None, side: str = "left") -> DataFrame:
-    from ephysframe.operators import volume as V
 
     if not area:
         return V.region_mask(c.voxels, side=side)
@@ -348,8 +325,6 @@ def _round_image(df: DataFrame) -> DataFrame:
 @query("projection_area")
 def q_projection_area(c: Ctx) -> DataFrame:
     """Horizontal projection of EUROPE, coloured, alpha by density."""
-    from ephysframe.operators import volume as V
-
     img = V.project(_mask(c, "EUROPE"), "horizontal", depth_size=V.axis_size(c.voxels, "dv"), rgb=_area_rgb(c, "EUROPE"))
     return _round_image(img)
 
@@ -358,7 +333,6 @@ def q_projection_area(c: Ctx) -> DataFrame:
 def q_projection_slab(c: Ctx) -> DataFrame:
     """Coronal projection of the whole left volume through a 10-plane
     slab, grey, 0/1 alpha, 0..255 colour."""
-    from ephysframe.operators import volume as V
 
     img = V.project(_mask(c, None), "coronal", depth_size=V.axis_size(c.voxels, "ap"), thickness=10,
                     with_opacity=False, normalize_rgb=False)
@@ -368,8 +342,6 @@ def q_projection_slab(c: Ctx) -> DataFrame:
 @query("scatter_density")
 def q_scatter_density(c: Ctx) -> DataFrame:
     """Horizontal density image of the prefix-matched units."""
-    from ephysframe.operators import volume as V
-
     shape = (V.axis_size(c.voxels, "ap"), F.floor(V.axis_size(c.voxels, "ml") / 2))
     img = V.scatter_density(c.matched(AREA_PREFIX), "horizontal", image_shape=shape, opacity_range=(0.7, 1.0))
     return _round_image(img)
@@ -380,18 +352,12 @@ def q_scatter_density(c: Ctx) -> DataFrame:
 @query("find_sessions")
 def q_find_sessions(c: Ctx) -> DataFrame:
     """Sessions of typed subjects within a date range."""
-    from ephysframe.operators import status
-    from ephysframe.plans import roles
-
     return status.find_sessions(roles.board_sessions(c.spark, c.d), "7, 13 x, abc, 1001", None, "1996-01-01", "1998-12-31")
 
 
 @query("sorting_status")
 def q_sorting_status(c: Ctx) -> DataFrame:
     """Sorting board over every ecephys session."""
-    from ephysframe.operators import status
-    from ephysframe.plans import roles
-
     sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
     out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
     return out.withColumns({"jobs_running": joined("jobs_running"), "complete_probe_data": joined("complete_probe_data")})
@@ -400,15 +366,10 @@ def q_sorting_status(c: Ctx) -> DataFrame:
 @query("already_triggered")
 def q_already_triggered(c: Ctx) -> DataFrame:
     """Raw assets with a running trigger job."""
-    from ephysframe.operators import status
-    from ephysframe.plans import roles
-
     return status.already_triggered(roles.computations(c.spark, c.d))
 
 
 def _upload(c: Ctx, **kw) -> DataFrame:
-    from ephysframe.operators import status
-    from ephysframe.plans import roles
 
     folders = roles.folders(c.spark, c.d).where(F.col("folder").startswith("DRpilot") & ~F.col("folder").contains("366122"))
     return status.upload_status(folders, roles.manifests(c.spark, c.d), roles.uploaded(c.spark, c.d), **kw)
@@ -429,9 +390,6 @@ def q_upload_unstarted(c: Ctx) -> DataFrame:
 @query("inventory_apply")
 def q_inventory_apply(c: Ctx) -> DataFrame:
     """Probe inventory after applying a change batch by serial number."""
-    from ephysframe.operators import inventory
-    from ephysframe.plans import roles
-
     return inventory.inventory_apply(
         roles.probes_current(c.spark, c.d), roles.probe_changes(c.spark, c.d), ["changed_at", "event_id"]
     )
@@ -440,17 +398,12 @@ def q_inventory_apply(c: Ctx) -> DataFrame:
 @query("qc_manifest")
 def q_qc_manifest(c: Ctx) -> DataFrame:
     """QC files matched to sessions by name prefix, classified."""
-    from ephysframe.operators import qc
-    from ephysframe.plans import roles
-
     return qc.qc_manifest(roles.qc_files(c.spark, c.d), roles.qc_sessions(c.spark, c.d))
 
 
 @query("column_filters")
 def q_column_filters(c: Ctx) -> DataFrame:
     """Like / > / three-state bool filters on the good-unit table."""
-    from ephysframe.operators import status
-
     spec = {
         "location": ("like", "#00000002"),
         "ccf_ap": (">", 100.0),
@@ -464,7 +417,37 @@ def q_column_filters(c: Ctx) -> DataFrame:
 @query("session_table")
 def q_session_table(c: Ctx) -> DataFrame:
     """Every session, id descending."""
-    from ephysframe.operators import status
-    from ephysframe.plans import roles
-
     return status.session_table(roles.qc_sessions(c.spark, c.d))
+
+
+# ------------------------------------------------------- small surfaces ------
+
+@query("location_legend")
+def q_location_legend(c: Ctx) -> DataFrame:
+    """Legend order of the prefix breakdown."""
+    return coverage.location_legend(coverage.unit_counts(c.matched(AREA_PREFIX)))
+
+
+@query("approx_location_stats")
+def q_approx_location_stats(c: Ctx) -> DataFrame:
+    """Approximate distinct sessions/locations of NATION_1's probe tracks
+    (HyperLogLog estimate: rows-only check)."""
+    return coverage.approx_location_stats(_probe_locs(c, AREA_NATION, "children_of"))
+
+
+@query("inventory_table")
+def q_inventory_table(c: Ctx) -> DataFrame:
+    """The merged inventory with dates as text."""
+    merged = inventory.inventory_apply(
+        roles.probes_current(c.spark, c.d), roles.probe_changes(c.spark, c.d), ["changed_at", "event_id"]
+    )
+    return inventory.as_text_dates(merged)
+
+
+@query("sorting_status_compact")
+def q_sorting_compact(c: Ctx) -> DataFrame:
+    """P10: the sorting board with its id columns hidden."""
+    sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
+    out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
+    out = status.hide_columns(out, ["subject", "raw_asset", "latest_sorted_asset", "detail"])
+    return out.withColumns({"jobs_running": joined("jobs_running"), "complete_probe_data": joined("complete_probe_data")})

@@ -622,3 +622,23 @@ WHERE contains(location, '#00000002') AND ccf_ap > 100.0 AND is_right_hemisphere
 """)
 
 SQL["session_table"] = "SELECT CAST(o_orderkey AS VARCHAR) || '_0' AS session_id FROM orders ORDER BY session_id DESC"
+
+SQL["location_legend"] = with_roles(f"""
+SELECT DISTINCT location FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}') ORDER BY location NULLS FIRST
+""")
+
+SQL["inventory_table"] = SQL["inventory_apply"].replace(
+    "SELECT * FROM cur WHERE serial_number NOT IN (SELECT serial_number FROM latest)",
+    "SELECT serial_number, strftime(date_installed, '%Y-%m-%d') AS date_installed, "
+    "strftime(date_removed, '%Y-%m-%d') AS date_removed, issue, rig, storage_location, is_destroyed "
+    "FROM cur WHERE serial_number NOT IN (SELECT serial_number FROM latest)",
+).replace(
+    "SELECT serial_number, x.di, x.dr,",
+    "SELECT serial_number, strftime(x.di, '%Y-%m-%d'), strftime(x.dr, '%Y-%m-%d'),",
+)
+
+SQL["sorting_status_compact"] = SQL["sorting_status"].replace(
+    "SELECT subject, session, raw_asset, CASE WHEN raw_asset IS NOT NULL THEN sorted_asset END AS latest_sorted_asset,\n"
+    "       array_to_string(list_sort(jr), ',') AS jobs_running,",
+    "SELECT session, array_to_string(list_sort(jr), ',') AS jobs_running,",
+).split("       concat_ws(chr(10),")[0].rstrip().rstrip(",") + "\nFROM t3\n"
