@@ -1,0 +1,26 @@
+"""Distributed row numbering against pandas, with one hot group."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ephysframe.operators.ordering import row_number_within, with_row_index
+
+
+def test_row_number_within_hot_group(spark):
+    rng = np.random.default_rng(11)
+    n = 5000
+    groups = np.where(rng.random(n) < 0.35, 0, rng.integers(1, 60, n))  # group 0 holds about a third
+    pdf = pd.DataFrame({"g": groups.astype("int64"), "k": rng.permutation(n).astype("int64")})
+    df = spark.createDataFrame(pdf).repartition(7)
+    out = row_number_within(df, [F.col("k")], ["g"], name="rn", start=1, num_partitions=9).toPandas()
+    want = pdf.assign(rn=pdf.groupby("g")["k"].rank(method="first").astype("int64"))
+    got = out.sort_values(["g", "k"]).reset_index(drop=True)
+    assert got[["g", "k", "rn"]].equals(want.sort_values(["g", "k"]).reset_index(drop=True)[["g", "k", "rn"]])
+
+
+def test_with_row_index_descending(spark):
+    pdf = pd.DataFrame({"v": [5, 1, 9, 3, 7, 2, 8], "name": list("abcdefg")})
+    out = with_row_index(spark.createDataFrame(pdf), [F.desc("v"), F.asc("name")], num_partitions=3).toPandas()
+    assert out.sort_values("index")["v"].tolist() == [9, 8, 7, 5, 3, 2, 1]
+    assert sorted(out["index"]) == list(range(7))
