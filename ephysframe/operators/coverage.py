@@ -25,7 +25,6 @@ from ephysframe.operators.tree import acronyms_to_ids, frontier_descendants
 
 # Mode names of the area search.
 MODES = ("starts_with", "contains", "children_of")
-NOT_QUERIED_COLOUR = "808080"
 
 
 @dataclass

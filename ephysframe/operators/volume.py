@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ephysframe.functions import clamp01
+
 # Atlas resolution and axis conventions.
 RESOLUTION_UM = 25
 AXES = ("ml", "dv", "ap")
@@ -151,6 +153,6 @@ def scatter_density(
     else:
         peak = binned.select(F.max("n")).scalar()
         raw = F.lit(lo) + F.lit(hi - lo) * (F.col("n") / peak)
-        alpha = F.least(F.greatest(F.when(raw <= lo, F.lit(0.0)).otherwise(raw), F.lit(0.0)), F.lit(1.0))
+        alpha = clamp01(F.when(raw <= lo, F.lit(0.0)).otherwise(raw))
     img = binned.select("y", "x", alpha.alias("a")).where(F.col("a") > 0)
     return img.select("y", "x", *[F.lit(1.0).alias(ch) for ch in ("r", "g", "b")], "a")
