@@ -69,14 +69,19 @@ def sorting_status(
     assets: DataFrame,
     computations: DataFrame,
     pipeline_id: str = "sorting",
+    with_job_names: bool = False,
 ) -> DataFrame:
-    """Per session: raw asset, latest sorted asset, names of running
-    sorting jobs on the raw asset, success (= latest sorted asset not
-    failed) and its completed probes.
+    """Per session: raw asset, latest sorted asset, running sorting
+    jobs on the raw asset, success (= latest sorted asset not failed) and
+    its completed probes.
 
     No raw asset → jobs and sorted asset stay null. A running job blanks
     success and probes. ``needs_attention`` flags rows whose success is not
     true; ``detail`` is the per-session text of the expanded row.
+
+    ``jobs_running`` is the number of running jobs; the sorted list of their
+    names (``jobs_running_names``) is opt-in, since gathering one asset's
+    jobs into a row is only safe when that number is known to be small.
     """
     raw = _latest(assets, "raw", ["asset_id"]).withColumnRenamed("asset_id", "raw_asset")
     srt = _latest(assets, "sorted", ["asset_id", "failed", "sorted_probes", "output"]).withColumnRenamed(
@@ -87,10 +92,14 @@ def sorting_status(
         .select("name", F.explode("data_assets").alias("asset"))
         .select("name", F.col("asset.id").alias("raw_asset"))
     )
-    jobs = raw.join(running, "raw_asset").groupBy("session_id").agg(F.array_sort(F.collect_list("name")).alias("_jobs"))
+    job_aggs = [F.count(F.lit(1)).alias("_n_jobs")]
+    if with_job_names:
+        job_aggs.append(F.array_sort(F.collect_list("name")).alias("_jobs"))
+    jobs = raw.join(running, "raw_asset").groupBy("session_id").agg(*job_aggs)
     has_raw = F.col("raw_asset").isNotNull()
-    jobs_running = F.when(has_raw, F.coalesce(F.col("_jobs"), F.array().cast("array<string>")))
-    busy = F.coalesce(F.size(jobs_running) > 0, F.lit(False))
+    jobs_running = F.when(has_raw, F.coalesce(F.col("_n_jobs"), F.lit(0)))
+    busy = F.coalesce(jobs_running > 0, F.lit(False))
+    names = F.when(has_raw, F.coalesce(F.col("_jobs"), F.array().cast("array<string>"))) if with_job_names else None
     df = (
         sessions.select(F.col("id").alias("session"), F.col("subject_id").alias("subject"))
         .join(raw.withColumnRenamed("session_id", "session"), "session", "left")
@@ -103,7 +112,8 @@ def sorting_status(
     detail = F.concat_ws(
         "\n",
         F.when(has_raw, F.concat(F.lit("raw asset ID: "), F.col("raw_asset"))),
-        F.when(busy, F.concat(F.lit("sorting jobs in progress: "), F.array_join(F.col("jobs_running"), ", ")))
+        F.when(busy, F.concat(F.lit("sorting jobs in progress: "),
+                              F.array_join(names, ", ") if with_job_names else F.col("jobs_running").cast("string")))
         .when(F.col("output").isNull(), F.lit("no sorted data found"))
         .otherwise(F.concat(F.lit("sorted asset ID: "), F.col("sorted_asset"), F.lit("\n\noutput:\n"), F.col("output"))),
     )
@@ -113,6 +123,7 @@ def sorting_status(
         "raw_asset",
         F.when(has_raw, F.col("sorted_asset")).alias("latest_sorted_asset"),
         "jobs_running",
+        *([names.alias("jobs_running_names")] if with_job_names else []),
         success.alias("success"),
         probes.alias("complete_probe_data"),
         (~F.coalesce(success, F.lit(False))).alias("needs_attention"),

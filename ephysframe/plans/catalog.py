@@ -21,11 +21,12 @@ from ephysframe.plans.context import Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Search terms used by the registered queries.
-AREA_PREFIX = "Supplier#0000000"  # starts_with: every supplier below id 100
-AREA_REGEX = "#00000001[0-9]$"  # contains (regex)
+# The area searches a user types into the search box. Each is
+# an operator input evaluated over the whole tables, not a row subset.
+AREA_PREFIX = "Supplier#0000000"  # starts_with
+AREA_REGEX = "#00000001[0-9]$"  # contains (regular expression)
 AREA_REGIONS = "AMERICA, ASIA"  # children_of: regions expand to their suppliers in the volume
-AREA_NATION = "NATION_1"
+AREA_NATION = "NATION_1"  # children_of on a nation
 
 
 def query(name: str):
@@ -360,7 +361,7 @@ def q_sorting_status(c: Ctx) -> DataFrame:
     """Sorting board over every ecephys session."""
     sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
     out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
-    return out.withColumns({"jobs_running": joined("jobs_running"), "complete_probe_data": joined("complete_probe_data")})
+    return out.withColumn("complete_probe_data", joined("complete_probe_data"))
 
 
 @query("already_triggered")
@@ -450,4 +451,4 @@ def q_sorting_compact(c: Ctx) -> DataFrame:
     sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
     out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
     out = status.hide_columns(out, ["subject", "raw_asset", "latest_sorted_asset", "detail"])
-    return out.withColumns({"jobs_running": joined("jobs_running"), "complete_probe_data": joined("complete_probe_data")})
+    return out.withColumn("complete_probe_data", joined("complete_probe_data"))

@@ -506,24 +506,24 @@ raw AS (SELECT session_id, arg_max(asset_id, (created, asset_id)) AS raw_asset F
         GROUP BY session_id),
 srt AS (SELECT session_id, arg_max({'a': asset_id, 'f': failed, 'p': sorted_probes, 'o': output}, (created, asset_id)) AS s
         FROM assets WHERE kind = 'sorted' GROUP BY session_id),
-jobs AS (SELECT r.session_id, list_sort(list(c.name)) AS jobs FROM raw r JOIN comps c ON c.asset = r.raw_asset
+jobs AS (SELECT r.session_id, count(*) AS jobs FROM raw r JOIN comps c ON c.asset = r.raw_asset
          WHERE c.in_progress AND c.cap = 'sorting' GROUP BY r.session_id),
 t AS (
   SELECT s.id AS session, s.subject_id AS subject, raw.raw_asset, srt.s.a AS sorted_asset, srt.s.f AS failed,
          srt.s.p AS sorted_probes, srt.s.o AS output,
-         CASE WHEN raw.raw_asset IS NOT NULL THEN coalesce(jobs.jobs, []) END AS jr
+         CASE WHEN raw.raw_asset IS NOT NULL THEN coalesce(jobs.jobs, 0) END AS jr
   FROM bs s LEFT JOIN raw ON raw.session_id = s.id LEFT JOIN srt ON srt.session_id = s.id
   LEFT JOIN jobs ON jobs.session_id = s.id
   WHERE s.platform = 'ecephys'),
-t2 AS (SELECT *, coalesce(len(jr) > 0, false) AS busy FROM t),
+t2 AS (SELECT *, coalesce(jr > 0, false) AS busy FROM t),
 t3 AS (SELECT *, CASE WHEN busy THEN NULL ELSE NOT failed END AS success FROM t2)
 SELECT subject, session, raw_asset, CASE WHEN raw_asset IS NOT NULL THEN sorted_asset END AS latest_sorted_asset,
-       array_to_string(list_sort(jr), ',') AS jobs_running, success,
+       jr AS jobs_running, success,
        CASE WHEN busy THEN NULL ELSE array_to_string(list_sort(sorted_probes), ',') END AS complete_probe_data,
        NOT coalesce(success, false) AS needs_attention,
        concat_ws(chr(10),
          CASE WHEN raw_asset IS NOT NULL THEN 'raw asset ID: ' || raw_asset END,
-         CASE WHEN busy THEN 'sorting jobs in progress: ' || array_to_string(jr, ', ')
+         CASE WHEN busy THEN 'sorting jobs in progress: ' || CAST(jr AS VARCHAR)
               WHEN output IS NULL THEN 'no sorted data found'
               ELSE 'sorted asset ID: ' || sorted_asset || chr(10) || chr(10) || 'output:' || chr(10) || output END
        ) AS detail
@@ -639,6 +639,6 @@ SQL["inventory_table"] = SQL["inventory_apply"].replace(
 
 SQL["sorting_status_compact"] = SQL["sorting_status"].replace(
     "SELECT subject, session, raw_asset, CASE WHEN raw_asset IS NOT NULL THEN sorted_asset END AS latest_sorted_asset,\n"
-    "       array_to_string(list_sort(jr), ',') AS jobs_running,",
-    "SELECT session, array_to_string(list_sort(jr), ',') AS jobs_running,",
+    "       jr AS jobs_running,",
+    "SELECT session, jr AS jobs_running,",
 ).split("       concat_ws(chr(10),")[0].rstrip().rstrip(",") + "\nFROM t3\n"

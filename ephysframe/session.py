@@ -45,15 +45,18 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there. Only when nothing is set (local
-    tests) do we create one, so no job ever writes to a machine-local folder
-    that another executor cannot see.
+    A cluster names a shared folder there. Only in local mode with nothing
+    set (tests) do we create one; on a cluster an unset folder is an error,
+    so no job ever writes to a machine-local folder that another executor
+    cannot see.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder (HDFS, object store) for checkpoints")
     local = tempfile.mkdtemp(prefix="ephysframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -35,12 +35,16 @@ def test_sorting_status(spark):
         "name string, capsule_or_pipeline_id string, in_progress boolean, data_assets array<struct<id:string>>, "
         "parameters array<struct<name:string,param_name:string,value:string>>",
     )
-    rows = {r.session: r for r in status.sorting_status(sessions, assets, comps).collect()}
+    rows = {r.session: r for r in status.sorting_status(sessions, assets, comps, with_job_names=True).collect()}
     s1, s2, s3 = rows["s1"], rows["s2"], rows["s3"]
-    assert (s1.latest_sorted_asset, s1.jobs_running, s1.success, s1.complete_probe_data) == ("srt2", [], True, ["A", "B"])
-    assert (s2.jobs_running, s2.success, s2.complete_probe_data, s2.needs_attention) == (["job"], None, None, True)
-    assert (s3.raw_asset, s3.latest_sorted_asset, s3.jobs_running) == (None, None, None)
+    assert (s1.latest_sorted_asset, s1.jobs_running, s1.success, s1.complete_probe_data) == ("srt2", 0, True, ["A", "B"])
+    assert (s2.jobs_running, s2.jobs_running_names, s2.success, s2.complete_probe_data, s2.needs_attention) == (
+        1, ["job"], None, None, True)
+    assert (s3.raw_asset, s3.latest_sorted_asset, s3.jobs_running, s3.jobs_running_names) == (None, None, None, None)
+    assert s1.jobs_running_names == []
     assert "sorting jobs in progress: job" in s2.detail and "output:\nlog" in s1.detail
+    counted = {r.session: r for r in status.sorting_status(sessions, assets, comps).collect()}
+    assert "jobs_running_names" not in counted["s2"].asDict() and "in progress: 1" in counted["s2"].detail
 
 
 def test_already_triggered(spark):
