@@ -182,7 +182,7 @@ def upload_status(
         "dt", F.replace(F.replace(F.col("acq_datetime"), F.lit(":"), F.lit("-")), F.lit(" "), F.lit("_"))
     )
     subject = F.regexp_extract("folder", r"(\d+)", 1)
-    ids = uploaded.select(F.col("session_id").alias("aind_id")).distinct().withColumn("_done", F.lit(True))
+    ids = uploaded.select(F.col("session_id").alias("upload_session_id")).distinct().withColumn("_done", F.lit(True))
     df = (
         folders.join(dts.select("folder", "dt", F.lit(True).alias("_started")), "folder", "left")
         .withColumns(
@@ -192,8 +192,8 @@ def upload_status(
                 "started": F.coalesce(F.col("_started"), F.lit(False)),
             }
         )
-        .withColumn("aind_id", F.when(F.col("started"), F.concat(F.lit("ecephys_"), F.col("subject"), F.lit("_"), F.col("dt"))))
-        .join(ids, "aind_id", "left")
+        .withColumn("upload_session_id", F.when(F.col("started"), F.concat(F.lit("ecephys_"), F.col("subject"), F.lit("_"), F.col("dt"))))
+        .join(ids, "upload_session_id", "left")
         .withColumn("finished", F.when(F.col("started"), F.coalesce(F.col("_done"), F.lit(False))))
     )
     if ephys_only:
@@ -201,7 +201,7 @@ def upload_status(
     if unstarted_only:
         df = df.where(~F.col("started"))
     return df.select(
-        "subject", F.col("has_ephys").alias("ephys"), "date", "folder", "started", "aind_id", "finished"
+        "subject", F.col("has_ephys").alias("ephys"), "date", "folder", "started", "upload_session_id", "finished"
     ).orderBy(F.desc("date"), "folder")
 
 

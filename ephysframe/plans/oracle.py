@@ -557,7 +557,7 @@ m2 AS (
            FILTER (WHERE l_returnflag <> 'R') AS dt
   FROM lo WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY folder),
 dts AS (SELECT folder, replace(replace(dt, ':', '-'), ' ', '_') AS dt FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2)),
-up AS (SELECT DISTINCT 'ecephys_' || o_custkey || '_' || strftime(l_shipdate, '%Y-%m-%d_%H-%M-%S') AS aind_id
+up AS (SELECT DISTINCT 'ecephys_' || o_custkey || '_' || strftime(l_shipdate, '%Y-%m-%d_%H-%M-%S') AS upload_session_id
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
 b AS (
   SELECT regexp_extract(f.folder, '(\\d+)', 1) AS subject, f.has_ephys AS ephys,
@@ -565,9 +565,9 @@ b AS (
          d.folder IS NOT NULL AS started, d.dt
   FROM folders f LEFT JOIN dts d ON d.folder = f.folder
   WHERE starts_with(f.folder, 'DRpilot') AND NOT contains(f.folder, '366122')),
-c AS (SELECT *, CASE WHEN started THEN 'ecephys_' || subject || '_' || dt END AS aind_id FROM b)
-SELECT subject, ephys, date, folder, started, aind_id,
-       CASE WHEN started THEN aind_id IS NOT NULL AND aind_id IN (SELECT aind_id FROM up) END AS finished
+c AS (SELECT *, CASE WHEN started THEN 'ecephys_' || subject || '_' || dt END AS upload_session_id FROM b)
+SELECT subject, ephys, date, folder, started, upload_session_id,
+       CASE WHEN started THEN upload_session_id IS NOT NULL AND upload_session_id IN (SELECT upload_session_id FROM up) END AS finished
 FROM c
 """
 

@@ -69,10 +69,10 @@ def test_upload_status_header_variants(spark):
     uploaded = spark.createDataFrame([("ecephys_644864_2023-02-01_10-11-12",)], "session_id string")
     rows = {r.folder: r for r in status.upload_status(folders, [v1, v2], uploaded).collect()}
     a, b, c = rows["DRpilot_644864_20230201"], rows["DRpilot_644865_20230301"], rows["DRpilot_644866_20230401"]
-    assert (a.subject, a.date, a.started, a.aind_id, a.finished) == (
+    assert (a.subject, a.date, a.started, a.upload_session_id, a.finished) == (
         "644864", dt.date(2023, 2, 1), True, "ecephys_644864_2023-02-01_10-11-12", True)
-    assert (b.aind_id, b.finished) == ("ecephys_644865_2023-03-01_09-00-00", False)
-    assert (c.started, c.aind_id, c.finished) == (False, None, None)
+    assert (b.upload_session_id, b.finished) == ("ecephys_644865_2023-03-01_09-00-00", False)
+    assert (c.started, c.upload_session_id, c.finished) == (False, None, None)
     un = status.upload_status(folders, [v1, v2], uploaded, ephys_only=True, unstarted_only=True).collect()
     assert [r.folder for r in un] == ["DRpilot_644866_20230401"]
     bad = spark.createDataFrame([("f", 0, "x")], "folder string, row int, other string")
