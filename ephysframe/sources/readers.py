@@ -7,6 +7,7 @@ the Parquet scan because nothing is materialised in between.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def folder_names(files: DataFrame, root: str, *, prefix: str = "", exclude: str
     ``prefix`` is a literal start of the name (a ``DRpilot*`` glob);
     ``exclude`` drops names containing that text.
     """
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _re_escape(root.strip("/")) + "/?", "")
+    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + re.escape(root.strip("/")) + "/?", "")
     name = F.split(rel, "/").getItem(0)
     out = files.select(name.alias("folder")).where(F.col("folder") != "")
     if prefix:
@@ -60,8 +61,3 @@ def exists_flag(df: DataFrame, listing: DataFrame, key: str, flag: str) -> DataF
     present = listing.select(F.col(key)).distinct().withColumn(flag, F.lit(True))
     return df.join(present, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
-
-def _re_escape(text: str) -> str:
-    import re
-
-    return re.escape(text)
