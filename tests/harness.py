@@ -29,7 +29,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v if os.environ.get("EXACT_FLOATS") else round(v, 9)
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     if hasattr(v, "item"):
