@@ -82,6 +82,7 @@ def units_at_location(
     include_right_hemisphere: bool = False,
     atlas: Atlas | None = None,
     ordered: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """Units whose location matches any of the comma separated terms.
 
@@ -89,6 +90,8 @@ def units_at_location(
     ``children_of`` an exact, case-sensitive match on the frontier
     descendants of each term (a semi-join against the tree). No term keeps
     every unit with a location. Left hemisphere only unless asked.
+    ``strict`` fails when a ``children_of`` search expands to nothing (one
+    small emptiness check on the tree-derived set), as the search box did.
     """
     if filter_type not in MODES:
         raise ValueError(f"filter_type must be one of {MODES}")
@@ -100,6 +103,8 @@ def units_at_location(
         if atlas is None:
             raise ValueError("children_of needs an Atlas")
         acr = atlas.children_acronyms(terms).select(F.col("acronym").alias("location")).distinct()
+        if strict and acr.isEmpty():
+            raise ValueError(f"No children found for {filter_area!r}")
         out = units.join(acr, "location", "left_semi")
     else:
         loc = F.col("location") if case_sensitive else F.lower(F.col("location"))

@@ -123,13 +123,15 @@ def scatter_density(
     *,
     image_shape: tuple[int | Column, int | Column],
     opacity_range: tuple[float, float] = (0.8, 1.0),
+    rgb: tuple[float, float, float] = (1.0, 1.0, 1.0),
 ) -> DataFrame:
     """2-D histogram of unit positions in 25 µm bins, as an alpha image.
 
     Bins are ``[i, i+1)`` with the last bin closed at its right edge; points
     outside the image are dropped. Alpha = lo + (hi - lo) · n / max(n),
     zero at or below lo, clamped to [0, 1]; a zero-width range gives 0/1.
-    Pixels with points are white.
+    Pixels with points are white by default; the atlas view draws the
+    tracks of missed insertions black (``rgb=(0, 0, 0)``).
     """
     lo, hi = opacity_range
     if hi < lo:
@@ -155,4 +157,4 @@ def scatter_density(
         raw = F.lit(lo) + F.lit(hi - lo) * (F.col("n") / peak)
         alpha = clamp01(F.when(raw <= lo, F.lit(0.0)).otherwise(raw))
     img = binned.select("y", "x", alpha.alias("a")).where(F.col("a") > 0)
-    return img.select("y", "x", *[F.lit(1.0).alias(ch) for ch in ("r", "g", "b")], "a")
+    return img.select("y", "x", *[F.lit(float(v)).alias(ch) for v, ch in zip(rgb, ("r", "g", "b"))], "a")

@@ -452,3 +452,15 @@ def q_sorting_compact(c: Ctx) -> DataFrame:
     out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
     out = status.hide_columns(out, ["subject", "raw_asset", "latest_sorted_asset", "detail"])
     return out.withColumn("complete_probe_data", joined("complete_probe_data"))
+
+
+@query("scatter_missed_insertions")
+def q_scatter_missed(c: Ctx) -> DataFrame:
+    """C19 × C7: coronal density image of the missed insertions, drawn black."""
+    kw = {"filter_implant_location": "small", "filter_probe_letter": "B", "whole_probe": True}
+    missed = coverage.missed_insertions(
+        _probe_locs(c, "", "children_of", **kw), _probe_locs(c, AREA_NATION, "children_of", **kw)
+    )
+    shape = (V.axis_size(c.voxels, "dv"), F.floor(V.axis_size(c.voxels, "ml") / 2))
+    img = V.scatter_density(missed, "coronal", image_shape=shape, opacity_range=(0.7, 1.0), rgb=(0.0, 0.0, 0.0))
+    return _round_image(img)

@@ -642,3 +642,27 @@ SQL["sorting_status_compact"] = SQL["sorting_status"].replace(
     "       jr AS jobs_running,",
     "SELECT session, jr AS jobs_running,",
 ).split("       concat_ws(chr(10),")[0].rstrip().rstrip(",") + "\nFROM t3\n"
+
+SQL["scatter_missed_insertions"] = with_children(["NATION_1"], """
+, everything AS (SELECT * FROM good WHERE is_right_hemisphere = false AND location IS NOT NULL)"""
+    + probe_sql("SELECT 0 AS term_idx, value FROM dv", 0, PROBE_KEYS,
+                "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False)
+      .replace("FROM matched m", "FROM everything m")
+    + """,
+hit_pl AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) IN (
+    SELECT session_id, electrode_group_name FROM vals JOIN (""" + CHILD_HITS + """) h USING (value)
+    GROUP BY session_id, electrode_group_name HAVING count(DISTINCT term_idx) = 1)
+  AND (session_id, electrode_group_name) IN (SELECT session_id, electrode_group_name FROM matched)),
+missed AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) NOT IN (SELECT session_id, electrode_group_name FROM hit_pl)),
+shape AS (SELECT (SELECT max(dv) + 1 FROM voxels) AS h, (SELECT n_ml // 2 FROM midline) AS w),
+pts AS (SELECT ccf_dv / 25 AS fy, ccf_ml / 25 AS fx, h, w FROM missed, shape
+        WHERE ccf_dv / 25 >= 0 AND ccf_dv / 25 <= h AND ccf_ml / 25 >= 0 AND ccf_ml / 25 <= w),
+bins AS (SELECT CAST(CASE WHEN fy = h THEN h - 1 ELSE floor(fy) END AS BIGINT) AS y,
+                CAST(CASE WHEN fx = w THEN w - 1 ELSE floor(fx) END AS BIGINT) AS x, count(*) AS n
+         FROM pts GROUP BY 1, 2),
+op AS (SELECT y, x, CAST(0.7 AS DOUBLE) + (CAST(1.0 AS DOUBLE) - CAST(0.7 AS DOUBLE))
+                    * (CAST(n AS DOUBLE) / (SELECT max(n) FROM bins)) AS raw FROM bins),
+al AS (SELECT y, x, least(greatest(CASE WHEN raw <= 0.7 THEN 0.0 ELSE raw END, 0.0), 1.0) AS a FROM op)
+SELECT y, x, CAST(0.0 AS DOUBLE) AS r, CAST(0.0 AS DOUBLE) AS g, CAST(0.0 AS DOUBLE) AS b, round(a, 9) AS a
+FROM al WHERE a > 0
+""", NATION_MATCH).replace("children)\n, everything", "children),\neverything")

@@ -111,3 +111,14 @@ def test_frontier_matches_walk_on_random_trees(spark):
     got = _frontier(spark, tree, vol, roots)
     for r in roots:
         assert got.get(r, set()) == _walk(children, vol, r), r
+
+
+def test_strict_children_search(spark, tree):
+    from ephysframe.operators.coverage import Atlas, units_at_location
+
+    good = spark.createDataFrame([("u1", "MOs1", False)], "unit_id string, location string, is_right_hemisphere boolean")
+    atlas = Atlas(tree, spark.createDataFrame([(656,)], "id long"))
+    assert units_at_location(good, "MOs", "children_of", atlas=atlas, strict=True).count() == 1
+    with pytest.raises(ValueError, match="No children found"):
+        units_at_location(good, "X", "children_of", atlas=atlas, strict=True)
+    assert units_at_location(good, "X", "children_of", atlas=atlas).count() == 0

@@ -71,3 +71,11 @@ def test_scatter_matches_histogram(spark):
     assert np.allclose(got, want)
     flat = _dense(V.scatter_density(df, "horizontal", image_shape=(h, w), opacity_range=(1.0, 1.0)), (h, w))
     assert np.array_equal(flat, (counts > 0) * 1.0)
+
+
+def test_scatter_colour(spark):
+    df = spark.createDataFrame([(30.0, 30.0), (30.0, 30.0), (80.0, 10.0)], "ccf_ap double, ccf_ml double")
+    rows = V.scatter_density(df, "horizontal", image_shape=(4, 4), rgb=(0.0, 0.0, 0.0)).collect()
+    assert {(r.r, r.g, r.b) for r in rows} == {(0.0, 0.0, 0.0)}
+    alpha = {(r.y, r.x): r.a for r in rows}
+    assert alpha[(1, 1)] == 1.0 and abs(alpha[(3, 0)] - 0.9) < 1e-12 and len(alpha) == 2
