@@ -86,8 +86,17 @@ good AS (
 """
 
 
+def _cte_join(ctes: str, body: str) -> str:
+    """Join a CTE list with a body that either continues it (starts with
+    a comma) or is the final statement."""
+    rest = body.lstrip()
+    if rest.startswith(","):
+        return "WITH " + ctes + ",\n" + rest[1:].lstrip()
+    return "WITH " + ctes + "\n" + body
+
+
 def with_roles(body: str) -> str:
-    return "WITH " + ROLES.strip() + "\n" + body
+    return _cte_join(ROLES.strip(), body)
 
 
 SQL: dict[str, str] = {}
@@ -132,13 +141,14 @@ GROUP BY u.session_id, u.location
 """)
 
 
-def children_cte(terms: list[str]) -> str:
+def children_cte(terms: list[str], roots_sql: str | None = None) -> str:
     """In-volume frontier descendants (term_idx, acronym) of each term, as SQL.
 
     Left-hemisphere labels; a labelled node under the root counts when no
-    labelled proper ancestor sits at or below the root.
+    labelled proper ancestor sits at or below the root. ``roots_sql`` gives
+    the (term_idx, root_id) rows directly instead of looking up ``terms``.
     """
-    roots = " UNION ALL ".join(
+    roots = roots_sql or " UNION ALL ".join(
         f"SELECT {i} AS term_idx, id AS root_id FROM tree WHERE acronym = '{t}'" for i, t in enumerate(terms)
     )
     return f"""
@@ -157,7 +167,7 @@ def with_children(terms: list[str], body: str, matched_where: str | None = None)
     extra = ""
     if matched_where is not None:
         extra = f",\nmatched AS (SELECT * FROM good WHERE {matched_where})"
-    return "WITH " + ROLES.strip() + "," + children_cte(terms) + extra + "\n" + body
+    return _cte_join(ROLES.strip() + "," + children_cte(terms) + extra, body)
 
 
 GOOD_COLS = """unit_id, session_id, subject_id, date, electrode_group_name, implant_location, location, structure,
@@ -205,7 +215,7 @@ SELECT subject_id, location, CAST(sum(location_count) AS BIGINT) AS units,
        (SELECT CAST(sum(location_count) AS BIGINT) FROM counts) AS total_units,
        (SELECT count(DISTINCT session_id) FROM counts) AS total_sessions
 FROM counts GROUP BY subject_id, location
-""".replace("\n, counts AS", ",\ncounts AS", 1)).replace(")\n,\ncounts AS", "),\ncounts AS")
+""")
 
 SQL["co_recorded_structures"] = with_children(["NATION_1"], """
 , other AS (
@@ -234,7 +244,7 @@ SELECT s.*, q.colour IS NOT NULL AS selected,
        CASE WHEN q.colour IS NOT NULL THEN '#' || q.colour END AS highlight,
        row_number() OVER (ORDER BY (q.colour IS NOT NULL) DESC, s.units DESC, s.location ASC NULLS LAST) - 1 AS index
 FROM s LEFT JOIN q ON q.location = s.location
-""").replace("good)\n, matched", "good),\nmatched")
+""")
 
 SQL["implant_value_counts"] = with_roles(f"""
 , v1 AS (
@@ -246,7 +256,7 @@ SQL["implant_value_counts"] = with_roles(f"""
     AND u.presence_ratio > CAST(10.0 AS DOUBLE)
   GROUP BY u.session_id, u.location)
 SELECT implant_location, count(*) AS count FROM v1 WHERE starts_with(location, '{PREFIX}') GROUP BY implant_location
-""").replace("good)\n, v1", "good),\nv1")
+""")
 
 PROBE_SELECT = """
 SELECT e.session_id, e.electrode_group_name, g.location AS implant_location, e.ccf_ml, e.ccf_ap, e.ccf_dv,
@@ -254,7 +264,8 @@ SELECT e.session_id, e.electrode_group_name, g.location AS implant_location, e.c
        round(t.color_r, 9) AS color_r, round(t.color_g, 9) AS color_g, round(t.color_b, 9) AS color_b"""
 
 
-def probe_sql(hits_sql: str, n_terms: int, join_on: list[str], filters: str = "TRUE", term_filter: bool = True) -> str:
+def probe_sql(hits_sql: str, n_terms: int, join_on: list[str], filters: str = "TRUE", term_filter: bool = True,
+              units_table: str = "matched") -> str:
     """Electrodes (left) of probes hitting every term, coinciding with a matched unit."""
     cond = " AND ".join(f"m.{k} = e.{k}" for k in join_on)
     probe_filter = ""
@@ -275,7 +286,7 @@ pl AS ({PROBE_SELECT}
   FROM el e
   JOIN electrode_groups g ON g.session_id = e.session_id AND g.name = e.electrode_group_name
   JOIN tree t ON t.acronym = e.location
-  WHERE EXISTS (SELECT 1 FROM matched m WHERE {cond})
+  WHERE EXISTS (SELECT 1 FROM {units_table} m WHERE {cond})
     AND e.ccf_ap > -1 AND e.ccf_dv > -1 AND e.ccf_ml > -1 AND {filters}
     {probe_filter})"""
 
@@ -298,20 +309,20 @@ SQL["probe_locations_contains_whole_probe"] = with_roles(
         2, PROBE_KEYS, "regexp_matches(g.location, '^s') AND e.electrode_group_name = 'probeB'",
     )
     + "\nSELECT * FROM pl"
-).replace("good)\n, matched", "good),\nmatched")
+)
 
 SQL["missed_insertions"] = with_children(["NATION_1"], """
 , everything AS (SELECT * FROM good WHERE is_right_hemisphere = false AND location IS NOT NULL)"""
     + probe_sql("SELECT 0 AS term_idx, value FROM dv", 0, PROBE_KEYS,
-                "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False)
-      .replace("FROM matched m", "FROM everything m")
+                "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False,
+                units_table="everything")
     + """,
 hit_pl AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) IN (
     SELECT session_id, electrode_group_name FROM vals JOIN (""" + CHILD_HITS + """) h USING (value)
     GROUP BY session_id, electrode_group_name HAVING count(DISTINCT term_idx) = 1)
   AND (session_id, electrode_group_name) IN (SELECT session_id, electrode_group_name FROM matched))
 SELECT * FROM pl WHERE (session_id, electrode_group_name) NOT IN (SELECT session_id, electrode_group_name FROM hit_pl)
-""", NATION_MATCH).replace("children)\n, everything", "children),\neverything")
+""", NATION_MATCH)
 
 SQL["insertion_hit_rate"] = with_children(["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """,
 ins AS (
@@ -344,7 +355,7 @@ SQL["overlay_regions_single"] = with_roles("""
 , matched AS (SELECT * FROM good WHERE starts_with(location, 'Supplier#000000011'))
 SELECT DISTINCT CASE WHEN (SELECT count(DISTINCT location) FROM matched) > 1 THEN structure ELSE location END AS area
 FROM matched
-""").replace("good)\n, matched", "good),\nmatched")
+""")
 
 DPRIME = """
 WITH blocks AS (
@@ -383,10 +394,7 @@ FROM tree
 
 
 def frontier_sql(roots_sql: str, body: str) -> str:
-    cte = children_cte(["root"]).replace(
-        "roots AS (SELECT 0 AS term_idx, id AS root_id FROM tree WHERE acronym = 'root')", f"roots AS ({roots_sql})"
-    )
-    return "WITH " + ROLES.strip() + "," + cte + "\n" + body
+    return _cte_join(ROLES.strip() + "," + children_cte([], roots_sql), body)
 
 
 SQL["frontier_descendants"] = frontier_sql("SELECT 0 AS term_idx, id AS root_id FROM tree WHERE depth < 3", """
@@ -444,7 +452,7 @@ rgb AS (SELECT color_r, color_g, color_b FROM tree WHERE acronym = 'EUROPE')
 SELECT y, x, round(color_r, 9) AS r, round(color_g, 9) AS g, round(color_b, 9) AS b,
        round(CAST(n AS DOUBLE) / (SELECT max(n) FROM cnt), 9) AS a
 FROM cnt, rgb
-""").replace("children)\n, mask", "children),\nmask")
+""")
 
 SQL["projection_slab"] = with_roles("""
 , mask AS (SELECT * FROM voxels WHERE ml < (SELECT n_ml // 2 FROM midline) AND structure_id > 0),
@@ -454,7 +462,7 @@ b AS (SELECT greatest(round_even((n // 2) - 0.5 * 10, 0), 0) AS lo, least(round_
 SELECT dv AS y, ml AS x, round(CAST(0.6 AS DOUBLE) * 255, 9) AS r, round(CAST(0.6 AS DOUBLE) * 255, 9) AS g,
        round(CAST(0.6 AS DOUBLE) * 255, 9) AS b, CAST(1.0 AS DOUBLE) AS a
 FROM mask, b WHERE ap >= lo AND ap < hi GROUP BY dv, ml
-""").replace("good)\n, mask", "good),\nmask")
+""")
 
 SQL["scatter_density"] = with_roles(f"""
 , matched AS (SELECT * FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}')),
@@ -469,7 +477,7 @@ op AS (SELECT y, x, CAST(0.7 AS DOUBLE) + (CAST(1.0 AS DOUBLE) - CAST(0.7 AS DOU
 al AS (SELECT y, x, least(greatest(CASE WHEN raw <= 0.7 THEN 0.0 ELSE raw END, 0.0), 1.0) AS a FROM op)
 SELECT y, x, CAST(1.0 AS DOUBLE) AS r, CAST(1.0 AS DOUBLE) AS g, CAST(1.0 AS DOUBLE) AS b, round(a, 9) AS a
 FROM al WHERE a > 0
-""").replace("good)\n, matched", "good),\nmatched")
+""")
 
 BOARDS = """
 WITH bs AS (
@@ -646,8 +654,8 @@ SQL["sorting_status_compact"] = SQL["sorting_status"].replace(
 SQL["scatter_missed_insertions"] = with_children(["NATION_1"], """
 , everything AS (SELECT * FROM good WHERE is_right_hemisphere = false AND location IS NOT NULL)"""
     + probe_sql("SELECT 0 AS term_idx, value FROM dv", 0, PROBE_KEYS,
-                "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False)
-      .replace("FROM matched m", "FROM everything m")
+                "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False,
+                units_table="everything")
     + """,
 hit_pl AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) IN (
     SELECT session_id, electrode_group_name FROM vals JOIN (""" + CHILD_HITS + """) h USING (value)
@@ -665,4 +673,4 @@ op AS (SELECT y, x, CAST(0.7 AS DOUBLE) + (CAST(1.0 AS DOUBLE) - CAST(0.7 AS DOU
 al AS (SELECT y, x, least(greatest(CASE WHEN raw <= 0.7 THEN 0.0 ELSE raw END, 0.0), 1.0) AS a FROM op)
 SELECT y, x, CAST(0.0 AS DOUBLE) AS r, CAST(0.0 AS DOUBLE) AS g, CAST(0.0 AS DOUBLE) AS b, round(a, 9) AS a
 FROM al WHERE a > 0
-""", NATION_MATCH).replace("children)\n, everything", "children),\neverything")
+""", NATION_MATCH)
