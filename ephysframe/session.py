@@ -29,6 +29,9 @@ def get_spark(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # broadcast decided on the MEASURED size of a finished shuffle stage
+        # (the static threshold, which trusts plan estimates, stays default)
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
