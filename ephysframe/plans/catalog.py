@@ -315,8 +315,10 @@ def q_region_mask(c: Ctx) -> DataFrame:
 
 
 def _area_rgb(c: Ctx, area: str):
-    row = c.tree.where(F.col("acronym") == area)
-    return tuple(row.select(F.col("color_rgb")[i]).scalar() for i in range(3))
+    """The area's colour as one scalar subquery (the array), indexed three
+    times: identical subqueries are computed once and reused."""
+    rgb = c.tree.where(F.col("acronym") == area).select(F.min("color_rgb")).scalar()
+    return tuple(rgb[i] for i in range(3))
 
 
 def _round_image(df: DataFrame) -> DataFrame:
