@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, poisson_mix, secret_scan, url_ratio
+from . import hash_tree, poisson_mix, secret_scan, url_ratio, winnowing
 from .common import table, text_or_empty
 
 
@@ -25,6 +25,12 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ QUERIES = {
     "op1_url_lm_ratio": op1_url_lm_ratio,
     "op3_hash_tree": op3_hash_tree,
     "op5_poisson_mix": op5_poisson_mix,
+    "op8_winnowing": op8_winnowing,
     "op10_secret_trigrams": op10_secret_trigrams,
 }
 SQL: dict[str, str] = {}
