@@ -76,3 +76,97 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def groups(batches, keys: list[str]):
+    """Tables of equal keys from batches that are sorted by them; only one group is held at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(c[a] for c in cols)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_group(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``df`` dealt out by the keys and sorted by them, ready for :func:`groups`."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def blocks(df: DataFrame, key: str, size: Column, limit: int, salt: Column) -> DataFrame:
+    """``df`` with ``bi``, ``bj`` and ``own``: large groups split into blocks, each row sent to all pairs of its block.
+
+    A group of at most ``limit`` rows is the one pair (0, 0). Pairs of blocks
+    together hold every pair of rows, and each row travels once for each
+    block of its group, not once for each row. ``own`` is the row's block.
+    """
+    n = F.ceil(size / F.lit(limit)).cast("int")
+    mine = F.pmod(salt, n).cast("int")
+    pair = F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
+    split = df.withColumn("own", mine).select("*", pair)
+    return split.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other")
+
+
+def spanning(match, own, first: int, second: int) -> list[tuple[int, int]]:
+    """Edges (row, row) that connect what the boolean matrix ``match`` connects.
+
+    Rows of one block get a spanning forest. For a pair of blocks only the
+    edges are returned that join parts which their blocks alone leave apart.
+    """
+    import numpy as np
+
+    n = len(own)
+
+    def parts(rows):
+        label = {}
+        for r in rows:
+            if r in label:
+                continue
+            label[r] = r
+            todo = [r]
+            while todo:
+                near = np.flatnonzero(match[todo].any(axis=0))
+                todo = [x for x in near.tolist() if x in inside and x not in label]
+                label |= dict.fromkeys(todo, r)
+        return label
+
+    if first == second:
+        inside = set(range(n))
+        return [(r, root) for r, root in parts(range(n)).items() if r != root]
+    label = {}
+    for b in (first, second):
+        rows = np.flatnonzero(own == b).tolist()
+        inside = set(rows)
+        label |= parts(rows)
+    up = {r: r for r in set(label.values())}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    names = np.array([label[r] for r in range(n)])
+    a, b = np.nonzero(match & (own[:, None] == first) & (own[None, :] == second))
+    out = []
+    for x, y in set(zip(names[a].tolist(), names[b].tolist())):
+        if top(x) != top(y):
+            up[top(x)] = top(y)
+            out.append((x, y))
+    return out
