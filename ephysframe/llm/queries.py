@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, lsh_forest, poisson_mix, secret_scan, url_ratio, winnowing
+from . import hash_tree, lsh_forest, poisson_mix, secret_scan, suffix_dedup, url_ratio, winnowing
 from .common import table, text_or_empty
 
 
@@ -25,6 +25,13 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["b"] - x["a"]))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsh_forest.join(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "component_id", "kept")
@@ -59,6 +66,7 @@ QUERIES = {
     "op1_url_lm_ratio": op1_url_lm_ratio,
     "op3_hash_tree": op3_hash_tree,
     "op5_poisson_mix": op5_poisson_mix,
+    "op6_suffix_arrays": op6_suffix_arrays,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_winnowing": op8_winnowing,
     "op10_secret_trigrams": op10_secret_trigrams,
