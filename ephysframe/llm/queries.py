@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, lsh_forest, poisson_mix, secret_scan, suffix_dedup, url_ratio, winnowing
-from .common import table, text_or_empty
+from . import hash_tree, lsh_forest, poisson_mix, secret_scan, suffix_dedup, token_blocks, url_ratio, winnowing
+from .common import scratch, table, text_or_empty
 
 
 def op1_url_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_ratio.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark, "token-blocks")
+    token_blocks.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), vocab=50_257)
+    return token_blocks.read_digests(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     body = text_or_empty("text")
@@ -64,6 +72,7 @@ MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 
 QUERIES = {
     "op1_url_lm_ratio": op1_url_lm_ratio,
+    "op2_rans_tokens": op2_rans_tokens,
     "op3_hash_tree": op3_hash_tree,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_suffix_arrays": op6_suffix_arrays,
