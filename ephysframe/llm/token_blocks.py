@@ -35,7 +35,7 @@ MAGIC = b"rAN1"
 
 #: White space on which texts may be cut, and other characters that some pattern takes for white space.
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: Encoded pieces that a Python worker remembers, in two generations of so many.
 REMEMBERED = 400_000
 _encoders: dict[tuple[str, int], "Encoder"] = {}
@@ -93,7 +93,7 @@ class Encoder:
         if not self.by_piece:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and _OTHER_SPACE.search(t) or t.isascii() and re.search(r"[\x0b\x0c\x1c-\x1f]", t)]
+        odd = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         for i, text in enumerate(texts):
