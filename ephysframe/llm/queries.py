@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, lsh_forest, poisson_mix, secret_scan, suffix_dedup, token_blocks, url_ratio, winnowing
+from . import hash_tree, lattice_dedup, lsh_forest, poisson_mix, secret_scan, suffix_dedup, token_blocks, url_ratio, winnowing
 from .common import scratch, table, text_or_empty
 
 
@@ -51,6 +51,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.join(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op6_suffix_arrays": op6_suffix_arrays,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_winnowing": op8_winnowing,
+    "op9_lattice_hashing": op9_lattice_hashing,
     "op10_secret_trigrams": op10_secret_trigrams,
 }
 SQL: dict[str, str] = {}
