@@ -59,12 +59,13 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, doc_id
     Rows of equal id draw alike; a null id draws as one id. Columns of these
     two names in ``docs`` are replaced.
     """
-    table = materialise(rates(docs, weights, default, source, text, unit, total_ratio), "mix-rates")
+    table = rates(docs, weights, default, source, text, unit, total_ratio)
+    table = materialise(table.select("__source", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")), "mix-rates")
     key = id_string(doc_id)
     rows = docs.drop("copy", "n_copies").withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     # the rates' size is known from their file: broadcast while small, else joined by a shuffle whose hot keys AQE splits
-    drawn = rows.join(table, "__source").withColumn("n_copies", copies(key, F.col("parts"), F.col("cdf"), seed))
-    drawn = drawn.drop("__source", "lam", "parts", "cdf").where("n_copies > 0")
+    drawn = rows.join(table, "__source").withColumn("n_copies", copies(key, F.col("__parts"), F.col("__cdf"), seed))
+    drawn = drawn.drop("__source", "__parts", "__cdf").where("n_copies > 0")
     repeated = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")))
     return repeated.withColumn("__order", order).orderBy("__order").drop("__order")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, lattice_dedup, lsh_forest, poisson_mix, secret_scan, suffix_dedup, token_blocks, url_ratio, winnowing
+from . import hash_tree, lattice_dedup, lsh_forest, poisson_mix, secret_scan, suffix_dedup, token_blocks, toxicity_chain, url_ratio, winnowing
 from .common import scratch, table, text_or_empty
 
 
@@ -29,6 +29,11 @@ def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity_chain.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", "rejected")
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op1_url_lm_ratio": op1_url_lm_ratio,
     "op2_rans_tokens": op2_rans_tokens,
     "op3_hash_tree": op3_hash_tree,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op5_poisson_mix": op5_poisson_mix,
     "op6_suffix_arrays": op6_suffix_arrays,
     "op7_lsh_forest": op7_lsh_forest,
