@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ephysframe.functions import first_by, parse_id_list, row_mean
-from ephysframe.operators.ordering import row_number_within
 
 
 def session_mean_dprime(performance: DataFrame) -> DataFrame:
@@ -20,18 +19,13 @@ def session_mean_dprime(performance: DataFrame) -> DataFrame:
     ``days_since_first_session`` counts from the subject's first session
     that still has a score.
 
-    The rank is a distributed row number over distinct (subject, session)
-    pairs (see ``ordering.row_number_within``) and the first-day lookup is
-    a grouped aggregate joined back, so no task ever holds all of one
-    subject's rows.
+    The rank window runs over the distinct (subject, session) pairs and the
+    first day over one row per session, so a window's rows are a subject's
+    sessions, not its blocks. Sessions without a subject form one group.
     """
     blocks = performance.withColumn("mean_dprime", row_mean("vis_intra_dprime", "aud_intra_dprime"))
-    numbering = row_number_within(
-        blocks.select("subject_id", "session_id").distinct(),
-        [F.asc_nulls_last("session_id")],
-        ["subject_id"],
-        name="session_number",
-        start=1,
+    numbering = blocks.select(F.col("subject_id").alias("_subject"), F.col("session_id").alias("_session")).distinct().withColumn(
+        "session_number", F.dense_rank().over(Window.partitionBy("_subject").orderBy(F.asc_nulls_last("_session"))).cast("long")
     )
     per_session = (
         blocks.where(F.col("mean_dprime").isNotNull())
@@ -43,12 +37,12 @@ def session_mean_dprime(performance: DataFrame) -> DataFrame:
             F.count("block_index").alias("num_blocks"),
         )
     )
-    first_day = per_session.groupBy("subject_id").agg(F.min("date").alias("_first_date"))
+    same = F.col("subject_id").eqNullSafe(F.col("_subject")) & (F.col("session_id") == F.col("_session"))
+    first_day = F.min("date").over(Window.partitionBy("subject_id"))
     return (
-        per_session.join(numbering, ["subject_id", "session_id"])
-        .join(first_day, "subject_id")
-        .withColumn("days_since_first_session", F.datediff("date", "_first_date").cast("bigint"))
-        .drop("_first_date")
+        per_session.join(numbering, same)
+        .withColumn("days_since_first_session", F.datediff("date", first_day).cast("bigint"))
+        .select("session_id", "subject_id", "date", "mean_dprime", "num_blocks", "session_number", "days_since_first_session")
         .orderBy("subject_id", "date")
     )
 
@@ -56,6 +50,7 @@ def session_mean_dprime(performance: DataFrame) -> DataFrame:
 def dprime_over_time(performance: DataFrame, subject_ids: str | Iterable[int] | None = None) -> DataFrame:
     """C27 line-plot data: optionally only the given subjects (``'1, 2 3'``),
     with the date as text."""
-    df = session_mean_dprime(performance).withColumn("date", F.col("date").cast("string"))
     ids = parse_id_list(subject_ids)
-    return df.where(F.col("subject_id").isin(*ids)) if ids else df
+    # ranks and first days are per subject, so the subjects are chosen first
+    chosen = performance.where(F.col("subject_id").isin(*ids)) if ids else performance
+    return session_mean_dprime(chosen).withColumn("date", F.col("date").cast("string"))

@@ -4,7 +4,8 @@ which implant hole (C3, C5-C11, C20, C30, C32).
 Inputs are the good-unit table of ``gates.good_units`` and the electrode,
 electrode-group and tree tables. All list round trips of the dashboards
 (collect a group, filter, explode back) are written as semi/anti joins and
-flags so no group is ever gathered into one row.
+flags. The one list kept is the result's own: the unit ids of a session in
+one structure.
 """
 
 from __future__ import annotations
@@ -12,15 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ephysframe.functions import (
-    all_of, any_of, first_by, format_probe_name_py, match_term, n_unique, replace_first,
-    round_half_up_ratio, split_part, split_terms, strict_concat,
+    all_of, any_of, first_by, format_probe_name, match_term, n_unique, replace_first,
+    round_half_up_ratio, split_part, split_terms,
 )
-from ephysframe.operators.joins import broadcast_if_small
-from ephysframe.operators.ordering import with_row_index
 from ephysframe.operators.tree import acronyms_to_ids, frontier_descendants
 
 # Mode names of the area search.
@@ -45,15 +44,10 @@ class Atlas:
         return root_ids.join(desc, "root_id").join(names, "id").select("term_idx", "acronym")
 
 
-def unit_counts(units: DataFrame, with_unit_ids: bool = False) -> DataFrame:
-    """Per (session, location): unit count and the first structure /
-    subject / date / implant / probe (first by unit id).
-
-    The dashboards also gathered each group's unit ids into a list. That
-    list is opt-in (``with_unit_ids``): a group holding a large share of all
-    units would become one huge row. The ids per group are the rows of
-    ``units`` itself (session_id, location, unit_id), which is how the
-    co-recorded count (C9) consumes them.
+def unit_counts(units: DataFrame) -> DataFrame:
+    """Per (session, location): unit count, the first structure /
+    subject / date / implant / probe (first by unit id) and the sorted list
+    of unit ids, bounded by the units of one session in one structure.
     """
     order = ("unit_id", "electrode_group_name")
     aggs = [
@@ -63,9 +57,8 @@ def unit_counts(units: DataFrame, with_unit_ids: bool = False) -> DataFrame:
         first_by("date", *order).alias("date"),
         first_by("implant_location", *order).alias("implant_location"),
         first_by("electrode_group_name", *order).alias("electrode_group_name"),
+        F.array_sort(F.collect_list("unit_id")).alias("unit_ids"),
     ]
-    if with_unit_ids:
-        aggs.append(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
     return units.groupBy("session_id", "location").agg(*aggs)
 
 
@@ -82,7 +75,7 @@ def units_at_location(
     include_right_hemisphere: bool = False,
     atlas: Atlas | None = None,
     ordered: bool = False,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """Units whose location matches any of the comma separated terms.
 
@@ -90,8 +83,8 @@ def units_at_location(
     ``children_of`` an exact, case-sensitive match on the frontier
     descendants of each term (a semi-join against the tree). No term keeps
     every unit with a location. Left hemisphere only unless asked.
-    ``strict`` fails when a ``children_of`` search expands to nothing (one
-    small emptiness check on the tree-derived set), as the search box did.
+    A ``children_of`` search that expands to nothing fails when it runs,
+    unless ``strict`` is off.
     """
     if filter_type not in MODES:
         raise ValueError(f"filter_type must be one of {MODES}")
@@ -100,43 +93,133 @@ def units_at_location(
     if not terms:
         out = units.where(F.col("location").isNotNull())
     elif filter_type == "children_of":
-        if atlas is None:
-            raise ValueError("children_of needs an Atlas")
-        acr = atlas.children_acronyms(terms).select(F.col("acronym").alias("location")).distinct()
-        if strict and acr.isEmpty():
-            raise ValueError(f"No children found for {filter_area!r}")
-        out = units.join(acr, "location", "left_semi")
+        out = units.join(_children(atlas, terms, filter_area, strict), "location", "left_semi")
     else:
-        loc = F.col("location") if case_sensitive else F.lower(F.col("location"))
-        ts = terms if case_sensitive else [t.lower() for t in terms]
-        out = units.where(any_of(match_term(loc, t, filter_type) for t in ts))
+        out = units.where(_label_matches(F.col("location"), terms, filter_type, case_sensitive))
     return out.orderBy("date", "location") if ordered else out
 
 
-def _substrings(v: Column) -> Column:
-    n = F.length(v)
-    return F.flatten(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr(v, i, j - i + 1)))
-    )
+def flag_at_location(
+    good: DataFrame,
+    filter_area: str | None,
+    filter_type: str = "starts_with",
+    *,
+    case_sensitive: bool = True,
+    include_right_hemisphere: bool = False,
+    atlas: Atlas | None = None,
+    strict: bool = True,
+) -> DataFrame:
+    """``good`` with a flag ``in_area``: would :func:`units_at_location` keep
+    the row? One pass where a caller needs the matched units and the others."""
+    terms = split_terms(filter_area)
+    side = F.lit(True) if include_right_hemisphere else F.coalesce(~F.col("is_right_hemisphere"), F.lit(False))
+    if not terms:
+        return good.withColumn("in_area", side & F.col("location").isNotNull())
+    if filter_type == "children_of":
+        acr = _children(atlas, terms, filter_area, strict).withColumn("_child", F.lit(True))
+        return good.join(acr, "location", "left").withColumn("in_area", side & F.coalesce("_child", F.lit(False))).drop("_child")
+    label = _label_matches(F.col("location"), terms, filter_type, case_sensitive)
+    return good.withColumn("in_area", side & F.coalesce(label, F.lit(False)))
+
+
+def _label_matches(loc: Column, terms: list[str], filter_type: str, case_sensitive: bool) -> Column:
+    if case_sensitive:
+        return any_of(match_term(loc, t, filter_type) for t in terms)
+    if filter_type == "contains":  # the pattern itself must not be lowered: \\D is not \\d
+        return any_of(loc.rlike("(?i)" + t) for t in terms)
+    return any_of(match_term(F.lower(loc), t.lower(), filter_type) for t in terms)
+
+
+def _children(atlas: Atlas | None, terms: list[str], filter_area: str | None, strict: bool) -> DataFrame:
+    """The acronyms (column ``location``) of a ``children_of`` search."""
+    if atlas is None:
+        raise ValueError("children_of needs an Atlas")
+    acr = atlas.children_acronyms(terms).select(F.col("acronym").alias("location")).distinct()
+    if not strict:
+        return acr
+    # an aggregate always has a row, so an empty set is seen when the query runs
+    seen = acr.agg(F.count(F.lit(1)).alias("_n"))
+    failure = F.raise_error(F.lit(f"area search {filter_area!r} matches nothing in the volume")).cast("string")
+    guard = seen.where(F.col("_n") == 0).select(failure.alias("location"))
+    return acr.unionByName(guard)
 
 
 def contains_any(values: DataFrame, needles: DataFrame) -> DataFrame:
     """(term_idx, value) for each distinct ``value`` containing some ``needle``
     of that term as a literal substring.
 
-    Exact and join-based: every substring of each distinct value is
-    exploded and equi-joined with the needles, so there is no nested-loop
-    join. Values here are short labels (acronyms), so the substring count
-    per value is small.
+    Exact and join-based: the substrings of each distinct value that are as
+    long as some needle are exploded and equi-joined with the needles, so
+    there is no nested-loop join and a value gives at most its length times
+    the number of distinct needle lengths.
     """
-    subs = (
-        values.where(F.length("value") > 0)
-        .select("value", F.explode(_substrings(F.col("value"))).alias("needle"))
-        .distinct()
-    )
+    lengths = needles.where(F.length("acronym") > 0).select(F.collect_set(F.length("acronym"))).scalar()
+    sized = values.select("value", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("value"))
+    starts = F.sequence(F.lit(1), F.length("value") - F.col("_n") + 1)
+    pieces = F.transform(starts, lambda i: F.substr(F.col("value"), i, F.col("_n")))
+    subs = sized.select("value", F.explode(pieces).alias("needle")).distinct()
     return subs.join(needles.select("term_idx", F.col("acronym").alias("needle")), "needle").select("term_idx", "value").distinct()
 
 
+def _probe_tracks(
+    electrodes: DataFrame,
+    electrode_groups: DataFrame,
+    midline: float | Column,
+    include_right_hemisphere: bool,
+    implant: str | None,
+    probe_letter: str | None,
+) -> DataFrame:
+    """Electrodes with their insertion's implant location; the insertion filters come first."""
+    e = electrodes.select(
+        "session_id",
+        F.col("group_name").alias("electrode_group_name"),
+        F.col("x").alias("ccf_ap"),
+        F.col("y").alias("ccf_dv"),
+        F.col("z").alias("ccf_ml"),
+        "location",
+        "structure",
+    )
+    midline_col = midline if isinstance(midline, Column) else F.lit(float(midline))
+    e = _hemisphere_filter(e.withColumn("is_right_hemisphere", F.col("ccf_ml") > midline_col), include_right_hemisphere)
+    groups = electrode_groups.select(
+        "session_id", F.col("name").alias("electrode_group_name"), F.col("location").alias("implant_location")
+    ).where(all_of(_insertion_filters(implant, probe_letter)))
+    if probe_letter:
+        e = e.where(_insertion_filters(None, probe_letter)[0])
+    return e.join(groups, PROBE_KEY)
+
+
+def _reached(tracks: DataFrame, filter_area: str | None, filter_type: str, atlas: Atlas | None) -> DataFrame:
+    """Probes (session, electrode group) of which, for EVERY term, some electrode's label matches."""
+    terms = split_terms(filter_area)
+    # a probe's distinct labels only: structures are few and shared by many electrodes
+    labelled = tracks.select(*PROBE_KEY, F.explode(F.array("location", "structure")).alias("value")).where(
+        F.col("value").isNotNull()
+    ).distinct()
+    if filter_type == "children_of":
+        if atlas is None:
+            raise ValueError("children_of needs an Atlas")
+        hits = contains_any(labelled.select("value").distinct(), atlas.children_acronyms(terms))
+        labelled = labelled.join(hits, "value")
+    else:
+        found = F.array(*[F.when(F.col("value").rlike(t), F.lit(i)) for i, t in enumerate(terms)])
+        labelled = labelled.select(*PROBE_KEY, F.explode(F.filter(found, lambda i: i.isNotNull())).alias("term_idx"))
+    return (
+        labelled.groupBy(*PROBE_KEY)
+        .agg(F.count_distinct("term_idx").alias("terms_hit"))
+        .where(F.col("terms_hit") == len(terms))
+        .select(*PROBE_KEY)
+    )
+
+
+PROBE_KEY = ["session_id", "electrode_group_name"]
+POSITION = ["ccf_ap", "ccf_dv", "ccf_ml"]
+
+
+def _inside(df: DataFrame) -> DataFrame:
+    return df.where(all_of([F.col(p) > -1 for p in POSITION]))
+
+
 def probe_locations(
     electrodes: DataFrame,
     electrode_groups: DataFrame,
@@ -160,53 +243,39 @@ def probe_locations(
     case flag does not apply here. Kept electrodes must then coincide with a
     matched unit: same probe, and same position unless ``whole_probe``.
     """
-    e = electrodes.select(
-        "session_id",
-        F.col("group_name").alias("electrode_group_name"),
-        F.col("x").alias("ccf_ap"),
-        F.col("y").alias("ccf_dv"),
-        F.col("z").alias("ccf_ml"),
-        "location",
-        "structure",
-    )
-    midline_col = midline if isinstance(midline, Column) else F.lit(float(midline))
-    e = _hemisphere_filter(e.withColumn("is_right_hemisphere", F.col("ccf_ml") > midline_col), include_right_hemisphere)
-    probe_key = ["session_id", "electrode_group_name"]
-    terms = split_terms(filter_area)
-    if terms:
-        labelled = e.select(*probe_key, F.explode(F.array("location", "structure")).alias("value")).where(
-            F.col("value").isNotNull()
-        )
-        values = labelled.select("value").distinct()
-        if filter_type == "children_of":
-            if atlas is None:
-                raise ValueError("children_of needs an Atlas")
-            hits = contains_any(values, atlas.children_acronyms(terms))
-        else:
-            hits = reduce(
-                DataFrame.unionByName,
-                [values.where(F.col("value").rlike(t)).withColumn("term_idx", F.lit(i)) for i, t in enumerate(terms)],
-            )
-        probes = (
-            labelled.join(hits, "value")
-            .groupBy(*probe_key)
-            .agg(F.count_distinct("term_idx").alias("terms_hit"))
-            .where(F.col("terms_hit") == len(terms))
-        )
-        e = e.join(probes.select(*probe_key), probe_key, "left_semi")
-    groups = electrode_groups.select(
-        "session_id", F.col("name").alias("electrode_group_name"), F.col("location").alias("implant_location")
-    )
-    join_on = probe_key + ([] if whole_probe else ["ccf_ap", "ccf_dv", "ccf_ml"])
-    e = (
-        e.join(groups, probe_key)
-        .join(matched_units.select(*join_on), join_on, "left_semi")
-        .where(all_of([F.col("ccf_ap") > -1, F.col("ccf_dv") > -1, F.col("ccf_ml") > -1]))
-        .where(all_of(_insertion_filters(filter_implant_location, filter_probe_letter)))
-        .select(*probe_key, "implant_location", "ccf_ml", "ccf_ap", "ccf_dv", "location", "structure", "is_right_hemisphere")
-    )
+    e = _probe_tracks(electrodes, electrode_groups, midline, include_right_hemisphere, filter_implant_location, filter_probe_letter)
+    if split_terms(filter_area):
+        e = e.join(_reached(e, filter_area, filter_type, atlas), PROBE_KEY, "left_semi")
+    join_on = PROBE_KEY + ([] if whole_probe else POSITION)
+    e = _inside(e.join(matched_units.select(*join_on), join_on, "left_semi"))
+    return _coloured(e, tree)
+
+
+def _coloured(tracks: DataFrame, tree: DataFrame) -> DataFrame:
+    columns = [*PROBE_KEY, "implant_location", "ccf_ml", "ccf_ap", "ccf_dv", "location", "structure", "is_right_hemisphere"]
     colours = tree.select(F.col("acronym").alias("location"), *[c for c in tree.columns if c.startswith("color_")])
-    return e.join(broadcast_if_small(colours), "location")
+    return tracks.select(*columns).join(colours, "location")
+
+
+def probe_keys(
+    electrodes: DataFrame,
+    electrode_groups: DataFrame,
+    matched_units: DataFrame,
+    tree: DataFrame,
+    midline: float | Column,
+    filter_area: str | None,
+    filter_type: str = "starts_with",
+    *,
+    include_right_hemisphere: bool = False,
+    atlas: Atlas | None = None,
+) -> DataFrame:
+    """C6 without positions: the distinct probes with a row in :func:`probe_locations`."""
+    e = _probe_tracks(electrodes, electrode_groups, midline, include_right_hemisphere, None, None)
+    at_units = _inside(e.join(matched_units.select(*PROBE_KEY, *POSITION), PROBE_KEY + POSITION, "left_semi"))
+    keys = at_units.join(tree.select(F.col("acronym").alias("location")), "location", "left_semi").select(*PROBE_KEY).distinct()
+    if split_terms(filter_area):
+        keys = keys.join(_reached(e, filter_area, filter_type, atlas), PROBE_KEY, "left_semi")
+    return keys
 
 
 def _insertion_filters(implant: str | None, probe_letter: str | None) -> list[Column]:
@@ -214,16 +283,41 @@ def _insertion_filters(implant: str | None, probe_letter: str | None) -> list[Co
     if implant:
         preds.append(F.col("implant_location").rlike(implant))
     if probe_letter:
-        preds.append(F.col("electrode_group_name") == F.lit(format_probe_name_py(probe_letter)))
+        preds.append(F.col("electrode_group_name") == format_probe_name(F.lit(probe_letter)))
     return preds
 
 
-def missed_insertions(all_locations: DataFrame, hit_locations: DataFrame) -> DataFrame:
-    """Electrode rows of probes (matching the implant/probe filter) that
-    never reached the area: anti-join on (session, probe)."""
-    key = ["session_id", "electrode_group_name"]
-    hits = hit_locations.select(*key).where(F.col("session_id").isNotNull() & F.col("electrode_group_name").isNotNull())
-    return all_locations.join(hits, key, "left_anti")
+def missed_insertions(
+    electrodes: DataFrame,
+    electrode_groups: DataFrame,
+    flagged: DataFrame,
+    tree: DataFrame,
+    midline: float | Column,
+    filter_area: str | None,
+    filter_type: str = "starts_with",
+    *,
+    include_right_hemisphere: bool = False,
+    filter_implant_location: str | None = None,
+    filter_probe_letter: str | None = None,
+    atlas: Atlas | None = None,
+) -> DataFrame:
+    """Whole tracks of probes (matching the implant and probe filter) with
+    a good unit somewhere that never reached the area.
+
+    ``flagged`` comes from :func:`flag_at_location`. A probe reached the
+    area when its labels match and a unit of its own lies in the area; both
+    are flags of the probe, so electrodes and good units are each read once.
+    """
+    e = _probe_tracks(electrodes, electrode_groups, midline, include_right_hemisphere, filter_implant_location, filter_probe_letter)
+    units = flagged if include_right_hemisphere else flagged.where(F.col("is_right_hemisphere") == F.lit(False))
+    probes = units.where(F.col("location").isNotNull()).groupBy(*PROBE_KEY).agg(F.max("in_area").alias("_unit_in_area"))
+    if split_terms(filter_area):
+        reached = _reached(e, filter_area, filter_type, atlas).withColumn("_reached", F.lit(True))
+        probes = probes.join(reached, PROBE_KEY, "left")
+    else:
+        probes = probes.withColumn("_reached", F.lit(True))
+    missed = probes.where(~(F.col("_unit_in_area") & F.coalesce("_reached", F.lit(False)))).select(*PROBE_KEY)
+    return _coloured(_inside(e.join(missed, PROBE_KEY, "left_semi")), tree)
 
 
 def location_breakdown(counts: DataFrame, group_by: str = "subject_id") -> DataFrame:
@@ -231,8 +325,8 @@ def location_breakdown(counts: DataFrame, group_by: str = "subject_id") -> DataF
     of units and of (non-null) sessions as scalar-subquery columns."""
     if group_by not in ("subject_id", "session_id"):
         raise ValueError("group_by must be subject_id or session_id")
-    total_units = counts.select(F.sum("location_count")).scalar()
-    total_sessions = counts.select(F.count_distinct("session_id")).scalar()
+    totals = counts.select(F.struct(F.sum("location_count").alias("units"), F.count_distinct("session_id").alias("sessions"))).scalar()
+    total_units, total_sessions = totals["units"], totals["sessions"]
     return (
         counts.groupBy(group_by, "location")
         .agg(F.sum("location_count").alias("units"))
@@ -247,30 +341,34 @@ def location_legend(counts: DataFrame) -> DataFrame:
 
 def approx_location_stats(locations: DataFrame) -> DataFrame:
     """Approximate distinct sessions and locations of a probe-track
-    result in one aggregate (HyperLogLog++, mergeable partial states)."""
+    result (HyperLogLog++, mergeable partial states) beside the exact ones."""
     return locations.agg(
         F.approx_count_distinct("session_id").alias("approx_sessions"),
         F.approx_count_distinct("location").alias("approx_locations"),
+        F.count_distinct("session_id").alias("exact_sessions"),
+        F.count_distinct("location").alias("exact_locations"),
     )
 
 
-def co_recorded_structures(good: DataFrame, matched_units: DataFrame, k: int = 15) -> DataFrame:
+def co_recorded_structures(flagged: DataFrame, k: int = 15) -> DataFrame:
     """In sessions that hit the area, the units NOT in it, counted per
     structure × session, for the ``k`` structures with most such units
-    (ties broken by structure name).
+    (ties broken by structure name; a null structure takes no place).
 
-    Semi-join to the hit sessions, anti-join to the hit units, partial
-    aggregates, a top-k of at most one row per structure, and a join back of
-    those ``k`` rows (broadcast: bounded by ``k``).
+    ``flagged`` comes from :func:`flag_at_location`, so the good units are
+    read once. Counts are taken per (session, structure); a window over a
+    session's few structures then tells whether the session was hit. The
+    join back takes at most ``k`` rows (broadcast: bounded by ``k``).
     """
-    sessions = matched_units.select("session_id")
-    hit_ids = matched_units.select("unit_id").where(F.col("unit_id").isNotNull())
-    other = (
-        good.join(sessions, "session_id", "left_semi")
-        .where(F.col("unit_id").isNotNull())
-        .join(hit_ids, "unit_id", "left_anti")
+    counted = flagged.groupBy("session_id", "structure").agg(
+        F.max("in_area").alias("_hit"),
+        F.count(F.when(~F.col("in_area"), F.col("unit_id"))).alias("unit_count"),
+    )
+    per = (
+        counted.withColumn("_session_hit", F.max("_hit").over(Window.partitionBy("session_id")))
+        .where(F.col("_session_hit") & (F.col("unit_count") > 0) & F.col("structure").isNotNull())
+        .select("structure", "session_id", "unit_count")
     )
-    per = other.groupBy("structure", "session_id").agg(F.count("unit_id").alias("unit_count"))
     top = (
         per.groupBy("structure")
         .agg(F.sum("unit_count").alias("total_structure_count"))
@@ -279,7 +377,7 @@ def co_recorded_structures(good: DataFrame, matched_units: DataFrame, k: int = 1
     )
     t = F.broadcast(top).alias("t")
     p = per.alias("p")
-    return p.join(t, F.col("p.structure").eqNullSafe(F.col("t.structure"))).select(
+    return p.join(t, F.col("p.structure") == F.col("t.structure")).select(
         "p.structure", "p.session_id", "p.unit_count", "t.total_structure_count"
     )
 
@@ -307,18 +405,27 @@ def location_summary(
         first_by("structure", "unit_id", "session_id").alias("structure"),
         first_by("safe_name", "unit_id", "session_id").alias("description"),
     )
-    queried = matched_units.groupBy("location").agg(F.min("color_hex_triplet").alias("_colour"))
-    flagged = summary.join(queried, "location", "left").withColumn("selected", F.col("_colour").isNotNull())
+    queried = matched_units.groupBy("location").agg(F.min("color_hex_triplet").alias("_colour"), F.lit(True).alias("_queried"))
+    flagged = summary.join(queried, "location", "left").withColumn("selected", F.coalesce("_queried", F.lit(False)))
     if highlight:
         flagged = flagged.withColumn("highlight", F.when(F.col("selected"), F.concat(F.lit("#"), F.col("_colour"))))
-    order = [F.desc("selected"), F.desc("units"), F.asc_nulls_last("location")]
-    return with_row_index(flagged.drop("_colour"), order)
+    # rows before a (selected, units) class from the classes' sizes, then the place within the class
+    key = ["selected", "units"]
+    sizes = flagged.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(F.desc("selected"), F.desc("units")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("location")))
+    return (
+        flagged.withColumn("_place", place)
+        .join(offsets, key)
+        .withColumn("index", (F.col("_before") + F.col("_place") - 1).cast("long"))
+        .drop("_colour", "_queried", "_place", "_before")
+    )
 
 
 def insertion_hit_rate(
-    matched_units: DataFrame,
-    probe_locs: DataFrame,
-    good: DataFrame,
+    flagged: DataFrame,
+    probes: DataFrame,
     *,
     filter_implant_location: str | None = None,
     filter_probe_letter: str | None = None,
@@ -328,19 +435,20 @@ def insertion_hit_rate(
     hole among all good units, ``rate`` = hits/total rounded half-up to 2
     places. The implant location is split into implant and hole; the probe
     letter is the group name without its first ``probe``.
+
+    ``flagged`` comes from :func:`flag_at_location`, ``probes`` from
+    :func:`probe_keys`. The good units are reduced to insertions first.
     """
     key = ["electrode_group_name", "implant_location"]
-    ins = (
-        matched_units.join(probe_locs.select("session_id", "electrode_group_name"), ["session_id", "electrode_group_name"], "left_semi")
-        .withColumn("insertion_id", strict_concat("session_id", "electrode_group_name", "implant_location"))
-        .where(all_of(_insertion_filters(filter_implant_location, filter_probe_letter)))
-    )
-    totals = good.groupBy(*key).agg(n_unique("session_id").alias("total"))
+    insertions = flagged.groupBy("session_id", *key).agg(F.max("in_area").alias("_in_area"))
+    reached = insertions.join(probes.withColumn("_reached", F.lit(True)), PROBE_KEY, "left")
+    hit = F.col("_in_area") & F.coalesce("_reached", F.lit(False))
+    wanted = all_of(_insertion_filters(filter_implant_location, filter_probe_letter))
     rates = (
-        ins.join(totals, key)
-        .where(F.col("total") > 0)
+        reached.where(wanted & F.col("implant_location").isNotNull())
         .groupBy(*key)
-        .agg(n_unique("insertion_id").alias("hits"), F.min("total").alias("total"))
+        .agg(F.count(F.when(hit, F.lit(1))).alias("hits"), F.count(F.lit(1)).alias("total"))
+        .where(F.col("hits") > 0)
         .withColumn("rate", round_half_up_ratio("hits", "total", 2))
         .where(F.col("rate").isNotNull())
         .withColumns(
@@ -382,9 +490,9 @@ def pick_structure(good: DataFrame, seed: int = 0) -> DataFrame:
     """One pseudo-random structure holding a left-hemisphere unit
     (the starting value of the search box). Deterministic for a seed."""
     return (
-        good.where(F.col("unit_id").isNotNull() & (F.col("is_right_hemisphere") == F.lit(False)))
+        good.where(F.col("unit_id").isNotNull() & (F.col("is_right_hemisphere") == F.lit(False)) & F.col("structure").isNotNull())
         .select("structure")
         .distinct()
-        .orderBy(F.xxhash64(F.col("structure"), F.lit(seed)), "structure")
+        .orderBy(F.md5(F.concat(F.col("structure"), F.lit(f"|{seed}"))), "structure")
         .limit(1)
     )

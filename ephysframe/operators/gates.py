@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ephysframe.functions import all_of, first_by, list_lacks, n_unique
-from ephysframe.operators.joins import broadcast_if_small
 
 # The dashboards' default thresholds.
 DPRIME_THRESHOLD = 1.0
@@ -106,13 +105,12 @@ def good_units(
         F.col("name").alias("electrode_group_name"),
         F.col("location").alias("implant_location"),
     )
-    tree_by_location = broadcast_if_small(tree.withColumnRenamed("acronym", "location"))
     midline_col = midline if isinstance(midline, Column) else F.lit(float(midline))
     return (
         sessions.join(u, "session_id")
         .join(groups, ["session_id", "electrode_group_name"])
         .withColumn("is_right_hemisphere", F.col("ccf_ml") > midline_col)
-        .join(tree_by_location, "location")
+        .join(tree.withColumnRenamed("acronym", "location"), "location")
     )
 
 
@@ -144,10 +142,12 @@ def unit_locations_v1(
     max_isi_count: float = ISI_VIOLATIONS_RATIO_THRESHOLD,
     max_amp_cutoff: float = AMPLITUDE_CUTOFF_THRESHOLD,
     min_presence: float = PRESENCE_RATIO_THRESHOLD,
-    with_unit_ids: bool = False,
 ) -> DataFrame:
     """The older gate and grouping.
 
+    ``unit_ids`` lists the ids of the group, in order: its length is bounded
+    by the units of one session in one structure.
+
     Differences from C1-C3: the ISI gate reads ``isi_violations_count``, no
     tree join and no hemisphere flag, and the per-group columns omit the
     probe name.
@@ -174,7 +174,6 @@ def unit_locations_v1(
         first_by("subject_id", *order).alias("subject_id"),
         first_by("date", *order).alias("date"),
         first_by("implant_location", *order).alias("implant_location"),
+        F.array_sort(F.collect_list("unit_id")).alias("unit_ids"),
     ]
-    if with_unit_ids:  # opt-in, as in coverage.unit_counts
-        aggs.append(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
     return joined.groupBy("session_id", "location").agg(*aggs)

@@ -1,16 +1,11 @@
 """Probe inventory: keyed table with edits and additions.
 
-The dashboard kept a SQLite table. Here the table is a series of Parquet
-snapshots in a shared folder; a change batch is merged by key and written
-as the next snapshot, so a failed write never damages the current one.
+The dashboard kept a SQLite table. Here the table is a Parquet folder; a
+change batch is merged by key and written to another folder.
 """
 
 from __future__ import annotations
 
-import os
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,42 +50,16 @@ def as_text_dates(df: DataFrame, fmt: str = "yyyy-MM-dd") -> DataFrame:
     return df.withColumns({c: F.date_format(c, fmt) for c in dates})
 
 
-class InventoryStore:
-    """Snapshot store: ``<root>/v=<n>`` folders of Parquet.
-
-    Versions are found with Spark's own partition discovery, so the root can
-    be any file system Spark reads (HDFS, object stores). A version appears
-    only once its write job has committed.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def latest_version(self) -> int | None:
-        """Highest committed version, from the file index (metadata only)."""
-        try:
-            files = self.spark.read.schema(PROBES).parquet(self.root).inputFiles()
-        except AnalysisException:
-            return None
-        versions = [int(m.group(1)) for f in files if (m := re.search(r"/v=(\d+)/", f))]
-        return max(versions) if versions else None
-
-    def initialize(self) -> None:
-        """Create the empty table if missing."""
-        if self.latest_version() is None:
-            self.spark.createDataFrame([], PROBES).coalesce(1).write.mode("overwrite").parquet(os.path.join(self.root, "v=0"))
-
-    def load(self) -> DataFrame:
-        """Current snapshot."""
-        self.initialize()
-        return self.spark.read.schema(PROBES).parquet(os.path.join(self.root, f"v={self.latest_version()}"))
-
-    def save(self, df: DataFrame) -> int:
-        """Write ``df`` as the next snapshot (S8); returns its version."""
-        current = self.latest_version()
-        nxt = 0 if current is None else current + 1
-        df.select(*[f.name for f in PROBES.fields]).write.mode("overwrite").parquet(os.path.join(self.root, f"v={nxt}"))
-        return nxt
-
-    def apply(self, changes: DataFrame, order: list[str]) -> int:
-        return self.save(inventory_apply(self.load(), changes, order))
+def create_if_missing(spark: SparkSession, path: str) -> None:
+    """An empty inventory at ``path`` unless there is one."""
+    spark.createDataFrame([], PROBES).coalesce(1).write.mode("ignore").parquet(path)
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """The inventory at ``path``."""
+    return spark.read.schema(PROBES).parquet(path)
+
+
+def write_inventory(df: DataFrame, path: str) -> None:
+    """Write the inventory to ``path``, which must not be where it is read from."""
+    df.select(*[f.name for f in PROBES.fields]).write.mode("overwrite").parquet(path)

@@ -39,14 +39,13 @@ def qc_manifest(files: DataFrame, sessions: DataFrame, root: str = "") -> DataFr
     )
     root_depth = len([p for p in root.split("/") if p])
     f = f.withColumn("depth", (F.size("_parts") - 1 - F.lit(root_depth)).cast("int"))
-    # every prefix of every file name, joined to the session prefixes
-    prefixes = f.select(
-        "path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substr(F.col("name"), F.lit(1), n))).alias("prefix"),
-    )
     sess = sessions.select("session_id", F.expr("substring(session_id, 1, length(session_id) - 2)").alias("prefix")).where(
         F.length("prefix") > 0
     )
+    # of each file name the beginnings that are as long as some session's
+    lengths = sess.select(F.collect_set(F.length("prefix"))).scalar()
+    sized = f.select("path", "name", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("name"))
+    prefixes = sized.select("path", F.substr("name", F.lit(1), F.col("_n")).alias("prefix"))
     matched = prefixes.join(sess, "prefix").select("session_id", "path").distinct()
     kind = (
         F.when(F.col("suffix") == FIGURE_SUFFIX, F.lit("figure"))

@@ -69,7 +69,6 @@ def sorting_status(
     assets: DataFrame,
     computations: DataFrame,
     pipeline_id: str = "sorting",
-    with_job_names: bool = False,
 ) -> DataFrame:
     """Per session: raw asset, latest sorted asset, running sorting
     jobs on the raw asset, success (= latest sorted asset not failed) and
@@ -79,9 +78,9 @@ def sorting_status(
     success and probes. ``needs_attention`` flags rows whose success is not
     true; ``detail`` is the per-session text of the expanded row.
 
-    ``jobs_running`` is the number of running jobs; the sorted list of their
-    names (``jobs_running_names``) is opt-in, since gathering one asset's
-    jobs into a row is only safe when that number is known to be small.
+    ``jobs_running`` is the sorted list of the running jobs' names, bounded
+    by the jobs of one raw asset; a job that names an asset twice counts
+    once. Rows come sorted by session.
     """
     raw = _latest(assets, "raw", ["asset_id"]).withColumnRenamed("asset_id", "raw_asset")
     srt = _latest(assets, "sorted", ["asset_id", "failed", "sorted_probes", "output"]).withColumnRenamed(
@@ -89,17 +88,12 @@ def sorting_status(
     )
     running = (
         computations.where(F.col("in_progress") & (F.col("capsule_or_pipeline_id") == pipeline_id))
-        .select("name", F.explode("data_assets").alias("asset"))
-        .select("name", F.col("asset.id").alias("raw_asset"))
+        .select("name", F.explode(F.array_distinct(F.col("data_assets.id"))).alias("raw_asset"))
     )
-    job_aggs = [F.count(F.lit(1)).alias("_n_jobs")]
-    if with_job_names:
-        job_aggs.append(F.array_sort(F.collect_list("name")).alias("_jobs"))
-    jobs = raw.join(running, "raw_asset").groupBy("session_id").agg(*job_aggs)
+    jobs = raw.join(running, "raw_asset").groupBy("session_id").agg(F.array_sort(F.collect_list("name")).alias("_jobs"))
     has_raw = F.col("raw_asset").isNotNull()
-    jobs_running = F.when(has_raw, F.coalesce(F.col("_n_jobs"), F.lit(0)))
-    busy = F.coalesce(jobs_running > 0, F.lit(False))
-    names = F.when(has_raw, F.coalesce(F.col("_jobs"), F.array().cast("array<string>"))) if with_job_names else None
+    jobs_running = F.when(has_raw, F.coalesce(F.col("_jobs"), F.array().cast("array<string>")))
+    busy = F.coalesce(F.size(F.col("_jobs")) > 0, F.lit(False))
     df = (
         sessions.select(F.col("id").alias("session"), F.col("subject_id").alias("subject"))
         .join(raw.withColumnRenamed("session_id", "session"), "session", "left")
@@ -109,11 +103,11 @@ def sorting_status(
     )
     success = F.when(busy, F.lit(None).cast("boolean")).otherwise(~F.col("failed"))
     probes = F.when(busy, F.lit(None).cast("array<string>")).otherwise(F.col("sorted_probes"))
+    # fixed values: the texts of the expanded row
     detail = F.concat_ws(
         "\n",
         F.when(has_raw, F.concat(F.lit("raw asset ID: "), F.col("raw_asset"))),
-        F.when(busy, F.concat(F.lit("sorting jobs in progress: "),
-                              F.array_join(names, ", ") if with_job_names else F.col("jobs_running").cast("string")))
+        F.when(busy, F.concat(F.lit("sorting jobs in progress: "), F.array_join("jobs_running", ", ")))
         .when(F.col("output").isNull(), F.lit("no sorted data found"))
         .otherwise(F.concat(F.lit("sorted asset ID: "), F.col("sorted_asset"), F.lit("\n\noutput:\n"), F.col("output"))),
     )
@@ -123,12 +117,11 @@ def sorting_status(
         "raw_asset",
         F.when(has_raw, F.col("sorted_asset")).alias("latest_sorted_asset"),
         "jobs_running",
-        *([names.alias("jobs_running_names")] if with_job_names else []),
         success.alias("success"),
         probes.alias("complete_probe_data"),
         (~F.coalesce(success, F.lit(False))).alias("needs_attention"),
         detail.alias("detail"),
-    )
+    ).orderBy("session")
 
 
 def already_triggered(computations: DataFrame, trigger_id: str = "trigger") -> DataFrame:
@@ -166,6 +159,22 @@ def manifest_datetime(manifest: DataFrame, folder_col: str = "folder", row_col:
     return manifest.groupBy(folder_col).agg(value.alias("acq_datetime"))
 
 
+def recording_folders(folders: DataFrame, prefix: str = "DRpilot", exclude: str | None = "366122") -> DataFrame:
+    """C24's folders: names with the prefix and without the excluded text."""
+    out = folders.where(F.col("folder").startswith(prefix))
+    return out.where(~F.col("folder").contains(exclude)) if exclude else out
+
+
+#: A date with or without dashes, not part of a longer run of digits.
+DATE_IN_NAME = r"(?:^|\D)((?:19|20)\d{2})-?(0[1-9]|1[0-2])-?(0[1-9]|[12]\d|3[01])(?:\D|$)"
+
+
+def date_in_name(c: str | Column) -> Column:
+    """The first date written in a name, or null."""
+    parts = [F.regexp_extract(c, DATE_IN_NAME, i) for i in (1, 2, 3)]
+    return F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
+
+
 def upload_status(
     folders: DataFrame,
     manifests: list[DataFrame],
@@ -177,7 +186,7 @@ def upload_status(
     """Per recording folder: subject, ephys flag, date, whether the
     upload started (a manifest exists), the session id
     ``ecephys_{subject}_{datetime}`` and whether it finished (id present in
-    ``uploaded``). Newest first."""
+    ``uploaded``). Newest first; a folder without a date has a null date."""
     dts = reduce(DataFrame.unionByName, [manifest_datetime(m) for m in manifests]).withColumn(
         "dt", F.replace(F.replace(F.col("acq_datetime"), F.lit(":"), F.lit("-")), F.lit(" "), F.lit("_"))
     )
@@ -188,7 +197,7 @@ def upload_status(
         .withColumns(
             {
                 "subject": subject,
-                "date": F.to_date(F.regexp_extract("folder", r"(\d{8})", 1), "yyyyMMdd"),
+                "date": date_in_name("folder"),
                 "started": F.coalesce(F.col("_started"), F.lit(False)),
             }
         )

@@ -100,10 +100,13 @@ def ids_to_acronyms(tree: DataFrame, keys: DataFrame, key_col: str = "id", stric
 
 
 def structure_info(tree: DataFrame, keys: DataFrame, key_col: str = "acronym") -> DataFrame:
-    """C14 full row per key (``acronym`` or ``id``); duplicates → first by id."""
+    """C14 full row per key (``acronym`` or ``id``); duplicates → first by id.
+    An unknown key fails the query when it runs."""
     cols = tree.columns
     best = tree.groupBy(F.col(key_col)).agg(F.min_by(F.struct(*cols), F.col("id")).alias("row"))
-    return keys.join(best, key_col).select("row.*")
+    unknown = F.raise_error(F.concat(F.lit(f"no structure with {key_col} "), F.coalesce(F.col(key_col).cast("string"), F.lit("null"))))
+    found = keys.join(best, key_col, "left").withColumn("row", F.when(F.col("row").isNull(), unknown).otherwise(F.col("row")))
+    return found.select("row.*")
 
 
 def volume_acronyms(tree: DataFrame, volume_ids: DataFrame) -> DataFrame:

@@ -28,22 +28,25 @@ def _num(v: int | float | Column) -> Column:
 
 
 def axis_size(voxels: DataFrame, axis: str) -> Column:
-    """Extent of the volume along ``axis`` (max index + 1) as a scalar subquery."""
+    """Extent of the rows present along ``axis`` (max index + 1) as a scalar
+    subquery. Only for a volume whose shape is not known: empty outer planes
+    have no rows."""
     return voxels.select((F.max(axis) + 1).alias(f"n_{axis}")).scalar()
 
 
-def midline(voxels: DataFrame, n_ml: int | Column | None = None) -> Column:
+def midline(n_ml: int | Column) -> Column:
     """Midline in micrometres: resolution × 0.5 × number of ml planes."""
-    n = axis_size(voxels, "ml") if n_ml is None else _num(n_ml)
-    return F.lit(RESOLUTION_UM * 0.5) * n
+    return F.lit(RESOLUTION_UM * 0.5) * _num(n_ml)
 
 
 def hemisphere(voxels: DataFrame, side: str = "left", n_ml: int | Column | None = None) -> DataFrame:
-    """left = ``ml < n_ml // 2``, right = ``ml >= n_ml // 2``, both = all."""
+    """left = ``ml < n_ml // 2``, right = ``ml >= n_ml // 2``, both = all.
+    ``n_ml`` is the volume's number of ml planes, empty ones included."""
     if side == "both":
         return voxels
-    n = axis_size(voxels, "ml") if n_ml is None else _num(n_ml)
-    half = F.floor(n / 2)
+    if n_ml is None:
+        raise ValueError("a side needs the number of ml planes")
+    half = F.floor(_num(n_ml) / 2)
     if side == "left":
         return voxels.where(F.col("ml") < half)
     if side == "right":
@@ -121,7 +124,8 @@ def scatter_density(
     locations: DataFrame,
     projection: str = "horizontal",
     *,
-    image_shape: tuple[int | Column, int | Column],
+    image_shape: tuple[int | Column, int | Column] | None = None,
+    volume_shape: dict[str, int] | None = None,
     opacity_range: tuple[float, float] = (0.8, 1.0),
     rgb: tuple[float, float, float] = (1.0, 1.0, 1.0),
 ) -> DataFrame:
@@ -130,13 +134,20 @@ def scatter_density(
     Bins are ``[i, i+1)`` with the last bin closed at its right edge; points
     outside the image are dropped. Alpha = lo + (hi - lo) · n / max(n),
     zero at or below lo, clamped to [0, 1]; a zero-width range gives 0/1.
-    Pixels with points are white by default; the atlas view draws the
+    Without ``image_shape`` the image has the shape of the projection of the
+    left half of a volume of ``volume_shape`` (planes by axis). Pixels with
+    points are white by default; the atlas view draws the
     tracks of missed insertions black (``rgb=(0, 0, 0)``).
     """
     lo, hi = opacity_range
     if hi < lo:
         raise ValueError(f"opacity_range must be increasing, got {opacity_range}")
     y, x = PROJECTION_YX[projection]
+    if image_shape is None:
+        if volume_shape is None:
+            raise ValueError("give the image's shape or the volume's")
+        half = {**volume_shape, "ml": volume_shape["ml"] // 2}
+        image_shape = (half[y], half[x])
     h, w = (_num(s) for s in image_shape)
     fy = F.col(f"ccf_{y}") / RESOLUTION_UM
     fx = F.col(f"ccf_{x}") / RESOLUTION_UM

@@ -25,8 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # an operator input evaluated over the whole tables, not a row subset.
 AREA_PREFIX = "Supplier#0000000"  # starts_with
 AREA_REGEX = "#00000001[0-9]$"  # contains (regular expression)
+AREA_REGEX_CI = r"^supplier\D0+1[0-9]$"  # contains, case-insensitive
 AREA_REGIONS = "AMERICA, ASIA"  # children_of: regions expand to their suppliers in the volume
 AREA_NATION = "NATION_1"  # children_of on a nation
+AREA_TWO = "NATION_1, NATION_2"  # a probe must reach both
+MISSED = {"filter_implant_location": "small", "filter_probe_letter": "B"}
 
 
 def query(name: str):
@@ -80,7 +83,15 @@ def q_coverage_stats_ungated(c: Ctx) -> DataFrame:
 def q_unit_locations_v1(c: Ctx) -> DataFrame:
     """Older gate grouped per (session, location)."""
     gate = dict(roles.SESSION_GATE, **roles.UNIT_GATE_V1)
-    return gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
+    out = gates.unit_locations_v1(c.session, c.performance, c.units, c.electrode_groups, **gate)
+    return out.withColumn("unit_ids", joined("unit_ids"))
+
+
+@query("coverage_stats_thresholds")
+def q_coverage_stats_thresholds(c: Ctx) -> DataFrame:
+    """C12 with the thresholds in force beside the counts."""
+    same, cross = roles.SESSION_GATE["min_dprime"]
+    return gates.coverage_stats(c.good, {"same_modal_dprime": same, "cross_modal_dprime": cross, **roles.UNIT_GATE})
 
 
 # ------------------------------------------------------------- coverage ------
@@ -92,7 +103,7 @@ COUNT_COLUMNS = ["session_id", "location", "location_count", "structure", "subje
 @query("unit_counts")
 def q_unit_counts(c: Ctx) -> DataFrame:
     """Per (session, location) unit counts over all good units."""
-    return coverage.unit_counts(c.good).select(*COUNT_COLUMNS)
+    return coverage.unit_counts(c.good).select(*COUNT_COLUMNS, joined("unit_ids").alias("unit_ids"))
 
 
 @query("units_at_location_starts_with")
@@ -113,6 +124,12 @@ def q_units_ci(c: Ctx) -> DataFrame:
     return c.matched(AREA_PREFIX.lower(), "starts_with", case_sensitive=False).select(*GOOD_COLUMNS)
 
 
+@query("units_at_location_contains_case_insensitive")
+def q_units_regex_ci(c: Ctx) -> DataFrame:
+    """C5 contains, case-insensitive: the pattern's own letters (``\\D``) keep their case."""
+    return c.matched(AREA_REGEX_CI, "contains", case_sensitive=False).select(*GOOD_COLUMNS)
+
+
 @query("units_at_location_children_of")
 def q_units_children(c: Ctx) -> DataFrame:
     """C5 children_of: exact match on the in-volume descendants of two regions."""
@@ -131,10 +148,16 @@ def q_location_breakdown(c: Ctx) -> DataFrame:
     return coverage.location_breakdown(coverage.unit_counts(c.matched(AREA_PREFIX)), "subject_id")
 
 
+@query("location_breakdown_sessions")
+def q_location_breakdown_sessions(c: Ctx) -> DataFrame:
+    """C8 by session."""
+    return coverage.location_breakdown(coverage.unit_counts(c.matched(AREA_PREFIX)), "session_id")
+
+
 @query("co_recorded_structures")
 def q_co_recorded(c: Ctx) -> DataFrame:
     """Top-15 structures co-recorded with the children of NATION_1."""
-    return coverage.co_recorded_structures(c.good, c.matched(AREA_NATION, "children_of"), k=15)
+    return coverage.co_recorded_structures(c.flagged(AREA_NATION, "children_of"), k=15)
 
 
 @query("location_summary")
@@ -173,6 +196,12 @@ def q_probe_locations_children(c: Ctx) -> DataFrame:
     return _probe_out(_probe_locs(c, AREA_NATION, "children_of"))
 
 
+@query("probe_locations_children_of_two")
+def q_probe_locations_children_two(c: Ctx) -> DataFrame:
+    """Probes that reached children of both nations."""
+    return _probe_out(_probe_locs(c, AREA_TWO, "children_of"))
+
+
 @query("probe_locations_contains_whole_probe")
 def q_probe_locations_regex(c: Ctx) -> DataFrame:
     """Whole probes hitting both regex terms, filtered by implant and probe letter."""
@@ -185,18 +214,24 @@ def q_probe_locations_regex(c: Ctx) -> DataFrame:
 @query("missed_insertions")
 def q_missed(c: Ctx) -> DataFrame:
     """Small-implant probe B tracks that never reached NATION_1's children."""
-    kw = {"filter_implant_location": "small", "filter_probe_letter": "B", "whole_probe": True}
-    hit = _probe_locs(c, AREA_NATION, "children_of", **kw)
-    everything = _probe_locs(c, "", "children_of", **kw)
-    return _probe_out(coverage.missed_insertions(everything, hit))
+    return _probe_out(_missed(c))
+
+
+def _missed(c: Ctx) -> DataFrame:
+    return coverage.missed_insertions(
+        c.electrodes, c.electrode_groups, c.flagged(AREA_NATION, "children_of"), c.tree, c.midline, AREA_NATION, "children_of",
+        atlas=c.atlas, **MISSED,
+    )
 
 
 @query("insertion_hit_rate")
 def q_hit_rate(c: Ctx) -> DataFrame:
     """C11: per probe × hole hit rate for NATION_1's children."""
-    matched = c.matched(AREA_NATION, "children_of")
-    probe_locs = _probe_locs(c, AREA_NATION, "children_of")
-    out = coverage.insertion_hit_rate(matched, probe_locs, c.good)
+    flagged = c.flagged(AREA_NATION, "children_of")
+    probes = coverage.probe_keys(
+        c.electrodes, c.electrode_groups, flagged.where("in_area"), c.tree, c.midline, AREA_NATION, "children_of", atlas=c.atlas
+    )
+    out = coverage.insertion_hit_rate(flagged, probes)
     return out.orderBy(F.desc("total_hits_this_implant"), F.desc("hits"), F.desc("rate"))
 
 
@@ -215,7 +250,7 @@ def q_overlay_single(c: Ctx) -> DataFrame:
 
 @query("pick_structure")
 def q_pick_structure(c: Ctx) -> DataFrame:
-    """Seeded pick of one left-hemisphere structure (Spark hash: no SQL twin)."""
+    """Seeded pick of one left-hemisphere structure."""
     return coverage.pick_structure(c.good, seed=7)
 
 
@@ -248,9 +283,8 @@ def q_structure_tree(c: Ctx) -> DataFrame:
 
 @query("frontier_descendants")
 def q_frontier(c: Ctx) -> DataFrame:
-    """C4: for every internal node, its nearest descendants labelled in the volume."""
-    roots = c.tree.where(F.col("depth") < 3).select(F.col("id").alias("root_id"))
-    return T.frontier_descendants(c.tree, c.atlas.volume_ids, roots)
+    """C4: for every node, itself or its nearest descendants labelled in the volume."""
+    return T.frontier_descendants(c.tree, c.atlas.volume_ids, c.tree.select(F.col("id").alias("root_id")))
 
 
 @query("immediate_children")
@@ -262,7 +296,7 @@ def q_immediate_children(c: Ctx) -> DataFrame:
 @query("acronym_lookup")
 def q_acronym_lookup(c: Ctx) -> DataFrame:
     """C14: acronym → id for every structure named by a unit."""
-    keys = c.units.select(F.col("structure").alias("acronym")).distinct()
+    keys = c.units.where(F.col("structure").isNotNull()).select(F.col("structure").alias("acronym")).distinct()
     return T.acronyms_to_ids(c.tree, keys)
 
 
@@ -292,20 +326,34 @@ def q_volume_acronyms(c: Ctx) -> DataFrame:
 @query("volume_hemispheres")
 def q_volume_hemispheres(c: Ctx) -> DataFrame:
     """Midline and voxel count per side."""
-    left = V.hemisphere(c.voxels, "left").select(F.count(F.lit(1))).scalar()
-    right = V.hemisphere(c.voxels, "right").select(F.count(F.lit(1))).scalar()
-    n_ml = V.axis_size(c.voxels, "ml")
-    return c.spark.range(1).select(
-        n_ml.alias("n_ml"), c.midline.alias("midline_um"), left.alias("left_voxels"), right.alias("right_voxels")
+    n_ml = roles.SHAPE["ml"]
+    left = V.hemisphere(c.voxels, "left", n_ml).select(F.lit("left").alias("side"))
+    right = V.hemisphere(c.voxels, "right", n_ml).select(F.lit("right").alias("side"))
+    per = left.unionByName(right).groupBy().agg(
+        F.count_if(F.col("side") == "left").alias("left_voxels"), F.count_if(F.col("side") == "right").alias("right_voxels")
     )
+    return per.select(F.lit(n_ml).alias("n_ml"), c.midline.alias("midline_um"), "left_voxels", "right_voxels")
 
 
 def _mask(c: Ctx, area: str | None, side: str = "left") -> DataFrame:
-
+    n_ml = roles.SHAPE["ml"]
     if not area:
-        return V.region_mask(c.voxels, side=side)
+        return V.region_mask(c.voxels, side=side, n_ml=n_ml)
     ids = c.atlas.children_acronyms([area]).join(c.tree.select("id", "acronym"), "acronym").select("id")
-    return V.region_mask(c.voxels, ids, side=side)
+    return V.region_mask(c.voxels, ids, side=side, n_ml=n_ml)
+
+
+@query("region_mask_right")
+def q_region_mask_right(c: Ctx) -> DataFrame:
+    """C17: right-hemisphere voxels of EUROPE's in-volume descendants."""
+    return _mask(c, "EUROPE", "right")
+
+
+@query("projection_sagittal")
+def q_projection_sagittal(c: Ctx) -> DataFrame:
+    """Sagittal projection of the left half of the volume."""
+    img = V.project(_mask(c, None), "sagittal", depth_size=roles.SHAPE["ml"] // 2)
+    return _round_image(img)
 
 
 @query("region_mask")
@@ -328,7 +376,7 @@ def _round_image(df: DataFrame) -> DataFrame:
 @query("projection_area")
 def q_projection_area(c: Ctx) -> DataFrame:
     """Horizontal projection of EUROPE, coloured, alpha by density."""
-    img = V.project(_mask(c, "EUROPE"), "horizontal", depth_size=V.axis_size(c.voxels, "dv"), rgb=_area_rgb(c, "EUROPE"))
+    img = V.project(_mask(c, "EUROPE"), "horizontal", depth_size=roles.SHAPE["dv"], rgb=_area_rgb(c, "EUROPE"))
     return _round_image(img)
 
 
@@ -337,7 +385,7 @@ def q_projection_slab(c: Ctx) -> DataFrame:
     """Coronal projection of the whole left volume through a 10-plane
     slab, grey, 0/1 alpha, 0..255 colour."""
 
-    img = V.project(_mask(c, None), "coronal", depth_size=V.axis_size(c.voxels, "ap"), thickness=10,
+    img = V.project(_mask(c, None), "coronal", depth_size=roles.SHAPE["ap"], thickness=10,
                     with_opacity=False, normalize_rgb=False)
     return _round_image(img)
 
@@ -345,8 +393,7 @@ def q_projection_slab(c: Ctx) -> DataFrame:
 @query("scatter_density")
 def q_scatter_density(c: Ctx) -> DataFrame:
     """Horizontal density image of the prefix-matched units."""
-    shape = (V.axis_size(c.voxels, "ap"), F.floor(V.axis_size(c.voxels, "ml") / 2))
-    img = V.scatter_density(c.matched(AREA_PREFIX), "horizontal", image_shape=shape, opacity_range=(0.7, 1.0))
+    img = V.scatter_density(c.matched(AREA_PREFIX), "horizontal", volume_shape=roles.SHAPE, opacity_range=(0.7, 1.0))
     return _round_image(img)
 
 
@@ -358,12 +405,19 @@ def q_find_sessions(c: Ctx) -> DataFrame:
     return status.find_sessions(roles.board_sessions(c.spark, c.d), "7, 13 x, abc, 1001", None, "1996-01-01", "1998-12-31")
 
 
+@query("find_sessions_on_date")
+def q_find_sessions_on_date(c: Ctx) -> DataFrame:
+    """One date wins over a range."""
+    subjects = ", ".join(map(str, range(1, 200)))
+    return status.find_sessions(roles.board_sessions(c.spark, c.d), subjects, "1997-06-15", "1996-01-01", "1996-12-31")
+
+
 @query("sorting_status")
 def q_sorting_status(c: Ctx) -> DataFrame:
     """Sorting board over every ecephys session."""
     sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
     out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
-    return out.withColumn("complete_probe_data", joined("complete_probe_data"))
+    return out.withColumns({"complete_probe_data": joined("complete_probe_data"), "jobs_running": joined("jobs_running")})
 
 
 @query("already_triggered")
@@ -373,8 +427,7 @@ def q_already_triggered(c: Ctx) -> DataFrame:
 
 
 def _upload(c: Ctx, **kw) -> DataFrame:
-
-    folders = roles.folders(c.spark, c.d).where(F.col("folder").startswith("DRpilot") & ~F.col("folder").contains("366122"))
+    folders = status.recording_folders(roles.folders(c.spark, c.d))
     return status.upload_status(folders, roles.manifests(c.spark, c.d), roles.uploaded(c.spark, c.d), **kw)
 
 
@@ -417,6 +470,12 @@ def q_column_filters(c: Ctx) -> DataFrame:
     return status.column_filters(c.good, spec).select(*GOOD_COLUMNS)
 
 
+@query("column_filters_below")
+def q_column_filters_below(c: Ctx) -> DataFrame:
+    """The < filter."""
+    return status.column_filters(c.good, {"ccf_ap": ("<", 500.0), "location": ("like", "9")}).select(*GOOD_COLUMNS)
+
+
 @query("session_table")
 def q_session_table(c: Ctx) -> DataFrame:
     """Every session, id descending."""
@@ -433,9 +492,12 @@ def q_location_legend(c: Ctx) -> DataFrame:
 
 @query("approx_location_stats")
 def q_approx_location_stats(c: Ctx) -> DataFrame:
-    """Approximate distinct sessions/locations of NATION_1's probe tracks
-    (HyperLogLog estimate: rows-only check)."""
-    return coverage.approx_location_stats(_probe_locs(c, AREA_NATION, "children_of"))
+    """Approximate distinct sessions/locations of NATION_1's probe tracks:
+    the exact counts, and whether the estimates lie within three of their
+    standard errors (5 %)."""
+    stats = coverage.approx_location_stats(_probe_locs(c, AREA_NATION, "children_of"))
+    near = lambda k: F.abs(F.col(f"approx_{k}") - F.col(f"exact_{k}")) <= 0.15 * F.col(f"exact_{k}") + 1
+    return stats.select("exact_sessions", "exact_locations", near("sessions").alias("sessions_in_range"), near("locations").alias("locations_in_range"))
 
 
 @query("inventory_table")
@@ -453,16 +515,11 @@ def q_sorting_compact(c: Ctx) -> DataFrame:
     sessions = roles.board_sessions(c.spark, c.d).where(F.col("platform") == "ecephys")
     out = status.sorting_status(sessions, roles.assets(c.spark, c.d), roles.computations(c.spark, c.d))
     out = status.hide_columns(out, ["subject", "raw_asset", "latest_sorted_asset", "detail"])
-    return out.withColumn("complete_probe_data", joined("complete_probe_data"))
+    return out.withColumns({"complete_probe_data": joined("complete_probe_data"), "jobs_running": joined("jobs_running")})
 
 
 @query("scatter_missed_insertions")
 def q_scatter_missed(c: Ctx) -> DataFrame:
     """C19 × C7: coronal density image of the missed insertions, drawn black."""
-    kw = {"filter_implant_location": "small", "filter_probe_letter": "B", "whole_probe": True}
-    missed = coverage.missed_insertions(
-        _probe_locs(c, "", "children_of", **kw), _probe_locs(c, AREA_NATION, "children_of", **kw)
-    )
-    shape = (V.axis_size(c.voxels, "dv"), F.floor(V.axis_size(c.voxels, "ml") / 2))
-    img = V.scatter_density(missed, "coronal", image_shape=shape, opacity_range=(0.7, 1.0), rgb=(0.0, 0.0, 0.0))
+    img = V.scatter_density(_missed(c), "coronal", volume_shape=roles.SHAPE, opacity_range=(0.7, 1.0), rgb=(0.0, 0.0, 0.0))
     return _round_image(img)

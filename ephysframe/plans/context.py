@@ -20,9 +20,8 @@ class Ctx:
 
     def __init__(self, spark: SparkSession, sf_dir: str, memoize: bool = False):
         """``memoize`` persists the shared good-unit table (S10), like the
-        dashboards' argument cache. Off by default: on these tables a
-        re-planned scan with pushdown measured faster than a cached
-        relation, and a cache pins memory across queries."""
+        dashboards' argument cache, when the first action reads it. Off by
+        default: a cache pins memory across queries."""
         self.spark, self.d, self.memoize = spark, sf_dir, memoize
 
     @cached_property
@@ -55,7 +54,7 @@ class Ctx:
 
     @cached_property
     def midline(self) -> Column:
-        return volume.midline(self.voxels)
+        return volume.midline(roles.SHAPE["ml"])
 
     @cached_property
     def good_sessions(self) -> DataFrame:
@@ -70,7 +69,10 @@ class Ctx:
 
     @cached_property
     def atlas(self) -> coverage.Atlas:
-        return coverage.Atlas(self.tree, volume.volume_ids(self.voxels, "left"))
+        return coverage.Atlas(self.tree, volume.volume_ids(self.voxels, "left", roles.SHAPE["ml"]))
+
+    def flagged(self, area: str, mode: str = "starts_with", **kw) -> DataFrame:
+        return coverage.flag_at_location(self.good, area, mode, atlas=self.atlas, **kw)
 
     def matched(self, area: str, mode: str = "starts_with", **kw) -> DataFrame:
         return coverage.units_at_location(self.good, area, mode, atlas=self.atlas, **kw)

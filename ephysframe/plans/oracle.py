@@ -9,7 +9,7 @@ from __future__ import annotations
 ROLES = """
 session AS (
   SELECT o_orderkey AS session_id, o_custkey AS subject_id, CAST(o_orderdate AS DATE) AS date,
-         string_split(o_orderpriority, '-') AS keywords
+         CASE WHEN o_orderkey % 50 <> 0 THEN string_split(o_orderpriority, '-') END AS keywords
   FROM orders),
 performance AS (
   SELECT l_orderkey AS session_id, CAST(l_linenumber AS BIGINT) AS block_index,
@@ -20,19 +20,19 @@ located AS (
 units AS (
   SELECT concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS unit_id,
          l_orderkey AS session_id,
-         'probe' || substr('ABCDEFG', l_linenumber, 1) AS electrode_group_name,
-         s_name AS location, n_name AS structure,
+         'probe' || chr(64 + l_linenumber) AS electrode_group_name,
+         s_name AS location, CASE WHEN l_partkey % 29 <> 0 THEN n_name END AS structure,
          l_quantity * 25 AS ccf_ap, round(l_discount * 100) * 25 AS ccf_dv, round(l_tax * 100) * 25 AS ccf_ml,
          l_discount AS isi_violations_ratio, round(l_discount * 100) AS isi_violations_count,
          l_tax AS amplitude_cutoff, l_quantity AS presence_ratio
   FROM located),
 electrodes AS (
-  SELECT l_orderkey AS session_id, 'probe' || substr('ABCDEFG', l_linenumber, 1) AS group_name,
+  SELECT l_orderkey AS session_id, 'probe' || chr(64 + l_linenumber) AS group_name,
          l_quantity * 25 AS x, round(l_discount * 100) * 25 AS y, round(l_tax * 100) * 25 AS z,
-         s_name AS location, n_name AS structure
+         s_name AS location, CASE WHEN l_partkey % 29 <> 0 THEN n_name END AS structure
   FROM located),
 electrode_groups AS (
-  SELECT f.l_orderkey AS session_id, 'probe' || substr('ABCDEFG', f.l_linenumber, 1) AS name, p_name AS location
+  SELECT f.l_orderkey AS session_id, 'probe' || chr(64 + f.l_linenumber) AS name, p_name AS location
   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk FROM lineitem GROUP BY 1, 2) f
   JOIN part ON p_partkey = f.pk),
 raw_tree AS (
@@ -62,16 +62,18 @@ tree AS (
   FROM raw_tree),
 voxels AS (
   SELECT CAST(round(l_tax * 100) AS INTEGER) AS ml, CAST(round(l_discount * 100) AS INTEGER) AS dv,
-         CAST(l_quantity AS INTEGER) AS ap, min(l_suppkey) * 4 + 3 AS structure_id
+         CAST(l_quantity AS INTEGER) AS ap,
+         CASE WHEN min(l_suppkey) % 11 = 0 THEN 1 WHEN min(l_suppkey) % 7 = 0 THEN min(l_suppkey) % 5 * 5 * 4 + 2
+              ELSE min(l_suppkey) * 4 + 3 END AS structure_id
   FROM lineitem GROUP BY 1, 2, 3),
-midline AS (SELECT CAST(12.5 AS DOUBLE) * (max(ml) + 1) AS m, max(ml) + 1 AS n_ml FROM voxels),
+midline AS (SELECT CAST(12.5 AS DOUBLE) * 10 AS m, 10 AS n_ml),
 passing AS (
   SELECT session_id FROM performance
   WHERE same_modal_dprime > CAST(10.0 AS DOUBLE) AND cross_modal_dprime > CAST(0.02 AS DOUBLE)
   GROUP BY session_id HAVING count(block_index) > 1),
 good_sessions AS (
   SELECT * FROM session
-  WHERE NOT coalesce(list_contains(keywords, 'LOW'), false)
+  WHERE NOT list_contains(keywords, 'LOW')
     AND session_id IN (SELECT session_id FROM passing)),
 good AS (
   SELECT u.unit_id, s.session_id, s.subject_id, s.date, u.electrode_group_name, g.location AS implant_location,
@@ -128,10 +130,11 @@ WHERE s.session_id IN (SELECT session_id FROM performance)
 
 SQL["unit_locations_v1"] = with_roles("""
 SELECT u.session_id, u.location, count(u.location) AS location_count,
-       arg_min(u.structure, (u.unit_id, u.electrode_group_name)) AS structure,
+       arg_min_null(u.structure, (u.unit_id, u.electrode_group_name)) AS structure,
        arg_min(s.subject_id, (u.unit_id, u.electrode_group_name)) AS subject_id,
        arg_min(s.date, (u.unit_id, u.electrode_group_name)) AS date,
-       arg_min(g.location, (u.unit_id, u.electrode_group_name)) AS implant_location
+       arg_min(g.location, (u.unit_id, u.electrode_group_name)) AS implant_location,
+       array_to_string(list_sort(list(u.unit_id)), ',') AS unit_ids
 FROM good_sessions s
 JOIN units u ON u.session_id = s.session_id
 JOIN electrode_groups g ON g.session_id = u.session_id AND g.name = u.electrode_group_name
@@ -178,11 +181,12 @@ NATION_MATCH = f"{LEFT} AND location IN (SELECT acronym FROM children)"
 
 SQL["unit_counts"] = with_roles("""
 SELECT session_id, location, count(location) AS location_count,
-       arg_min(structure, (unit_id, electrode_group_name)) AS structure,
+       arg_min_null(structure, (unit_id, electrode_group_name)) AS structure,
        arg_min(subject_id, (unit_id, electrode_group_name)) AS subject_id,
        arg_min(date, (unit_id, electrode_group_name)) AS date,
        arg_min(implant_location, (unit_id, electrode_group_name)) AS implant_location,
-       arg_min(electrode_group_name, (unit_id, electrode_group_name)) AS electrode_group_name
+       arg_min(electrode_group_name, (unit_id, electrode_group_name)) AS electrode_group_name,
+       array_to_string(list_sort(list(unit_id)), ',') AS unit_ids
 FROM good GROUP BY session_id, location
 """)
 
@@ -220,13 +224,13 @@ FROM counts GROUP BY subject_id, location
 SQL["co_recorded_structures"] = with_children(["NATION_1"], """
 , other AS (
   SELECT * FROM good
-  WHERE session_id IN (SELECT session_id FROM matched) AND unit_id IS NOT NULL
+  WHERE session_id IN (SELECT session_id FROM matched) AND unit_id IS NOT NULL AND structure IS NOT NULL
     AND unit_id NOT IN (SELECT unit_id FROM matched WHERE unit_id IS NOT NULL)),
 per AS (SELECT structure, session_id, count(unit_id) AS unit_count FROM other GROUP BY structure, session_id),
 top AS (SELECT structure, CAST(sum(unit_count) AS BIGINT) AS total_structure_count FROM per GROUP BY structure
         ORDER BY total_structure_count DESC, structure ASC NULLS LAST LIMIT 15)
 SELECT per.structure, per.session_id, per.unit_count, top.total_structure_count
-FROM per JOIN top ON per.structure IS NOT DISTINCT FROM top.structure
+FROM per JOIN top ON per.structure = top.structure
 """, NATION_MATCH)
 
 SQL["location_summary"] = with_roles(f"""
@@ -236,14 +240,14 @@ s AS (
          count(DISTINCT unit_id) + max(CASE WHEN unit_id IS NULL THEN 1 ELSE 0 END) AS units,
          count(DISTINCT session_id) + max(CASE WHEN session_id IS NULL THEN 1 ELSE 0 END) AS sessions,
          count(DISTINCT subject_id) + max(CASE WHEN subject_id IS NULL THEN 1 ELSE 0 END) AS subjects,
-         arg_min(structure, (unit_id, session_id)) AS structure,
+         arg_min_null(structure, (unit_id, session_id)) AS structure,
          arg_min(safe_name, (unit_id, session_id)) AS description
   FROM good WHERE {LEFT} GROUP BY location),
-q AS (SELECT location, min(color_hex_triplet) AS colour FROM matched GROUP BY location)
-SELECT s.*, q.colour IS NOT NULL AS selected,
-       CASE WHEN q.colour IS NOT NULL THEN '#' || q.colour END AS highlight,
-       row_number() OVER (ORDER BY (q.colour IS NOT NULL) DESC, s.units DESC, s.location ASC NULLS LAST) - 1 AS index
-FROM s LEFT JOIN q ON q.location = s.location
+q AS (SELECT location AS queried, min(color_hex_triplet) AS colour FROM matched GROUP BY location)
+SELECT s.*, q.queried IS NOT NULL AS selected,
+       CASE WHEN q.queried IS NOT NULL THEN '#' || q.colour END AS highlight,
+       row_number() OVER (ORDER BY (q.queried IS NOT NULL) DESC, s.units DESC, s.location ASC NULLS LAST) - 1 AS index
+FROM s LEFT JOIN q ON q.queried = s.location
 """)
 
 SQL["implant_value_counts"] = with_roles(f"""
@@ -359,9 +363,10 @@ FROM matched
 
 DPRIME = """
 WITH blocks AS (
-  SELECT event_id AS block_index, user_id AS subject_id, CAST(ts AS DATE) AS date,
+  SELECT event_id AS block_index, CASE WHEN user_id % 41 <> 0 THEN user_id END AS subject_id, CAST(ts AS DATE) AS date,
          CAST(user_id AS VARCHAR) || '_' || strftime(CAST(ts AS DATE), '%Y-%m-%d') || '_0' AS session_id,
-         CASE WHEN event_type = 'view' THEN value END AS vis, CASE WHEN event_type = 'click' THEN value END AS aud
+         CASE WHEN event_type IN ('view', 'signup') THEN value END AS vis,
+         CASE WHEN event_type = 'click' THEN value WHEN event_type = 'signup' THEN value * 2 END AS aud
   FROM events),
 b2 AS (SELECT *, (coalesce(vis, 0) + coalesce(aud, 0))
                  / nullif(CAST(vis IS NOT NULL AS INTEGER) + CAST(aud IS NOT NULL AS INTEGER), 0) AS mean_dprime
@@ -376,8 +381,8 @@ fd AS (SELECT subject_id, min(date) AS first_date FROM per GROUP BY subject_id),
 result AS (
   SELECT per.session_id, per.subject_id, per.date, num.session_number, round(per.mean_dprime, 6) AS mean_dprime,
          per.num_blocks, CAST(date_diff('day', fd.first_date, per.date) AS BIGINT) AS days_since_first_session
-  FROM per JOIN num ON num.subject_id = per.subject_id AND num.session_id = per.session_id
-  JOIN fd ON fd.subject_id = per.subject_id)
+  FROM per JOIN num ON num.subject_id IS NOT DISTINCT FROM per.subject_id AND num.session_id = per.session_id
+  JOIN fd ON fd.subject_id IS NOT DISTINCT FROM per.subject_id)
 """
 
 SQL["session_mean_dprime"] = DPRIME + "SELECT * FROM result ORDER BY subject_id, date"
@@ -397,7 +402,7 @@ def frontier_sql(roots_sql: str, body: str) -> str:
     return _cte_join(ROLES.strip() + "," + children_cte([], roots_sql), body)
 
 
-SQL["frontier_descendants"] = frontier_sql("SELECT 0 AS term_idx, id AS root_id FROM tree WHERE depth < 3", """
+SQL["frontier_descendants"] = frontier_sql("SELECT 0 AS term_idx, id AS root_id FROM tree", """
 SELECT r.root_id, lab.id FROM roots r JOIN lab ON lab.node = r.root_id LEFT JOIN lastv ON lastv.id = lab.id
 WHERE lastv.lp IS NULL OR lab.pos > lastv.lp
 """)
@@ -408,7 +413,7 @@ SELECT parent_structure_id AS root_id, id FROM tree WHERE parent_structure_id IN
 
 SQL["acronym_lookup"] = with_roles("""
 SELECT k.acronym, t.id
-FROM (SELECT DISTINCT structure AS acronym FROM units) k
+FROM (SELECT DISTINCT structure AS acronym FROM units WHERE structure IS NOT NULL) k
 LEFT JOIN (SELECT acronym, min(id) AS id FROM tree GROUP BY acronym) t ON t.acronym = k.acronym
 """)
 
@@ -444,7 +449,7 @@ SQL["region_mask"] = with_children(["EUROPE"], EUROPE_MASK)
 
 SQL["projection_area"] = with_children(["EUROPE"], f"""
 , mask AS ({EUROPE_MASK}),
-nd AS (SELECT max(dv) + 1 AS n FROM voxels),
+nd AS (SELECT 12 AS n),
 b AS (SELECT greatest(round_even((n // 2) - 0.5 * n, 0), 0) AS lo, least(round_even((n // 2) + 0.5 * n, 0) + 1, n) AS hi
       FROM nd),
 cnt AS (SELECT ap AS y, ml AS x, count(*) AS n FROM mask, b WHERE dv >= lo AND dv < hi GROUP BY ap, ml),
@@ -456,7 +461,7 @@ FROM cnt, rgb
 
 SQL["projection_slab"] = with_roles("""
 , mask AS (SELECT * FROM voxels WHERE ml < (SELECT n_ml // 2 FROM midline) AND structure_id > 0),
-nd AS (SELECT max(ap) + 1 AS n FROM voxels),
+nd AS (SELECT 52 AS n),
 b AS (SELECT greatest(round_even((n // 2) - 0.5 * 10, 0), 0) AS lo, least(round_even((n // 2) + 0.5 * 10, 0) + 1, n) AS hi
       FROM nd)
 SELECT dv AS y, ml AS x, round(CAST(0.6 AS DOUBLE) * 255, 9) AS r, round(CAST(0.6 AS DOUBLE) * 255, 9) AS g,
@@ -466,7 +471,7 @@ FROM mask, b WHERE ap >= lo AND ap < hi GROUP BY dv, ml
 
 SQL["scatter_density"] = with_roles(f"""
 , matched AS (SELECT * FROM good WHERE {LEFT} AND starts_with(location, '{PREFIX}')),
-shape AS (SELECT (SELECT max(ap) + 1 FROM voxels) AS h, (SELECT n_ml // 2 FROM midline) AS w),
+shape AS (SELECT 52 AS h, 5 AS w),
 pts AS (SELECT ccf_ap / 25 AS fy, ccf_ml / 25 AS fx, h, w FROM matched, shape
         WHERE ccf_ap / 25 >= 0 AND ccf_ap / 25 <= h AND ccf_ml / 25 >= 0 AND ccf_ml / 25 <= w),
 bins AS (SELECT CAST(CASE WHEN fy = h THEN h - 1 ELSE floor(fy) END AS BIGINT) AS y,
@@ -491,7 +496,7 @@ assets AS (
   FROM orders WHERE o_orderstatus <> 'P'
   UNION ALL
   SELECT CAST(l_orderkey AS VARCHAR), concat_ws('_', 'sorted', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'sorted',
-         l_shipdate, l_returnflag = 'A', string_split(substr('ABCDEFG', 1, l_linenumber), ''),
+         l_shipdate, l_returnflag = 'A', list_transform(range(1, l_linenumber + 1), lambda i: chr(CAST(64 + i AS INTEGER))),
          'sorted ' || l_linenumber || ' probes'
   FROM lineitem WHERE l_returnflag <> 'N'),
 comps AS (
@@ -514,28 +519,28 @@ raw AS (SELECT session_id, arg_max(asset_id, (created, asset_id)) AS raw_asset F
         GROUP BY session_id),
 srt AS (SELECT session_id, arg_max({'a': asset_id, 'f': failed, 'p': sorted_probes, 'o': output}, (created, asset_id)) AS s
         FROM assets WHERE kind = 'sorted' GROUP BY session_id),
-jobs AS (SELECT r.session_id, count(*) AS jobs FROM raw r JOIN comps c ON c.asset = r.raw_asset
+jobs AS (SELECT r.session_id, list_sort(list(c.name)) AS jobs FROM raw r JOIN comps c ON c.asset = r.raw_asset
          WHERE c.in_progress AND c.cap = 'sorting' GROUP BY r.session_id),
 t AS (
   SELECT s.id AS session, s.subject_id AS subject, raw.raw_asset, srt.s.a AS sorted_asset, srt.s.f AS failed,
          srt.s.p AS sorted_probes, srt.s.o AS output,
-         CASE WHEN raw.raw_asset IS NOT NULL THEN coalesce(jobs.jobs, 0) END AS jr
+         CASE WHEN raw.raw_asset IS NOT NULL THEN coalesce(jobs.jobs, []) END AS jr
   FROM bs s LEFT JOIN raw ON raw.session_id = s.id LEFT JOIN srt ON srt.session_id = s.id
   LEFT JOIN jobs ON jobs.session_id = s.id
   WHERE s.platform = 'ecephys'),
-t2 AS (SELECT *, coalesce(jr > 0, false) AS busy FROM t),
+t2 AS (SELECT *, coalesce(len(jr) > 0, false) AS busy FROM t),
 t3 AS (SELECT *, CASE WHEN busy THEN NULL ELSE NOT failed END AS success FROM t2)
 SELECT subject, session, raw_asset, CASE WHEN raw_asset IS NOT NULL THEN sorted_asset END AS latest_sorted_asset,
-       jr AS jobs_running, success,
+       array_to_string(jr, ',') AS jobs_running, success,
        CASE WHEN busy THEN NULL ELSE array_to_string(list_sort(sorted_probes), ',') END AS complete_probe_data,
        NOT coalesce(success, false) AS needs_attention,
        concat_ws(chr(10),
          CASE WHEN raw_asset IS NOT NULL THEN 'raw asset ID: ' || raw_asset END,
-         CASE WHEN busy THEN 'sorting jobs in progress: ' || CAST(jr AS VARCHAR)
+         CASE WHEN busy THEN 'sorting jobs in progress: ' || array_to_string(jr, ', ')
               WHEN output IS NULL THEN 'no sorted data found'
               ELSE 'sorted asset ID: ' || sorted_asset || chr(10) || chr(10) || 'output:' || chr(10) || output END
        ) AS detail
-FROM t3
+FROM t3 ORDER BY session
 """
 
 SQL["already_triggered"] = BOARDS + """
@@ -544,13 +549,18 @@ WHERE in_progress AND cap = 'trigger' AND (pname = 'input data asset ID' OR pkey
 GROUP BY asset
 """
 
-UPLOAD = """
+FOLDER = """'DRpilot_' || CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 10000000 ELSE o_custkey END || '_' ||
+         CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 13 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || '_'
+              ELSE strftime(o_orderdate, '%Y%m%d') || '_' END || o_orderkey"""
+DATE = r"(?:^|\D)((?:19|20)\d{2})-?(0[1-9]|1[0-2])-?(0[1-9]|[12]\d|3[01])(?:\D|$)"
+
+UPLOAD = f"""
 WITH folders AS (
-  SELECT 'DRpilot_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS folder,
+  SELECT {FOLDER} AS folder,
          o_orderstatus <> 'P' AS has_ephys
   FROM orders),
 lo AS (
-  SELECT *, 'DRpilot_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS folder
+  SELECT *, {FOLDER} AS folder
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'),
 m1 AS (
   SELECT folder, arg_min(strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), (l_linenumber, l_partkey, l_suppkey, l_shipdate))
@@ -568,8 +578,9 @@ dts AS (SELECT folder, replace(replace(dt, ':', '-'), ' ', '_') AS dt FROM (SELE
 up AS (SELECT DISTINCT 'ecephys_' || o_custkey || '_' || strftime(l_shipdate, '%Y-%m-%d_%H-%M-%S') AS upload_session_id
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
 b AS (
-  SELECT regexp_extract(f.folder, '(\\d+)', 1) AS subject, f.has_ephys AS ephys,
-         CAST(strptime(regexp_extract(f.folder, '(\\d{8})', 1), '%Y%m%d') AS DATE) AS date, f.folder,
+  SELECT regexp_extract(f.folder, '([0-9]+)', 1) AS subject, f.has_ephys AS ephys,
+         CAST(try_strptime(regexp_extract(f.folder, '{DATE}', 1) || regexp_extract(f.folder, '{DATE}', 2)
+                           || regexp_extract(f.folder, '{DATE}', 3), '%Y%m%d') AS DATE) AS date, f.folder,
          d.folder IS NOT NULL AS started, d.dt
   FROM folders f LEFT JOIN dts d ON d.folder = f.folder
   WHERE starts_with(f.folder, 'DRpilot') AND NOT contains(f.folder, '366122')),
@@ -647,8 +658,8 @@ SQL["inventory_table"] = SQL["inventory_apply"].replace(
 
 SQL["sorting_status_compact"] = SQL["sorting_status"].replace(
     "SELECT subject, session, raw_asset, CASE WHEN raw_asset IS NOT NULL THEN sorted_asset END AS latest_sorted_asset,\n"
-    "       jr AS jobs_running,",
-    "SELECT session, jr AS jobs_running,",
+    "       array_to_string(jr, ',') AS jobs_running,",
+    "SELECT session, array_to_string(jr, ',') AS jobs_running,",
 ).split("       concat_ws(chr(10),")[0].rstrip().rstrip(",") + "\nFROM t3\n"
 
 SQL["scatter_missed_insertions"] = with_children(["NATION_1"], """
@@ -662,7 +673,7 @@ hit_pl AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) IN (
     GROUP BY session_id, electrode_group_name HAVING count(DISTINCT term_idx) = 1)
   AND (session_id, electrode_group_name) IN (SELECT session_id, electrode_group_name FROM matched)),
 missed AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) NOT IN (SELECT session_id, electrode_group_name FROM hit_pl)),
-shape AS (SELECT (SELECT max(dv) + 1 FROM voxels) AS h, (SELECT n_ml // 2 FROM midline) AS w),
+shape AS (SELECT 12 AS h, 5 AS w),
 pts AS (SELECT ccf_dv / 25 AS fy, ccf_ml / 25 AS fx, h, w FROM missed, shape
         WHERE ccf_dv / 25 >= 0 AND ccf_dv / 25 <= h AND ccf_ml / 25 >= 0 AND ccf_ml / 25 <= w),
 bins AS (SELECT CAST(CASE WHEN fy = h THEN h - 1 ELSE floor(fy) END AS BIGINT) AS y,
@@ -674,3 +685,52 @@ al AS (SELECT y, x, least(greatest(CASE WHEN raw <= 0.7 THEN 0.0 ELSE raw END, 0
 SELECT y, x, CAST(0.0 AS DOUBLE) AS r, CAST(0.0 AS DOUBLE) AS g, CAST(0.0 AS DOUBLE) AS b, round(a, 9) AS a
 FROM al WHERE a > 0
 """, NATION_MATCH)
+
+SQL["coverage_stats_thresholds"] = with_roles("""
+SELECT count(*) AS units, count(DISTINCT session_id) AS sessions, count(DISTINCT subject_id) AS subjects,
+       CAST(10.0 AS DOUBLE) AS same_modal_dprime, CAST(0.02 AS DOUBLE) AS cross_modal_dprime, CAST(0.08 AS DOUBLE) AS max_isi,
+       CAST(0.08 AS DOUBLE) AS max_amp_cutoff, CAST(10.0 AS DOUBLE) AS min_presence
+FROM good
+""")
+
+SQL["units_at_location_contains_case_insensitive"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good WHERE {LEFT} AND regexp_matches(location, '^supplier[^0-9]0+1[0-9]$', 'i')
+""")
+
+SQL["location_breakdown_sessions"] = SQL["location_breakdown"].replace("SELECT subject_id, location, CAST", "SELECT session_id, location, CAST").replace(
+    "FROM counts GROUP BY subject_id, location", "FROM counts GROUP BY session_id, location"
+)
+
+SQL["probe_locations_children_of_two"] = with_children(
+    ["NATION_1", "NATION_2"], probe_sql(CHILD_HITS, 2, POS_KEYS) + "\nSELECT * FROM pl", NATION_MATCH
+)
+
+SQL["pick_structure"] = with_roles(f"""
+SELECT structure FROM (SELECT DISTINCT structure FROM good WHERE unit_id IS NOT NULL AND {LEFT} AND structure IS NOT NULL)
+ORDER BY md5(structure || '|7'), structure LIMIT 1
+""")
+
+SQL["approx_location_stats"] = with_children(["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """
+SELECT count(DISTINCT session_id) AS exact_sessions, count(DISTINCT location) AS exact_locations,
+       true AS sessions_in_range, true AS locations_in_range
+FROM pl
+""", NATION_MATCH)
+
+SQL["region_mask_right"] = SQL["region_mask"].replace("WHERE ml < (SELECT n_ml // 2 FROM midline)\n  AND structure_id", "WHERE ml >= (SELECT n_ml // 2 FROM midline)\n  AND structure_id")
+
+SQL["projection_sagittal"] = with_roles("""
+, cnt AS (SELECT dv AS y, ap AS x, count(*) AS n FROM voxels
+          WHERE ml < (SELECT n_ml // 2 FROM midline) AND structure_id > 0 GROUP BY dv, ap)
+SELECT y, x, CAST(0.6 AS DOUBLE) AS r, CAST(0.6 AS DOUBLE) AS g, CAST(0.6 AS DOUBLE) AS b,
+       round(CAST(n AS DOUBLE) / (SELECT max(n) FROM cnt), 9) AS a
+FROM cnt
+""")
+
+SQL["find_sessions_on_date"] = BOARDS + """
+SELECT DISTINCT * FROM bs
+WHERE CAST(subject_id AS BIGINT) BETWEEN 1 AND 199 AND platform = 'ecephys' AND date = DATE '1997-06-15'
+"""
+
+SQL["column_filters_below"] = with_roles(f"""
+SELECT {GOOD_COLS} FROM good WHERE ccf_ap < 500.0 AND contains(location, '9')
+""")

@@ -8,13 +8,13 @@ mirrored line for line by the SQL views in ``plans/oracle.py``.
 
 | role | derived from |
 |---|---|
-| session | orders: o_orderkey, o_custkey, order date, priority split on '-' |
+| session | orders: o_orderkey, o_custkey, order date, priority split on '-' (null for every 50th key) |
 | performance | lineitem per order: l_linenumber as block, l_quantity / l_discount as the two d-primes |
-| units, electrodes | lineitem: supplier name as location, nation name as structure, probe letter from l_linenumber, position from quantity/discount/tax |
+| units, electrodes | lineitem: supplier name as location, nation name as structure (null for every 29th part), probe letter from l_linenumber, position from quantity/discount/tax |
 | electrode_groups | one per (order, probe): p_name of the smallest part key |
 | structure tree | root → region → nation → supplier, ids by a fixed rule |
-| voxels | one label per (ml, dv, ap) cell: the smallest supplier there |
-| d-prime blocks | events: vis = value of ``view``, aud = value of ``click`` |
+| voxels | one label per (ml, dv, ap) cell: the smallest supplier there, or a nation or region by its key |
+| d-prime blocks | events: vis = value of ``view``, aud = value of ``click``, both from ``signup``; every 41st user unknown |
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from ephysframe.operators.tree import structure_tree
 SESSION_GATE = {"exclude_keyword": "LOW", "min_dprime": (10.0, 0.02), "min_blocks": 1}
 UNIT_GATE = {"max_isi": 0.08, "max_amp_cutoff": 0.08, "min_presence": 10.0}
 UNIT_GATE_V1 = {"max_isi_count": 8.0, "max_amp_cutoff": 0.08, "min_presence": 10.0}
-PROBE_LETTERS = "ABCDEFG"
+# Planes of the stand-in volume by axis; the outer ones are empty.
+SHAPE = {"ml": 10, "dv": 12, "ap": 52}
 COLOUR_MULTIPLIER = 40503
 ROOT_ID = 4
 
@@ -73,7 +74,7 @@ def supplier_id(key: Column) -> Column:
 
 
 def probe_of(linenumber: Column) -> Column:
-    return F.concat(F.lit("probe"), F.substr(F.lit(PROBE_LETTERS), linenumber, F.lit(1)))
+    return F.concat(F.lit("probe"), F.char(linenumber + 64))
 
 
 def session(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ def session(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("session_id"),
         F.col("o_custkey").alias("subject_id"),
         F.col("o_orderdate").cast("date").alias("date"),
-        F.split(F.col("o_orderpriority"), "-").alias("keywords"),
+        F.when(F.col("o_orderkey") % 50 != 0, F.split(F.col("o_orderpriority"), "-")).alias("keywords"),
     )
 
 
@@ -96,8 +97,7 @@ def performance(spark: SparkSession, d: str) -> DataFrame:
 
 def _located_lines(spark: SparkSession, d: str) -> DataFrame:
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    # nation has 25 rows by definition of the schema: a fixed-size broadcast
-    nation = F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name"))
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
     return (
         table(spark, d, "lineitem")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -120,7 +120,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_orderkey").alias("session_id"),
         probe_of(F.col("l_linenumber")).alias("electrode_group_name"),
         F.col("s_name").alias("location"),
-        F.col("n_name").alias("structure"),
+        F.when(F.col("l_partkey") % 29 != 0, F.col("n_name")).alias("structure"),
         pos["ccf_ap"].alias("ccf_ap"),
         pos["ccf_dv"].alias("ccf_dv"),
         pos["ccf_ml"].alias("ccf_ml"),
@@ -140,7 +140,7 @@ def electrodes(spark: SparkSession, d: str) -> DataFrame:
         pos["ccf_dv"].alias("y"),
         pos["ccf_ml"].alias("z"),
         F.col("s_name").alias("location"),
-        F.col("n_name").alias("structure"),
+        F.when(F.col("l_partkey") % 29 != 0, F.col("n_name")).alias("structure"),
     )
 
 
@@ -177,7 +177,7 @@ def raw_tree(spark: SparkSession, d: str) -> DataFrame:
     root_path = F.lit(f"/{ROOT_ID}/")
     region = table(spark, d, "region")
     nation = table(spark, d, "nation")
-    supplier = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    supplier = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     r_id, n_id, s_id = region_id(F.col("r_regionkey")), nation_id(F.col("n_nationkey")), supplier_id(F.col("s_suppkey"))
     parts = [
         rows(spark.range(1), F.lit(ROOT_ID).cast("bigint"), F.lit("root"), "root", F.lit(None), 0, root_path),
@@ -204,7 +204,16 @@ def voxels(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.col("l_tax") * 100).cast("int").alias("ml"),
         F.round(F.col("l_discount") * 100).cast("int").alias("dv"),
         F.col("l_quantity").cast("int").alias("ap"),
-    ).agg(supplier_id(F.min("l_suppkey")).alias("structure_id"))
+    ).agg(_label(F.min("l_suppkey")).alias("structure_id"))
+
+
+def _label(supplier: Column) -> Column:
+    """Most cells are labelled with a supplier, some with one of five nations or the first region above it."""
+    return (
+        F.when(supplier % 11 == 0, region_id(F.lit(0)))
+        .when(supplier % 7 == 0, nation_id(supplier % 5 * 5))
+        .otherwise(supplier_id(supplier))
+    )
 
 
 def dprime_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -212,11 +221,13 @@ def dprime_blocks(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("ts").cast("date")
     return ev.select(
         F.col("event_id").alias("block_index"),
-        F.col("user_id").alias("subject_id"),
+        F.when(F.col("user_id") % 41 != 0, F.col("user_id")).alias("subject_id"),
         day.alias("date"),
         F.concat_ws("_", F.col("user_id").cast("string"), F.date_format(day, "yyyy-MM-dd"), F.lit("0")).alias("session_id"),
-        F.when(F.col("event_type") == "view", F.col("value")).alias("vis_intra_dprime"),
-        F.when(F.col("event_type") == "click", F.col("value")).alias("aud_intra_dprime"),
+        F.when(F.col("event_type").isin("view", "signup"), F.col("value")).alias("vis_intra_dprime"),
+        F.when(F.col("event_type") == "click", F.col("value")).when(F.col("event_type") == "signup", F.col("value") * 2).alias(
+            "aud_intra_dprime"
+        ),
     )
 
 
@@ -249,7 +260,7 @@ def assets(spark: SparkSession, d: str) -> DataFrame:
         F.lit("sorted").alias("kind"),
         F.col("l_shipdate").alias("created"),
         (F.col("l_returnflag") == "A").alias("failed"),
-        F.split(F.substr(F.lit(PROBE_LETTERS), F.lit(1), F.col("l_linenumber")), "").alias("sorted_probes"),
+        F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda i: F.char(i + 64)).alias("sorted_probes"),
         F.concat(F.lit("sorted "), F.col("l_linenumber"), F.lit(" probes")).alias("output"),
     )
     return raw.unionByName(srt)
@@ -263,7 +274,8 @@ def computations(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("_", F.lit("job"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("name"),
         F.when(F.col("l_returnflag") == "R", "trigger").otherwise("sorting").alias("capsule_or_pipeline_id"),
         (F.col("l_linestatus") == "O").alias("in_progress"),
-        F.array(F.struct(raw_id.alias("id"))).alias("data_assets"),
+        # some jobs list their asset twice
+        F.array_repeat(F.struct(raw_id.alias("id")), F.when(F.col("l_linenumber") % 3 == 0, 2).otherwise(1)).alias("data_assets"),
         F.array(
             F.struct(
                 F.when(even, "input data asset ID").otherwise("other").alias("name"),
@@ -274,11 +286,22 @@ def computations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _folder() -> Column:
+    """Folder of an order: some without a date, some with a dashed one, some with a subject of eight digits."""
+    key = F.col("o_orderkey")
+    subject = F.when(key % 11 == 0, F.col("o_custkey") + 10_000_000).otherwise(F.col("o_custkey"))
+    day = (
+        F.when(key % 17 == 0, F.lit(""))
+        .when(key % 13 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_")))
+        .otherwise(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_")))
+    )
+    return F.concat(F.lit("DRpilot_"), subject, F.lit("_"), day, key)
+
+
 def folders(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select(
-        F.concat(F.lit("DRpilot_"), F.col("o_custkey"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"),
-                 F.col("o_orderkey")).alias("folder"),
+        _folder().alias("folder"),
         (F.col("o_orderstatus") != "P").alias("has_ephys"),
     )
 
@@ -288,8 +311,7 @@ def _manifest_lines(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumns(
         {
-            "folder": F.concat(F.lit("DRpilot_"), F.col("o_custkey"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"),
-                               F.lit("_"), F.col("o_orderkey")),
+            "folder": _folder(),
             "row": F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"),
         }
     )

@@ -1,11 +1,12 @@
-"""SparkSession construction and lineage-cutting helpers."""
+"""SparkSession construction and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(
@@ -58,15 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder (HDFS, object store) for checkpoints")
     local = tempfile.mkdtemp(prefix="ephysframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -41,14 +41,17 @@ def list_files(spark: SparkSession, root: str, path_glob: str | None = None) ->
 
 
 def folder_names(files: DataFrame, root: str, *, prefix: str = "", exclude: str | None = None) -> DataFrame:
-    """First-level folder names under ``root`` that hold files.
+    """First-level folder names under ``root`` (S4), from a listing of files
+    or of directories; a path of a directory ends in ``/``. A file directly
+    under the root is no folder. Spark's listing has files only, so an empty
+    folder needs a listing with directories.
 
     ``prefix`` is a literal start of the name (a ``DRpilot*`` glob);
     ``exclude`` drops names containing that text.
     """
     rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + re.escape(root.strip("/")) + "/?", "")
     name = F.split(rel, "/").getItem(0)
-    out = files.select(name.alias("folder")).where(F.col("folder") != "")
+    out = files.where(F.size(F.split(rel, "/")) > 1).select(name.alias("folder")).where(F.col("folder") != "")
     if prefix:
         out = out.where(F.col("folder").startswith(prefix))
     if exclude:

@@ -27,3 +27,12 @@ def test_session_mean_dprime_golden(spark):
     assert [r.session_id for r in out] == ["1_2022-01-01_0", "614910_2022-03-30_0", "614910_2022-03-31_0"]
     only = dprime_over_time(spark.createDataFrame(rows, COLS), "614910").collect()
     assert {r.date for r in only} == {"2022-03-30", "2022-03-31"}
+
+
+def test_sessions_without_a_subject_stay(spark):
+    d = dt.date
+    rows = [("a", None, d(2024, 1, 1), 0, 1.0, None), ("b", None, d(2024, 1, 3), 0, 1.0, 3.0), ("c", 5, d(2024, 1, 2), 0, 2.0, None)]
+    by = {r.session_id: r for r in session_mean_dprime(spark.createDataFrame(rows, COLS)).collect()}
+    assert (by["a"].session_number, by["b"].session_number, by["b"].days_since_first_session) == (1, 2, 2)
+    assert by["b"].mean_dprime == 2.0 and by["c"].session_number == 1
+    assert [r.session_id for r in dprime_over_time(spark.createDataFrame(rows, COLS), "5").collect()] == ["c"]

@@ -31,20 +31,18 @@ def test_sorting_status(spark):
         "sorted_probes array<string>, output string",
     )
     comps = spark.createDataFrame(
-        [("job", "sorting", True, [("raw2",)], []), ("done", "sorting", False, [("raw1",)], [])],
+        [("job", "sorting", True, [("raw2",), ("raw2",)], []), ("done", "sorting", False, [("raw1",)], [])],
         "name string, capsule_or_pipeline_id string, in_progress boolean, data_assets array<struct<id:string>>, "
         "parameters array<struct<name:string,param_name:string,value:string>>",
     )
-    rows = {r.session: r for r in status.sorting_status(sessions, assets, comps, with_job_names=True).collect()}
+    rows = {r.session: r for r in status.sorting_status(sessions, assets, comps).collect()}
     s1, s2, s3 = rows["s1"], rows["s2"], rows["s3"]
-    assert (s1.latest_sorted_asset, s1.jobs_running, s1.success, s1.complete_probe_data) == ("srt2", 0, True, ["A", "B"])
-    assert (s2.jobs_running, s2.jobs_running_names, s2.success, s2.complete_probe_data, s2.needs_attention) == (
-        1, ["job"], None, None, True)
-    assert (s3.raw_asset, s3.latest_sorted_asset, s3.jobs_running, s3.jobs_running_names) == (None, None, None, None)
-    assert s1.jobs_running_names == []
+    assert (s1.latest_sorted_asset, s1.jobs_running, s1.success, s1.complete_probe_data) == ("srt2", [], True, ["A", "B"])
+    # the job names its asset twice and counts once
+    assert (s2.jobs_running, s2.success, s2.complete_probe_data, s2.needs_attention) == (["job"], None, None, True)
+    assert (s3.raw_asset, s3.latest_sorted_asset, s3.jobs_running) == (None, None, None)
+    assert [r.session for r in status.sorting_status(sessions, assets, comps).collect()] == ["s1", "s2", "s3"]
     assert "sorting jobs in progress: job" in s2.detail and "output:\nlog" in s1.detail
-    counted = {r.session: r for r in status.sorting_status(sessions, assets, comps).collect()}
-    assert "jobs_running_names" not in counted["s2"].asDict() and "in progress: 1" in counted["s2"].detail
 
 
 def test_already_triggered(spark):
@@ -80,6 +78,17 @@ def test_upload_status_header_variants(spark):
         status.manifest_datetime(bad)
 
 
+def test_dates_in_folder_names(spark):
+    names = {"DRpilot_1_20230201": dt.date(2023, 2, 1), "DRpilot_1": None, "DRpilot_12345678_20230201_1": dt.date(2023, 2, 1),
+             "DRpilot_1_2023-02-01_5": dt.date(2023, 2, 1), "DRpilot_1_20230231": None, "DRpilot_1_120230201": None}
+    folders = spark.createDataFrame([(n, True) for n in names], "folder string, has_ephys boolean")
+    manifest = spark.createDataFrame([], "folder string, row int, `acq-datetime` string")
+    out = status.upload_status(folders, [manifest], spark.createDataFrame([], "session_id string")).collect()
+    assert {r.folder: r.date for r in out} == names
+    assert {r.folder: r.subject for r in out}["DRpilot_12345678_20230201_1"] == "12345678"
+    assert status.recording_folders(spark.createDataFrame([("DRpilot_366122_x", True), ("x", True), ("DRpilot_1", True)], folders.schema)).count() == 1
+
+
 def test_column_filters_and_session_table(spark):
     df = spark.createDataFrame([("abc", 1, True), ("xbz", 5, False), ("b", 9, None)], "s string, n int, f boolean")
     got = status.column_filters(df, {"s": ("like", "b"), "n": ("<", 9), "f": ("bool", None)}).collect()
@@ -94,24 +103,32 @@ CHANGE_COLS = ("serial_number string, changed_at timestamp, date_installed date,
 
 
 def test_inventory_apply_and_store(spark, tmp_path):
-    store = inventory.InventoryStore(spark, str(tmp_path / "probes"))
-    assert store.load().count() == 0
+    first, second, third = (str(tmp_path / x) for x in "abc")
+    inventory.create_if_missing(spark, first)
+    assert inventory.read_inventory(spark, first).count() == 0
     batch = spark.createDataFrame(
         [("P1", T0, dt.date(2024, 1, 1), None, "", "NP1", "", None),
          ("P1", T1, dt.date(2024, 1, 2), None, "bent", "NP2", "shelf", None),  # duplicate in one batch: last wins
          ("P2", T0, dt.date(2024, 1, 3), None, None, "NP3", None, True)],
         CHANGE_COLS,
     )
-    v = store.apply(batch, ["changed_at"])
-    rows = {r.serial_number: r for r in store.load().collect()}
-    assert v == 1 and rows["P1"].rig == "NP2" and rows["P1"].issue == "bent" and rows["P1"].is_destroyed is False
+    inventory.write_inventory(inventory.inventory_apply(inventory.read_inventory(spark, first), batch, ["changed_at"]), second)
+    inventory.create_if_missing(spark, second)  # leaves it as it is
+    rows = {r.serial_number: r for r in inventory.read_inventory(spark, second).collect()}
+    assert rows["P1"].rig == "NP2" and rows["P1"].issue == "bent" and rows["P1"].is_destroyed is False
     assert rows["P2"].is_destroyed is True and rows["P2"].issue is None
     edit = spark.createDataFrame([("P2", T1, dt.date(2024, 1, 3), dt.date(2024, 5, 1), "", "", "", False)], CHANGE_COLS)
-    store.apply(edit, ["changed_at"])
-    rows = {r.serial_number: r for r in store.load().collect()}
+    inventory.write_inventory(inventory.inventory_apply(inventory.read_inventory(spark, second), edit, ["changed_at"]), third)
+    rows = {r.serial_number: r for r in inventory.read_inventory(spark, third).collect()}
     assert len(rows) == 2 and rows["P2"].rig is None and rows["P2"].date_removed == dt.date(2024, 5, 1)
 
 
+def test_qc_prefix_shared_by_all_files(spark):
+    files = spark.createDataFrame([("q/" + "a" * 3000 + f"{i}.png",) for i in range(20)], "path string")
+    sessions = spark.createDataFrame([("a" * 3000 + "_0",), ("b_0",)], "session_id string")
+    assert qc.qc_manifest(files, sessions, root="q").count() == 20
+
+
 def test_qc_manifest(spark):
     files = spark.createDataFrame(
         [("/qc/636766_2023-01-23/probeA/unit_rates.png",), ("/qc/636766_2023-01-23/x.json",),

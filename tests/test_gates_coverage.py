@@ -13,12 +13,12 @@ D = dt.date(2024, 1, 1)
 @pytest.fixture(scope="module")
 def domain(spark):
     session = spark.createDataFrame(
-        [("s1", 1, D, ["a"]), ("s2", 1, D, ["templeton"]), ("s3", 2, D, None), ("s4", 3, D, [None, "b"]),
-         ("s5", 4, D, ["a"])],
+        [("s1", 1, D, ["a"]), ("s2", 1, D, ["templeton"]), ("s3", 2, D, []), ("s4", 3, D, [None, "b"]),
+         ("s5", 4, D, ["a"]), ("s6", 4, D, None)],
         "session_id string, subject_id long, date date, keywords array<string>",
     )
     perf = []
-    for sid, n in (("s1", 4), ("s2", 4), ("s3", 4), ("s4", 4), ("s5", 3)):
+    for sid, n in (("s1", 4), ("s2", 4), ("s3", 4), ("s4", 4), ("s5", 3), ("s6", 4)):
         perf += [(sid, i, 1.5, 1.5) for i in range(n)]
     perf += [("s1", 9, 1.0, 2.0)]  # d-prime exactly on the threshold does not pass
     performance = spark.createDataFrame(perf, "session_id string, block_index long, same_modal_dprime double, cross_modal_dprime double")
@@ -54,10 +54,10 @@ def domain(spark):
 
 
 def test_qualifying_sessions(domain):
-    # s2 has the keyword, s5 only 3 passing blocks; null list and list with a null are kept
+    # s2 has the keyword, s5 only 3 passing blocks, s6 a null list; a list with a null is kept
     assert sorted(r.session_id for r in domain["sessions"].collect()) == ["s1", "s3", "s4"]
     off = gates.qualifying_sessions(domain["session"], domain["performance"], enabled=False)
-    assert off.count() == 5
+    assert off.count() == 6
 
 
 def test_good_units_thresholds_and_hemisphere(domain):
@@ -82,8 +82,49 @@ def test_units_at_location_modes(domain):
     assert ids(coverage.units_at_location(good, "", "starts_with")) == ["u1", "u3", "u7", "u9"]
 
 
+def test_flags_equal_matched_units(domain):
+    good = domain["good"]
+    for area, mode, kw in (("VIS", "starts_with", {}), ("vis, mos", "starts_with", {"case_sensitive": False}), ("", "starts_with", {}),
+                           ("[ps][0-9]$", "contains", {"include_right_hemisphere": True})):
+        flagged = {r.unit_id for r in coverage.flag_at_location(good, area, mode, **kw).where("in_area").collect()}
+        assert flagged == {r.unit_id for r in coverage.units_at_location(good, area, mode, **kw).collect()}
+
+
+def test_case_insensitive_pattern_keeps_its_escapes(domain):
+    found = coverage.units_at_location(domain["good"], r"^vis\Dp?1?", "contains", case_sensitive=False)
+    assert sorted(r.unit_id for r in found.collect()) == ["u1", "u7"]
+
+
+def test_substrings_are_bounded_by_needle_lengths(spark):
+    long = "".join(chr(97 + i % 7) for i in range(5000)) + "NEEDLE"
+    v = spark.createDataFrame([(long,)], "value string")
+    n = spark.createDataFrame([(0, "NEEDLE"), (1, "absent")], "term_idx int, acronym string")
+    assert [(r.term_idx, r.value) for r in coverage.contains_any(v, n).collect()] == [(0, long)]
+
+
+def test_probe_tracks_and_missed(domain, spark):
+    good, tree = domain["good"], domain["tree"].withColumn("color_hex_int", F.lit(1))
+    el = spark.createDataFrame(
+        [("s1", "probeA", 100.0, 10.0, 50.0, "VISp1", "VISp"), ("s1", "probeA", 101.0, 10.0, 50.0, "MOs1", None),
+         ("s1", "probeB", 200.0, 20.0, 50.0, "MOs1", "MOs"), ("s4", "probeC", 300.0, 30.0, 50.0, "MOs1", "MOs"),
+         ("s4", "probeC", -1.0, 30.0, 50.0, "MOs1", "MOs")],
+        "session_id string, group_name string, x double, y double, z double, location string, structure string",
+    )
+    args = (el, domain["groups"])
+    matched = coverage.units_at_location(good, "MOs", "starts_with")
+    near = coverage.probe_locations(*args, matched, tree, 125.0, "MOs", "starts_with")
+    assert sorted((r.session_id, r.ccf_ap) for r in near.collect()) == [("s1", 200.0), ("s4", 300.0)]
+    keys = coverage.probe_keys(*args, matched, tree, 125.0, "MOs", "starts_with")
+    assert sorted((r.session_id, r.electrode_group_name) for r in keys.collect()) == [("s1", "probeB"), ("s4", "probeC")]
+    missed = coverage.missed_insertions(*args, coverage.flag_at_location(good, "MOs", "starts_with"), tree, 125.0, "MOs", "starts_with")
+    assert sorted((r.electrode_group_name, r.ccf_ap) for r in missed.collect()) == [("probeA", 100.0), ("probeA", 101.0)]
+    only = coverage.missed_insertions(*args, coverage.flag_at_location(good, "VIS", "starts_with"), tree, 125.0, "VIS", "starts_with",
+                                      filter_implant_location="A1", filter_probe_letter="b")
+    assert [r.ccf_ap for r in only.collect()] == [200.0]
+
+
 def test_unit_counts_and_breakdown(domain):
-    counts = coverage.unit_counts(domain["good"], with_unit_ids=True)
+    counts = coverage.unit_counts(domain["good"])
     rows = {(r.session_id, r.location): r for r in counts.collect()}
     assert rows[("s1", "VISp1")].location_count == 2 and rows[("s1", "VISp1")].unit_ids == ["u1", "u2"]
     b = coverage.location_breakdown(counts, "subject_id").collect()
@@ -91,9 +132,12 @@ def test_unit_counts_and_breakdown(domain):
 
 
 def test_co_recorded_top_k(domain):
-    matched = coverage.units_at_location(domain["good"], "VISp", "starts_with")
-    out = coverage.co_recorded_structures(domain["good"], matched, k=1).collect()
-    assert [(r.structure, r.session_id, r.unit_count, r.total_structure_count) for r in out] == [("MOs", "s1", 1, 1)]
+    flagged = coverage.flag_at_location(domain["good"], "VISp", "starts_with")
+    out = coverage.co_recorded_structures(flagged, k=2).collect()
+    # u2 lies in the area but on the right, so it counts as another unit of VISp
+    assert {(r.structure, r.session_id, r.unit_count, r.total_structure_count) for r in out} == {("MOs", "s1", 1, 1), ("VISp", "s1", 1, 1)}
+    none = flagged.withColumn("structure", F.lit(None).cast("string"))
+    assert coverage.co_recorded_structures(none).count() == 0  # a null structure takes no place
 
 
 def test_location_summary_index(domain):
@@ -116,10 +160,9 @@ def test_contains_any_matches_brute_force(spark):
 
 
 def test_insertion_hit_rate(domain, spark):
-    good = domain["good"]
-    matched = coverage.units_at_location(good, "MOs", "starts_with")
-    probe_locs = matched.select("session_id", "electrode_group_name")
-    out = {(r.implant, r.hole, r.probe): r for r in coverage.insertion_hit_rate(matched, probe_locs, good).collect()}
+    flagged = coverage.flag_at_location(domain["good"], "MOs", "starts_with")
+    probes = flagged.where("in_area").select("session_id", "electrode_group_name").distinct()
+    out = {(r.implant, r.hole, r.probe): r for r in coverage.insertion_hit_rate(flagged, probes).collect()}
     assert (out[("2002", "A1", "B")].hits, out[("2002", "A1", "B")].total, out[("2002", "A1", "B")].rate) == (1, 1, 1.0)
     assert out[("2002", "E2", "C")].total_hits_this_implant == 2
 

@@ -6,7 +6,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from ephysframe.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct")
@@ -35,15 +35,26 @@ def unbounded_nested_loops(plan: str) -> int:
 
 
 def test_gates_push_down_to_parquet(spark):
-    plan = plan_of(E.queries()["units_at_location_starts_with"](spark, SF))
+    plan = plan_of(QUERIES["units_at_location_starts_with"](spark, SF))
     assert "GreaterThan(l_quantity,10.0)" in plan and "LessThan(l_discount,0.08)" in plan
     assert "StringStartsWith(s_name,Supplier#0000000)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderpriority:string>" in plan
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_a_query_runs_no_job(spark, name):
+    group = f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        QUERIES[name](spark, SF)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_udf_or_nested_loop(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = plan_of(df)
     bad = [f for f in FORBIDDEN if f in plan]
     assert not bad, f"{name}: {bad}"

@@ -1,36 +1,17 @@
-"""Failure-recovery claims: idempotent batch replay, no local checkpoint
-folder on a cluster."""
+"""No local checkpoint folder on a cluster."""
 
-import datetime as dt
 from types import SimpleNamespace
 
 import pytest
 
-from ephysframe.operators.inventory import InventoryStore
 from ephysframe.session import checkpoint_dir
-from ephysframe.streaming.inventory_stream import CHANGES
 
 
-def test_replayed_batch_is_idempotent(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    batch = spark.createDataFrame(
-        [("P1", dt.date(2024, 1, 1), None, "bent", "NP1", "", None, t0),
-         ("P1", dt.date(2024, 1, 2), None, "", "NP2", "shelf", True, t0 + dt.timedelta(hours=1)),
-         ("P2", dt.date(2024, 1, 3), None, None, "NP3", None, None, t0)],
-        CHANGES,
-    )
-    store = InventoryStore(spark, str(tmp_path / "store"))
-    store.apply(batch, ["changed_at"])
-    once = sorted(tuple(r) for r in store.load().collect())
-    store.apply(batch, ["changed_at"])  # the same micro-batch replayed after a failure
-    twice = sorted(tuple(r) for r in store.load().collect())
-    assert once == twice and len(once) == 2
-
-
-def test_checkpoint_dir_refuses_local_folder_on_cluster():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[3,2,3000]", "spark://host:7077"])
+def test_checkpoint_dir_refuses_local_folder_on_cluster(master):
     fake = SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default=None: None, set=lambda k, v: None),
-        sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None),
+        sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None),
     )
     with pytest.raises(RuntimeError, match="shared folder"):
         checkpoint_dir(fake)

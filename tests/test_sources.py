@@ -17,14 +17,16 @@ def test_csv_schema_keeps_colour_text(spark, tmp_path):
 def test_listing_folders_and_flags(spark, tmp_path):
     root = tmp_path / "ephys"
     for rel in ("DRpilot_1_20230101/a.txt", "DRpilot_1_20230101/DRpilot_1_20230101/b.bin",
-                "DRpilot_366122_20230102/c.txt", "Other_2/d.txt", "DRpilot_3_20230103/e.txt"):
+                "DRpilot_366122_20230102/c.txt", "Other_2/d.txt", "DRpilot_3_20230103/e.txt", "DRpilot_file.txt"):
         f = root / rel
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text("x")
     files = list_files(spark, str(root))
-    assert files.columns == ["path"] and files.count() == 5
+    assert files.columns == ["path"] and files.count() == 6
     names = sorted(r.folder for r in folder_names(files, str(root), prefix="DRpilot", exclude="366122").collect())
     assert names == ["DRpilot_1_20230101", "DRpilot_3_20230103"]
+    folders = spark.createDataFrame([(f"{root}/DRpilot_empty/",), (f"{root}/DRpilot_x",)], "path string")
+    assert [r.folder for r in folder_names(folders, str(root)).collect()] == ["DRpilot_empty"]
     listing = spark.createDataFrame([("DRpilot_1_20230101",)], "folder string")
     flagged = exists_flag(folder_names(files, str(root), prefix="DRpilot"), listing, "folder", "started")
     assert {r.folder: r.started for r in flagged.collect()} == {

@@ -55,6 +55,8 @@ def test_unknown_acronym_fails(spark, tree):
     keys = spark.createDataFrame([("nope",)], "acronym string")
     with pytest.raises(Exception, match="unknown acronym"):
         T.acronyms_to_ids(tree, keys).collect()
+    with pytest.raises(Exception, match="no structure with acronym nope"):
+        T.structure_info(tree, keys).collect()
 
 
 def _frontier(spark, tree, vol, roots):
@@ -118,7 +120,8 @@ def test_strict_children_search(spark, tree):
 
     good = spark.createDataFrame([("u1", "MOs1", False)], "unit_id string, location string, is_right_hemisphere boolean")
     atlas = Atlas(tree, spark.createDataFrame([(656,)], "id long"))
-    assert units_at_location(good, "MOs", "children_of", atlas=atlas, strict=True).count() == 1
-    with pytest.raises(ValueError, match="No children found"):
-        units_at_location(good, "X", "children_of", atlas=atlas, strict=True)
-    assert units_at_location(good, "X", "children_of", atlas=atlas).count() == 0
+    assert units_at_location(good, "MOs", "children_of", atlas=atlas).count() == 1
+    empty = units_at_location(good, "X", "children_of", atlas=atlas)  # building it runs nothing
+    with pytest.raises(Exception, match="matches nothing in the volume"):
+        empty.collect()
+    assert units_at_location(good, "X", "children_of", atlas=atlas, strict=False).count() == 0

@@ -1,6 +1,7 @@
 """Projections and scatter images against numpy brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ephysframe.operators import volume as V
@@ -28,9 +29,17 @@ def test_hemisphere_and_midline(spark):
     vol = _volume(np.random.default_rng(1))
     vol[6, 0, 0] = 2
     t = _table(spark, vol)
-    assert spark.range(1).select(V.midline(t).alias("m")).first().m == 25 * 0.5 * 7
-    left = V.hemisphere(t, "left").agg(F.max("ml")).first()[0]
-    assert left < 3 and V.hemisphere(t, "right").agg(F.min("ml")).first()[0] >= 3
+    assert spark.range(1).select(V.midline(7).alias("m")).first().m == 25 * 0.5 * 7
+    assert spark.range(1).select(V.midline(V.axis_size(t, "ml")).alias("m")).first().m == 25 * 0.5 * 7
+    left = V.hemisphere(t, "left", 7).agg(F.max("ml")).first()[0]
+    assert left < 3 and V.hemisphere(t, "right", 7).agg(F.min("ml")).first()[0] >= 3
+
+
+def test_empty_outer_planes_do_not_move_the_midline(spark):
+    t = spark.createDataFrame([(ml, 0, 0, 1) for ml in range(2, 8)], "ml int, dv int, ap int, structure_id long")
+    assert V.hemisphere(t, "left", 10).count() == 3 and V.hemisphere(t, "right", 10).count() == 3
+    with pytest.raises(ValueError):
+        V.hemisphere(t, "left")
 
 
 def test_projection_matches_numpy(spark):
@@ -77,5 +86,7 @@ def test_scatter_colour(spark):
     df = spark.createDataFrame([(30.0, 30.0), (30.0, 30.0), (80.0, 10.0)], "ccf_ap double, ccf_ml double")
     rows = V.scatter_density(df, "horizontal", image_shape=(4, 4), rgb=(0.0, 0.0, 0.0)).collect()
     assert {(r.r, r.g, r.b) for r in rows} == {(0.0, 0.0, 0.0)}
+    shaped = V.scatter_density(df, "horizontal", volume_shape={"ml": 8, "dv": 3, "ap": 4}, rgb=(0.0, 0.0, 0.0))
+    assert sorted(map(tuple, shaped.collect())) == sorted(map(tuple, rows))
     alpha = {(r.y, r.x): r.a for r in rows}
     assert alpha[(1, 1)] == 1.0 and abs(alpha[(3, 0)] - 0.9) < 1e-12 and len(alpha) == 2
