@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .bytetext import P, Words, _power, mixed, slices
 from .common import materialise, text_or_empty
@@ -26,6 +27,8 @@ from .common import materialise, text_or_empty
 FEATURES, BEGINNINGS = 1 << 18, (4, 6)
 #: Labelled rows that are fitted at most, by hash order of their ids.
 SAMPLE = 12_000
+#: Features that a model weighs: those that most rows of the sample have. Bounds the fit's vectors.
+WEIGHED = 1 << 15
 FOLDS, REG, ELASTIC, ROUNDS = 3, 5e-5, 1.0, 60
 #: Tasks that share the sample in a fit.
 FIT_TASKS = 6
@@ -76,10 +79,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, end - first), pa.array(sets, pa.list_(pa.int32()))], names=["key", "x"])
 
 
-@F.udf(VectorUDT())
-def _vector(x, before):
-    # on the bounded sample only
-    return Vectors.sparse(FEATURES + len(before), [*x, *range(FEATURES, FEATURES + len(before))], [1.0] * len(x) + list(before))
+def _vector(place, size: int):
+    """A row's weighed features and the earlier categories' probabilities; on the bounded sample only."""
+
+    @F.udf(VectorUDT())
+    def vector(x, before):
+        at = place.value[np.array(x, np.int64)]
+        at = at[at >= 0].tolist()
+        return Vectors.sparse(size + len(before), [*at, *range(size, size + len(before))], [1.0] * len(at) + list(before))
+
+    return vector
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = CATEGORIES, doc_id: str = "doc_id", text: str = "text",
@@ -98,10 +107,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = C
     data = texts.mapInArrow(_features, f"key {kind}, x array<int>").join(own, "key")
     data = materialise(data.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("key").cast("string")), F.lit(FOLDS)))
                        .withColumn("before", F.array().cast("array<double>")), "toxicity-sample")
+    common = data.select(F.explode("x").alias("f")).groupBy("f").count().orderBy(F.desc("count"), "f").limit(WEIGHED)
+    weighed = np.sort(np.array([r["f"] for r in common.select("f").collect()], np.int64))
+    place = np.full(FEATURES, -1, np.int32)
+    place[weighed] = np.arange(len(weighed))
+    vector = _vector(docs.sparkSession.sparkContext.broadcast(place), len(weighed))
     model = Model(categories)
     for k in range(len(categories)):
-        size = FEATURES + k
-        ready = data.withColumn("features", _vector("x", "before")).withColumn("label", F.col(f"y{k}")).coalesce(FIT_TASKS).cache()
+        size = len(weighed) + k
+        ready = data.withColumn("features", vector("x", "before")).withColumn("label", F.col(f"y{k}")).coalesce(FIT_TASKS).cache()
         known = ready.where("label is not null")
 
         def linear(rows: DataFrame):
@@ -112,8 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = C
             return found, found.coefficients.toArray(), float(found.intercept)
 
         _, w, b = linear(known)
-        model.weights.append(w[:FEATURES].astype(np.float32))
-        model.earlier.append(w[FEATURES:])
+        full = np.zeros(FEATURES, np.float32)
+        full[weighed] = w[:len(weighed)]
+        model.weights.append(full)
+        model.earlier.append(w[len(weighed):])
         model.intercepts.append(b)
         if k + 1 < len(categories):
             out = None
@@ -129,39 +145,43 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = C
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, th, p)`` of each row: the categories' probabilities along the chain. An empty text has no features."""
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``chain``: each row's probabilities of the categories, in order. An empty text has no features.
+
+    One pass without a join; a column named ``chain`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.earlier, model.intercepts))  # FEATURES numbers a category
+    rows = docs.drop("chain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, earlier, intercepts = shared.value
         for batch in batches:
-            for first, end, body, offsets in slices(batch.column("text")):
+            body = batch.column(batch.num_columns - 1)
+            for first, end, chars, offsets in slices(body):
                 out = []
-                for x in feature_sets(Words(body, offsets)):
+                for x in feature_sets(Words(chars, offsets)):
                     p: list[float] = []
                     for w, e, b in zip(weights, earlier, intercepts):
                         p.append(1.0 / (1.0 + float(np.exp(-np.clip(float(w[x].sum(dtype=np.float64)) + float(e @ p) + b, -60, 60)))))
                     out.append(p)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("key", "th")), pa.array(out, pa.list_(pa.float64()))],
-                                                 names=["key", "th", "p"])
+                own = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*own.schema.names[:-1], "chain"])
 
-    rows = docs.select(F.col(doc_id).alias("key"), text_or_empty(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, th long, p array<double>")
+    schema = StructType([*rows.schema.fields, StructField("chain", ArrayType(DoubleType()))])
+    return rows.withColumn("__body", text_or_empty(text)).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = CATEGORIES, doc_id: str = "doc_id", text: str = "text",
           threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """``(id, th, p_<category>..., rejected)`` of each row; the last category decides."""
-    scored = score(docs, fit(docs, labels, categories, doc_id, text, sample), doc_id, text)
-    named = [F.get("p", F.lit(k)).alias(f"p_{c.name}") for k, c in enumerate(categories)]
-    return scored.select(F.col("key").alias("id"), "th", *named, (F.get("p", F.lit(len(categories) - 1)) >= threshold).alias("rejected"))
+    own = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).withColumn("th", F.xxhash64("text"))
+    scored = score(own, fit(docs, labels, categories, doc_id, text, sample)).drop("text")
+    named = [F.get("chain", F.lit(k)).alias(f"p_{c.name}") for k, c in enumerate(categories)]
+    return scored.select("id", "th", *named, (F.get("chain", F.lit(len(categories) - 1)) >= threshold).alias("rejected"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not rejected."""
-    bad = judge(docs, labels, doc_id=doc_id, text=text).where("rejected").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    bad = materialise(bad, "toxicity-rejected")
-    keyed = docs.withColumn("__own", F.xxhash64(text_or_empty(text)))
-    return keyed.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_anti").drop("__own")
+def clean(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = CATEGORIES, doc_id: str = "doc_id", text: str = "text",
+          threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """Rows of ``docs`` that are not rejected, with their columns (``chain`` is not among them)."""
+    scored = score(docs, fit(docs, labels, categories, doc_id, text, sample), text)
+    return scored.where(F.get("chain", F.lit(len(categories) - 1)) < threshold).drop("chain")
