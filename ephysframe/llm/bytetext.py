@@ -17,8 +17,8 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
-#: Text bytes handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+#: Text bytes handled at once, few enough for the arrays to stay in a core's cache; a longer text is handled alone.
+SLICE = 1 << 17
 #: Odd multipliers of the hashes modulo 2**64.
 P = np.uint64(0x9E3779B97F4A7C15 | 1)
 Q = np.uint64(0xD6E8FEB86659FD93)

@@ -48,48 +48,42 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(32)
     # smallest value of each window of w grams: windows of powers of two, two of which cover it
-    low, span = value, 1
+    short = (value >> np.uint64(32)).astype(np.uint32)
+    low, span = short, 1
     while span * 2 <= w:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     m = n - length + 1
     low = np.minimum(low[:m], low[w - span:w - span + m])
-    row = np.searchsorted(offsets, np.arange(m), "right") - 1
-    whole = np.arange(m) + length <= offsets[row + 1]
-    start = np.flatnonzero(whole)
-    if not len(start):
+    # starts whose string lies inside one row
+    number = np.maximum(np.diff(offsets) - length + 1, 0)
+    if not number.any():
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    row, low = row[whole], low[whole]
-    # an anchor's run of starts ends when the smallest value changes or its first place leaves the window
+    row = np.repeat(np.arange(len(number)), number)
+    start = np.arange(len(row)) + np.repeat(offsets[:-1] - np.cumsum(number) + number, number)
+    low = low[start]
+    # a run of starts has one smallest value; its first place is the anchor as long as the place is inside the window
     new = np.ones(len(start), bool)
     new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
     stop = np.append(head[1:], len(start))
-    out_start, out_count, out_low = [], [], []
-    # place of the smallest value: the run of equal minima starts where the value enters or is uncovered
-    at = np.flatnonzero(np.isin(value, low[head]))
-    order = np.argsort(value[at], kind="stable")
-    keys, places = value[at][order], at[order]
-    lo = np.searchsorted(keys, low[head], "left")
-    hi = np.searchsorted(keys, low[head], "right")
-    single = hi - lo == 1
-    out_start.append(head[single])
-    out_count.append((stop - head)[single])
-    out_low.append(low[head[single]])
-    for a, b, x, y in zip(head[~single].tolist(), stop[~single].tolist(), lo[~single].tolist(), hi[~single].tolist()):
-        here = places[x:y]
+    place = np.concatenate([start[x] + short[start[x][:, None] + np.arange(w)].argmin(axis=1) for x in np.array_split(head, len(head) // 2048 + 1)])
+    single = start[stop - 1] <= place
+    firsts, counts, places = [head[single]], [(stop - head)[single]], [place[single]]
+    for a, b in zip(head[~single].tolist(), stop[~single].tolist()):
         s = start[a:b]
-        place = here[np.searchsorted(here, s)]
-        cut = np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1)
-        out_start.append(a + cut)
-        out_count.append(np.diff(np.append(cut, b - a)))
-        out_low.append(low[a + cut])
-    first, count, h = np.concatenate(out_start), np.concatenate(out_count), np.concatenate(out_low)
+        here = s[0] + np.flatnonzero(short[s[0]:s[-1] + w] == low[a])
+        own = here[np.searchsorted(here, s)]
+        cut = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+        firsts.append(a + cut)
+        counts.append(np.diff(np.append(cut, b - a)))
+        places.append(own[cut])
+    first, count, place = np.concatenate(firsts), np.concatenate(counts), np.concatenate(places)
     begin = start[first]
     end = begin + count + length - 1
     around = mixed((total[end] - total[begin]) * inverse[begin] + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     own = row[first]
-    return own, begin - offsets[own], count, mixed(h), around
+    return own, begin - offsets[own], count, mixed(value[place]), around
 
 
 def _anchor_rows(length: int, gram: int, full: bool):
@@ -165,18 +159,28 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, stride: int = 8) -> np.
     n = len(symbols)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    text = np.concatenate([symbols, np.array([-1], symbols.dtype)])
+    # seven symbols as one number, and whether none of them is a separator
+    padded = np.concatenate([symbols, np.zeros(7, np.int64)])
+    packed, clean = np.zeros(n + 1, np.int64), np.ones(n + 1, bool)
+    for j in range(7):
+        packed = (packed << 9) | padded[j:j + n + 1]
+        clean &= padded[j:j + n + 1] > 0
     out = np.zeros(n, np.int64)
     for k in range(stride):
-        at = np.arange(k, n, stride)
+        own = np.arange(k, n, stride)
         if k:
-            out[at] = np.maximum(out[at - 1] - 1, 0)
-        at = at[before[at] >= 0]
-        out[np.arange(k, n, stride)[before[np.arange(k, n, stride)] < 0]] = 0
+            out[own] = np.maximum(out[own - 1] - 1, 0)
+        out[own[before[own] < 0]] = 0
+        own = own[before[own] >= 0]
+        at = own
         while len(at):
-            a = text[at + out[at]]
-            same = (a == text[before[at] + out[at]]) & (a > 0)
-            at = at[same]
+            i = at + out[at]
+            at = at[clean[i] & (packed[i] == packed[before[at] + out[at]])]
+            out[at] += 7
+        at = own
+        while len(at):
+            a = padded[at + out[at]]
+            at = at[(a > 0) & (a == padded[before[at] + out[at]])]
             out[at] += 1
     return out
 
@@ -186,7 +190,9 @@ def repeated_starts(around: list[np.ndarray], length: int) -> tuple[np.ndarray,
     size = np.array([len(x) for x in around], np.int64)
     first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     symbols = np.zeros(int((size + 1).sum()), np.int64)
-    symbols[np.ones(len(symbols), bool) & ~np.isin(np.arange(len(symbols)), first + size)] = np.concatenate(around).astype(np.int64) + 1
+    inside = np.ones(len(symbols), bool)
+    inside[first + size] = False
+    symbols[inside] = np.concatenate(around).astype(np.int64) + 1
     sa, _ = suffix_array(symbols)
     lcp = common_prefixes(symbols, sa)
     same = lcp >= length
