@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, lattice_dedup, lsh_forest, poisson_mix, secret_scan, suffix_dedup, token_blocks, toxicity_chain, url_ratio, winnowing
+from . import hash_tree, lattice_dedup, lsh_forest, oracle, poisson_mix, secret_scan, suffix_dedup, token_blocks, toxicity_chain, url_ratio, winnowing
 from .common import scratch, table, text_or_empty
 
 
@@ -91,4 +91,9 @@ QUERIES = {
     "op9_lattice_hashing": op9_lattice_hashing,
     "op10_secret_trigrams": op10_secret_trigrams,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_lm_ratio": oracle.urls(),
+    "op5_poisson_mix": oracle.mixed(MIX_WEIGHTS),
+    "op8_winnowing": oracle.CONTAMINATED,
+    "op10_secret_trigrams": oracle.secrets(),
+}
