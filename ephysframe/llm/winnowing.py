@@ -122,7 +122,8 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     shared = prints.join(windows.select("fp").distinct(), "fp", "left_semi")
     asked = materialise(shared.groupBy("id", "th").agg(F.collect_set("fp").alias("fps")), "bench-prints")
     asked = asked.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "fps")
-    both = rows.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    # both sides grow with the corpus: a shuffle at every size
+    both = rows.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
     seen = (both.select("id", F.col("th").alias("rid"), "text", "fps")
             .mapInArrow(_doc_windows(sizes), f"id {kind}, rid long, n_words long, wins array<struct<s:int,win:string>>"))
     seen = materialise(seen.withColumnRenamed("rid", "th").withColumn("rid", F.monotonically_increasing_id()), "bench-seen")
@@ -149,4 +150,4 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """Rows of ``docs`` without a hit."""
     bad = find(docs, items, doc_id, text, item_id, item_text).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
     keyed = docs.withColumn("__own", F.xxhash64(text_or_empty(text)))
-    return keyed.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_anti").drop("__own")
+    return keyed.join(bad.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_anti").drop("__own")
