@@ -409,7 +409,7 @@ def q_find_sessions(c: Ctx) -> DataFrame:
 def q_find_sessions_on_date(c: Ctx) -> DataFrame:
     """One date wins over a range."""
     subjects = ", ".join(map(str, range(1, 200)))
-    return status.find_sessions(roles.board_sessions(c.spark, c.d), subjects, "1997-06-15", "1996-01-01", "1996-12-31")
+    return status.find_sessions(roles.board_sessions(c.spark, c.d), subjects, "1997-07-10", "1996-01-01", "1996-12-31")
 
 
 @query("sorting_status")

@@ -728,7 +728,7 @@ FROM cnt
 
 SQL["find_sessions_on_date"] = BOARDS + """
 SELECT DISTINCT * FROM bs
-WHERE CAST(subject_id AS BIGINT) BETWEEN 1 AND 199 AND platform = 'ecephys' AND date = DATE '1997-06-15'
+WHERE CAST(subject_id AS BIGINT) BETWEEN 1 AND 199 AND platform = 'ecephys' AND date = DATE '1997-07-10'
 """
 
 SQL["column_filters_below"] = with_roles(f"""
