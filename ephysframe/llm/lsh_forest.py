@@ -197,7 +197,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     wanted = (comps.join(sizes, "component").join(heads.select(F.col("rid").alias("node"), "id", "th", "members"), "node")
               .select(F.col("component").alias("comp"), "node", "n", "members", F.col("id").alias("__id"), F.col("th").alias("__th")))
     wanted = materialise(wanted, "jaccard-wanted")
-    texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    # both sides grow with the corpus: a shuffle at every size
+    texts = rows.join(wanted.hint("merge"), rows["id"].eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
     sets = texts.select("text", "comp", "node", "n", "members").mapInArrow(_sets(shingle), "comp long, node long, n long, members long, shingles binary")
     dealt = blocks(sets, "comp", F.col("n"), VERIFY_BLOCK, F.xxhash64("node")).select("comp", "bi", "bj", "own", "node", "members", "shingles")
     checked = materialise(by_group(dealt, ["comp", "bi", "bj"]).mapInArrow(_verified(threshold), "a long, b long, links long"), "jaccard-checked")
