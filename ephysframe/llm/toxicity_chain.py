@@ -27,10 +27,8 @@ from .common import materialise, text_or_empty
 FEATURES, BEGINNINGS = 1 << 18, (4, 6)
 #: Labelled rows that are fitted at most, by hash order of their ids.
 SAMPLE = 12_000
-#: Features that a model weighs: those that most rows of the sample have. Bounds the fit's vectors.
-WEIGHED = 1 << 15
 FOLDS, REG, ELASTIC, ROUNDS = 3, 5e-5, 1.0, 60
-#: Tasks that share the sample in a fit.
+#: Tasks that build the sample's vectors. A fit's rounds run in one task on them, so that no round shuffles FEATURES numbers a task.
 FIT_TASKS = 6
 
 
@@ -80,12 +78,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vector(place, size: int):
-    """A row's weighed features and the earlier categories' probabilities; on the bounded sample only."""
+    """A row's features and the earlier categories' probabilities; on the bounded sample only."""
 
     @F.udf(VectorUDT())
     def vector(x, before):
-        at = place.value[np.array(x, np.int64)]
-        at = at[at >= 0].tolist()
+        at = place.value[np.array(x, np.int64)].tolist()
         return Vectors.sparse(size + len(before), [*at, *range(size, size + len(before))], [1.0] * len(at) + list(before))
 
     return vector
@@ -107,8 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = C
     data = texts.mapInArrow(_features, f"key {kind}, x array<int>").join(own, "key")
     data = materialise(data.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("key").cast("string")), F.lit(FOLDS)))
                        .withColumn("before", F.array().cast("array<double>")), "toxicity-sample")
-    common = data.select(F.explode("x").alias("f")).groupBy("f").count().orderBy(F.desc("count"), "f").limit(WEIGHED)
-    weighed = np.sort(np.array([r["f"] for r in common.select("f").collect()], np.int64))
+    # all that the sample has, at most FEATURES numbers; the weight of any other is 0
+    weighed = np.sort(np.array([r["f"] for r in data.select(F.explode("x").alias("f")).distinct().collect()], np.int64))
     place = np.full(FEATURES, -1, np.int32)
     place[weighed] = np.arange(len(weighed))
     vector = _vector(docs.sparkSession.sparkContext.broadcast(place), len(weighed))
@@ -122,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = C
             seen = [r["label"] for r in rows.select("label").distinct().collect()]
             if len(seen) < 2:
                 return None, np.zeros(size), 30.0 if seen == [1.0] else -30.0
-            found = LogisticRegression(regParam=REG, elasticNetParam=ELASTIC, maxIter=ROUNDS, standardization=False).fit(rows)
+            found = LogisticRegression(regParam=REG, elasticNetParam=ELASTIC, maxIter=ROUNDS, standardization=False).fit(rows.coalesce(1))
             return found, found.coefficients.toArray(), float(found.intercept)
 
         _, w, b = linear(known)

@@ -145,6 +145,27 @@ def test_chain_on_held_out_rows(spark):
     assert not any(r.rejected for r in got if r.id is None)
 
 
+def test_chain_weighs_rare_words_among_many_features(spark):
+    """About 44,000 filled buckets, each of 9 rows or more but for the toxic words' of 4 rows: none of theirs is among the 32,768 commonest."""
+    rng = random.Random(7)
+    invented = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(16_060)]
+    noise, bad = invented[60:], invented[:60]
+    train, held = 1200, 300
+    spread = noise * 9 + rng.choices(noise, k=120 * held)
+    texts = [spread[i:i + 120] for i in range(0, len(spread), 120)]
+    labels = [(i, 1, int(i % 10 == 0)) for i in range(len(texts))]
+    slots = bad * 4
+    for i in range(0, len(texts), 10):
+        texts[i] = texts[i] + (slots[i // 5:i // 5 + 2] if i < train else rng.sample(bad, 4))
+    docs = [(i, " ".join(rng.sample(w, len(w))), "en", "s", 1, "th", "key", 1, "shard", "parts") for i, w in enumerate(texts)]
+    got = toxicity_chain.judge(frame(spark, docs), spark.createDataFrame(labels[:train], "doc_id long, quality int, toxic int")).collect()
+    toxic = {x[0] for x in labels if x[2]}
+    rejected = {r.id for r in got if r.id >= train and r.rejected}
+    expect = {i for i in toxic if i >= train}
+    assert len(rejected & expect) >= 0.9 * len(expect), (len(rejected & expect), len(expect))
+    assert len(rejected - expect) <= 0.02 * held, len(rejected - expect)
+
+
 def test_chain_without_labels(spark):
     docs = frame(spark, documents())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
