@@ -27,6 +27,8 @@ TREES, DEPTH, RECALL = 24, 6, 0.99999
 #: Sketches agree in at least the threshold less so much; about 5 standard deviations of 144 values.
 SLACK = 0.17
 BUCKET_BLOCK, VERIFY_BLOCK = 1024, 512
+#: A character of a word, as in ``bytetext``.
+WORDED = r"[0-9A-Za-z]|[^\x00-\x7F]"
 _draws = np.random.default_rng(20240229).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -218,13 +220,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of ``docs``; of equal rows with the same id one stays."""
+    """One row of each component of ``docs``; of equal rows with the same id one stays. Wordless rows all stay."""
     joined = materialise(join(docs, doc_id, text), "jaccard-result")
     kept = joined.where("kept").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
     keyed = docs.withColumn("__own", F.xxhash64(text_or_empty(text)))
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))
-    out = keyed.join(kept, same, "left_semi")
+    worded = text_or_empty(text).rlike(WORDED)
+    out = keyed.where(worded).join(kept, same, "left_semi")
     # rows equal in id and text cannot be told apart by a join; where there are any, one is left
     if not joined.groupBy("id", "th").count().where("count > 1").isEmpty():
         out = out.dropDuplicates([doc_id, "__own"])
-    return out.drop("__own")
+    return out.union(keyed.where(~worded)).drop("__own")

@@ -134,6 +134,15 @@ def test_prefix_is_shortened_until_recall():
     assert lsh_forest.prefix_depth(0.1, 2, 6, 0.99999) == 1
 
 
+def test_deduplicate_keeps_every_wordless_row(spark):
+    none = [(i, t, None, source, 0, "", "", 0, "", "") for i, t in ((None, None), (7, ""), (8, "!?\n")) for source in ("a", "a", "b")]
+    worded = [(1, "one text of some words", None, s, 0, "", "", 0, "", "") for s in ("a", "b")] + [
+        (2, "one text of some words", None, "a", 0, "", "", 0, "", ""), (3, "日", None, "a", 0, "", "", 0, "", ""), (3, "日", None, "b", 0, "", "", 0, "", "")]
+    got = [tuple(r) for r in lsh_forest.deduplicate(frame(spark, none + worded)).collect()]
+    assert Counter(r for r in got if r[0] not in (1, 2, 3)) == Counter(none)
+    assert sorted(r[0] for r in got if r[0] in (1, 2, 3)) == [1, 3]
+
+
 # --- winnowing ----------------------------------------------------------------
 
 ITEMS = [(1, "one two THREE four five six seven eight nine ten eleven twelve"), (2, "four five six seven eight nine ten eleven twelve thirteen"), (2, "short item"),
