@@ -1,9 +1,9 @@
-"""N-gram Jaccard join through a MinHash LSH forest.
+"""N-gram Jaccard join through banded MinHash.
 
-Texts are sets of word shingles; equal sets are one class. Each tree of the
-forest orders the classes by a path of MinHash values. The matched prefix is
-shortened from the whole path until a pair at the threshold is found by some
-tree with the target recall; classes under one prefix are compared by
+Texts are sets of word shingles; equal sets are one class. Each tree is a band:
+the first values of a path of MinHash values, as many for every class as still
+let some tree find a pair at the threshold with the target recall. No tries are
+built or prefixes shortened by the data. Classes of one band are compared by
 sketches, and what looks similar is joined to candidate components. Within a
 component every pair is verified exactly on its shingle sets. Large buckets
 and components are split into blocks, and pairs of blocks are verified in
