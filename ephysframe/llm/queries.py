@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, lattice_dedup, lsh_forest, oracle, poisson_mix, secret_scan, suffix_dedup, token_blocks, toxicity_chain, url_ratio, winnowing
+from . import (
+    fill_middle,
+    hard_negatives,
+    hash_tree,
+    lattice_dedup,
+    lsh_forest,
+    oracle,
+    poisson_mix,
+    secret_scan,
+    suffix_dedup,
+    token_blocks,
+    toxicity_chain,
+    url_ratio,
+    winnowing,
+)
 from .common import scratch, table, text_or_empty
 
 
@@ -76,6 +90,17 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
                         listed(secret_scan.RULES).alias("spans"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 #: Target weights by source; the other sources weigh 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 
@@ -90,10 +115,14 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_lattice_hashing": op9_lattice_hashing,
     "op10_secret_trigrams": op10_secret_trigrams,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op1_url_lm_ratio": oracle.urls(),
     "op5_poisson_mix": oracle.mixed(MIX_WEIGHTS),
     "op8_winnowing": oracle.CONTAMINATED,
     "op10_secret_trigrams": oracle.secrets(),
+    "op11_fill_middle": oracle.FILLED,
+    "op12_hard_negatives": oracle.NEGATIVES,
 }
