@@ -13,6 +13,7 @@ from . import (
     lsh_forest,
     oracle,
     poisson_mix,
+    quality_features,
     secret_scan,
     suffix_dedup,
     token_blocks,
@@ -101,6 +102,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op13_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_features.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.withColumnRenamed("id", "doc_id")
+
+
 #: Target weights by source; the other sources weigh 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 
@@ -117,6 +123,7 @@ QUERIES = {
     "op10_secret_trigrams": op10_secret_trigrams,
     "op11_fill_middle": op11_fill_middle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_fourier_quality": op13_fourier_quality,
 }
 SQL: dict[str, str] = {
     "op1_url_lm_ratio": oracle.urls(),
