@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bytetext import IS_WORD, LOWER, Words, slices
 from .common import materialise, text_or_empty
@@ -214,20 +213,26 @@ def _solve(sums: np.ndarray) -> np.ndarray:
     return np.linalg.solve(left, sums[:-1, -1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on every row of ``docs`` that has a label (1 or not); several labels of an id count as their largest.
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, stats)`` of each row, written once: the only pass over the texts."""
+    texts = docs.select(F.col(doc_id).alias("key"), text_or_empty(text).alias("text"))
+    kind = texts.schema["key"].dataType.simpleString()
+    return materialise(texts.mapInArrow(_measured, f"key {kind}, stats array<double>"), "quality-statistics")
 
-    All labelled rows take part: their statistics, a few hundred bytes a row,
-    are written once, and each task returns sums of a fixed size. Without both
-    classes the score is a constant: the class seen, or 0.5.
+
+def fit(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
+    """Fit on every row of :func:`measure` that has a label (1 or not); several labels of an id count as their largest.
+
+    All labelled rows take part, each copy of a repeated id too; only
+    statistics, a few hundred bytes a row, meet the labels, and each task
+    returns sums of a fixed size. Without both classes the score is a
+    constant: the class seen, or 0.5.
     """
     own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("key")).agg(
         F.max((F.col(label) == 1).cast("double")).alias("y"))
-    texts = docs.select(F.col(doc_id).alias("key"), text_or_empty(text).alias("text")).join(own.select("key"), "key", "left_semi")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    data = texts.mapInArrow(_measured, f"key {kind}, stats array<double>").join(own, "key")
+    data = measured.join(own, "key")
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("key").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")
-    data = materialise(data.select("stats", "y", fold), "quality-statistics")
+    data = materialise(data.select("stats", "y", fold), "quality-labelled")
     each = [x for k in range(len(NAMES)) for x in (F.avg(F.get("stats", F.lit(k))), F.stddev_pop(F.get("stats", F.lit(k))))]
     seen = data.agg(F.count(F.lit(1)), F.sum("y"), *each).first()
     n, ones = seen[0], seen[1] or 0.0
@@ -258,19 +263,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(centre, spread, weights, value, chance)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; one pass without a join. A column named ``score`` is replaced."""
-    rows = docs.drop("score")
+def score(measured: DataFrame, model: Model) -> DataFrame:
+    """``(key, score)`` of each row of :func:`measure`: the probability of label 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, body, offsets in slices(batch.column(batch.num_columns - 1)):
-                found = np.clip(model.scores(statistics(body, offsets)), 0, 1)
-                own = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(found)], names=[*own.schema.names[:-1], "score"])
+            found = np.clip(model.scores(_matrix(batch)), 0, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found)], names=["key", "score"])
 
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
-    return rows.withColumn("__body", text_or_empty(text)).mapInArrow(run, schema)
+    kind = measured.schema["key"].dataType.simpleString()
+    return measured.mapInArrow(run, f"key {kind}, score double")
 
 
 def held_out(doc_id: str, parts: int = 5):
@@ -286,7 +288,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts are measured whole, one at a time. Columns of other names are left
     out; an empty table gives an empty result.
     """
-    model = fit(docs, labels.where(~held_out(doc_id)), doc_id, text, label)
-    own = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
-    scored = score(own, model).drop("text").withColumn("score", F.round("score", 9))
+    measured = measure(docs, doc_id, text)
+    scored = score(measured, fit(measured, labels.where(~held_out(doc_id)), doc_id, label))
+    scored = scored.select(F.col("key").alias("id"), F.round("score", 9).alias("score"))
     return scored.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -80,7 +80,8 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def test_fit_equals_dense_numpy(spark):
     docs, labels = table()
-    model = quality.fit(frame(spark, docs), spark.createDataFrame(labels, LABELS).repartition(3))
+    rows = quality.measure(frame(spark, docs))
+    model = quality.fit(rows, spark.createDataFrame(labels, LABELS).repartition(3))
     stats, y = measured([d[1] for d in docs]), np.array([x[1] for x in labels], float)
     spread = stats.std(axis=0)
     assert np.allclose(model.centre, stats.mean(axis=0)) and np.allclose(model.spread, np.where(spread > 1e-9, spread, 1))
@@ -88,7 +89,7 @@ def test_fit_equals_dense_numpy(spark):
     penalty = np.diag([quality.RIDGE * len(y) / quality.FEATURES] * quality.FEATURES + [1e-9])
     assert np.allclose(model.weights, np.linalg.solve(x.T @ x + penalty, x.T @ y), atol=1e-6)
     assert (np.diff(model.chance) > 0).all() and 0 <= model.chance[0] and model.chance[-1] <= 1
-    got = {r.doc_id: r.score for r in quality.score(frame(spark, docs), model).collect()}
+    got = {r.key: r.score for r in quality.score(rows, model).collect()}
     assert np.allclose([got[i] for i in range(len(docs))], np.clip(model.scores(stats), 0, 1), atol=1e-9)
 
 
