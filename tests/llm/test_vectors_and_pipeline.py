@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from llmdata import SCHEMA, documents, frame
 
 import corpus_pipeline
 from ephysframe.llm import lattice_dedup, queries, toxicity_chain
+from ephysframe.llm.bytetext import Words, slices
 from ephysframe.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -166,6 +168,67 @@ def test_chain_weighs_rare_words_among_many_features(spark):
     assert len(rejected - expect) <= 0.02 * held, len(rejected - expect)
 
 
+def dense_fit(x, y, rounds=60_000):
+    """The same objective by plain proximal steps on a dense matrix with a last column of ones."""
+    n = len(y)
+    step = 1 / (np.linalg.norm(x, 2) ** 2 / (4 * n) + toxicity_chain.RIDGE)
+    cut = np.full(x.shape[1], toxicity_chain.LASSO * step)
+    ridge = np.full(x.shape[1], toxicity_chain.RIDGE)
+    cut[-1] = ridge[-1] = 0
+    w = z = np.zeros(x.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        new = z - step * (x.T @ (1 / (1 + np.exp(-(x @ z))) - y) / n + ridge * z)
+        new = np.sign(new) * np.maximum(np.abs(new) - cut, 0)
+        if (z - new) @ (new - w) > 0:
+            t = 1.0
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, t, w = new + (t - 1) / after * (new - w), after, new
+    return w
+
+
+def test_chain_equals_brute_force(spark):
+    """The whole chain on a small table: every fit, the out-of-fold chances and the scores."""
+    docs, labels = toxic_table(spark, 90, 3)
+    ids = [d[0] for d in docs]
+    fold = {r.i: r.f for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "pmod(xxhash64('fold', cast(i as string)), 3) f").collect()}
+    used, x = {}, np.zeros((len(ids), 20_000))
+    for k, (_, _, body, offsets) in enumerate(slices(pa.array([d[1] for d in docs]))):
+        for r, own in enumerate(toxicity_chain.feature_sets(Words(body, offsets))):
+            for f in own.tolist():
+                x[r, used.setdefault(f, len(used))] = 1
+    x = np.concatenate([x[:, :len(used)], np.ones((len(ids), 1))], axis=1)
+    fold = np.array([fold[i] for i in ids])
+    low, toxic = np.array([1.0 - q for _, q, _ in labels]), np.array([float(t) for _, _, t in labels])
+    known = np.array(ids) % 4 != 0
+    sure = lambda x, w: 1 / (1 + np.exp(-(x @ w)))
+    first = sure(x, dense_fit(x[known], low[known]))
+    unseen = np.zeros(len(ids))
+    for f in range(3):
+        unseen[fold == f] = sure(x[fold == f], dense_fit(x[known & (fold != f)], low[known & (fold != f)]))
+    joined = np.insert(x, -1, unseen, axis=1)
+    last = sure(np.insert(x, -1, first, axis=1), dense_fit(joined[known], toxic[known]))
+    seen = spark.createDataFrame([y for y in labels if y[0] % 4], "doc_id long, quality int, toxic int")
+    got = {r.id: r for r in toxicity_chain.judge(frame(spark, docs), seen, rounds=4000, enough=0.0).collect()}
+    assert np.allclose([got[i].p_low_quality for i in ids], first, atol=2e-4)
+    assert np.allclose([got[i].p_toxic for i in ids], last, atol=2e-4)
+    assert 0 < sum(r.rejected for r in got.values()) < len(ids)
+
+
+def test_chain_with_repeated_ids(spark):
+    """Copies of an id are one row of the sample; every copy is scored, whatever its text."""
+    docs, labels = toxic_table(spark, 300, 5)
+    copies = [(docs[7][0], docs[k][1], *docs[7][2:]) for k in range(250)] + [docs[8]] * 250
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    least = spark.createDataFrame([(d[1],) for d in docs[:250]], "t string").selectExpr("min_by(t, xxhash64(t)) t").first().t
+    model = toxicity_chain.fit(frame(spark, docs + copies), table, sample=300)
+    alone = [(d[0], least if d[0] == docs[7][0] else d[1], *d[2:]) for d in docs]
+    plain = toxicity_chain.fit(frame(spark, alone), table, sample=300)
+    assert all(np.allclose(a, b) for a, b in zip(model.weights, plain.weights)) and np.allclose(model.intercepts, plain.intercepts)
+    got = toxicity_chain.judge(frame(spark, docs + copies), table, sample=300).collect()
+    assert len(got) == len(docs) + len(copies)
+
+
 def test_chain_without_labels(spark):
     docs = frame(spark, documents())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
