@@ -27,8 +27,8 @@ AREA_PREFIX = "Supplier#0000000"  # starts_with
 AREA_REGEX = "#00000001[0-9]$"  # contains (regular expression)
 AREA_REGEX_CI = r"^supplier\D0+1[0-9]$"  # contains, case-insensitive
 AREA_REGIONS = "AMERICA, ASIA"  # children_of: regions expand to their suppliers in the volume
-AREA_NATION = "NATION_1"  # children_of on a nation
-AREA_TWO = "NATION_1, NATION_2"  # a probe must reach both
+AREA_NATION = "NATION_18"  # children_of on a nation with labelled suppliers in the volume at every scale
+AREA_TWO = "NATION_18, NATION_8"  # a probe must reach both
 MISSED = {"filter_implant_location": "small", "filter_probe_letter": "B"}
 
 
@@ -156,7 +156,7 @@ def q_location_breakdown_sessions(c: Ctx) -> DataFrame:
 
 @query("co_recorded_structures")
 def q_co_recorded(c: Ctx) -> DataFrame:
-    """Top-15 structures co-recorded with the children of NATION_1."""
+    """Top-15 structures co-recorded with the children of NATION_18."""
     return coverage.co_recorded_structures(c.flagged(AREA_NATION, "children_of"), k=15)
 
 
@@ -192,7 +192,7 @@ def _probe_out(df: DataFrame) -> DataFrame:
 
 @query("probe_locations_children_of")
 def q_probe_locations_children(c: Ctx) -> DataFrame:
-    """Electrode positions of probes reaching NATION_1's children, at unit positions."""
+    """Electrode positions of probes reaching NATION_18's children, at unit positions."""
     return _probe_out(_probe_locs(c, AREA_NATION, "children_of"))
 
 
@@ -213,7 +213,7 @@ def q_probe_locations_regex(c: Ctx) -> DataFrame:
 
 @query("missed_insertions")
 def q_missed(c: Ctx) -> DataFrame:
-    """Small-implant probe B tracks that never reached NATION_1's children."""
+    """Small-implant probe B tracks that never reached NATION_18's children."""
     return _probe_out(_missed(c))
 
 
@@ -226,7 +226,7 @@ def _missed(c: Ctx) -> DataFrame:
 
 @query("insertion_hit_rate")
 def q_hit_rate(c: Ctx) -> DataFrame:
-    """C11: per probe × hole hit rate for NATION_1's children."""
+    """C11: per probe × hole hit rate for NATION_18's children."""
     flagged = c.flagged(AREA_NATION, "children_of")
     probes = coverage.probe_keys(
         c.electrodes, c.electrode_groups, flagged.where("in_area"), c.tree, c.midline, AREA_NATION, "children_of", atlas=c.atlas
@@ -237,7 +237,7 @@ def q_hit_rate(c: Ctx) -> DataFrame:
 
 @query("overlay_regions")
 def q_overlay(c: Ctx) -> DataFrame:
-    """C20: areas drawn over the atlas for the NATION_1 search."""
+    """C20: areas drawn over the atlas for the NATION_18 search."""
     return coverage.overlay_regions(c.matched(AREA_NATION, "children_of"), AREA_NATION)
 
 
@@ -492,7 +492,7 @@ def q_location_legend(c: Ctx) -> DataFrame:
 
 @query("approx_location_stats")
 def q_approx_location_stats(c: Ctx) -> DataFrame:
-    """Approximate distinct sessions/locations of NATION_1's probe tracks:
+    """Approximate distinct sessions/locations of NATION_18's probe tracks:
     the exact counts, and whether the estimates lie within three of their
     standard errors (5 %)."""
     stats = coverage.approx_location_stats(_probe_locs(c, AREA_NATION, "children_of"))

@@ -221,7 +221,7 @@ SELECT subject_id, location, CAST(sum(location_count) AS BIGINT) AS units,
 FROM counts GROUP BY subject_id, location
 """)
 
-SQL["co_recorded_structures"] = with_children(["NATION_1"], """
+SQL["co_recorded_structures"] = with_children(["NATION_18"], """
 , other AS (
   SELECT * FROM good
   WHERE session_id IN (SELECT session_id FROM matched) AND unit_id IS NOT NULL AND structure IS NOT NULL
@@ -300,7 +300,7 @@ POS_KEYS = ["session_id", "electrode_group_name", "ccf_ap", "ccf_dv", "ccf_ml"]
 PROBE_KEYS = ["session_id", "electrode_group_name"]
 
 SQL["probe_locations_children_of"] = with_children(
-    ["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + "\nSELECT * FROM pl", NATION_MATCH
+    ["NATION_18"], probe_sql(CHILD_HITS, 1, POS_KEYS) + "\nSELECT * FROM pl", NATION_MATCH
 )
 
 SQL["probe_locations_contains_whole_probe"] = with_roles(
@@ -315,7 +315,7 @@ SQL["probe_locations_contains_whole_probe"] = with_roles(
     + "\nSELECT * FROM pl"
 )
 
-SQL["missed_insertions"] = with_children(["NATION_1"], """
+SQL["missed_insertions"] = with_children(["NATION_18"], """
 , everything AS (SELECT * FROM good WHERE is_right_hemisphere = false AND location IS NOT NULL)"""
     + probe_sql("SELECT 0 AS term_idx, value FROM dv", 0, PROBE_KEYS,
                 "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False,
@@ -328,7 +328,7 @@ hit_pl AS (SELECT * FROM pl WHERE (session_id, electrode_group_name) IN (
 SELECT * FROM pl WHERE (session_id, electrode_group_name) NOT IN (SELECT session_id, electrode_group_name FROM hit_pl)
 """, NATION_MATCH)
 
-SQL["insertion_hit_rate"] = with_children(["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """,
+SQL["insertion_hit_rate"] = with_children(["NATION_18"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """,
 ins AS (
   SELECT *, CAST(session_id AS VARCHAR) || '_' || electrode_group_name || '_' || implant_location AS insertion_id
   FROM matched WHERE (session_id, electrode_group_name) IN (SELECT session_id, electrode_group_name FROM pl)),
@@ -349,7 +349,7 @@ r AS (
 SELECT *, CAST(sum(hits) OVER (PARTITION BY implant) AS BIGINT) AS total_hits_this_implant FROM r WHERE rate IS NOT NULL
 """, NATION_MATCH)
 
-SQL["overlay_regions"] = with_children(["NATION_1"], """
+SQL["overlay_regions"] = with_children(["NATION_18"], """
 SELECT DISTINCT CASE WHEN (SELECT count(DISTINCT location) + max(CASE WHEN location IS NULL THEN 1 ELSE 0 END)
                            FROM matched) > 1 THEN structure ELSE location END AS area
 FROM matched
@@ -662,7 +662,7 @@ SQL["sorting_status_compact"] = SQL["sorting_status"].replace(
     "SELECT session, array_to_string(jr, ',') AS jobs_running,",
 ).split("       concat_ws(chr(10),")[0].rstrip().rstrip(",") + "\nFROM t3\n"
 
-SQL["scatter_missed_insertions"] = with_children(["NATION_1"], """
+SQL["scatter_missed_insertions"] = with_children(["NATION_18"], """
 , everything AS (SELECT * FROM good WHERE is_right_hemisphere = false AND location IS NOT NULL)"""
     + probe_sql("SELECT 0 AS term_idx, value FROM dv", 0, PROBE_KEYS,
                 "regexp_matches(g.location, 'small') AND e.electrode_group_name = 'probeB'", term_filter=False,
@@ -702,7 +702,7 @@ SQL["location_breakdown_sessions"] = SQL["location_breakdown"].replace("SELECT s
 )
 
 SQL["probe_locations_children_of_two"] = with_children(
-    ["NATION_1", "NATION_2"], probe_sql(CHILD_HITS, 2, POS_KEYS) + "\nSELECT * FROM pl", NATION_MATCH
+    ["NATION_18", "NATION_8"], probe_sql(CHILD_HITS, 2, POS_KEYS) + "\nSELECT * FROM pl", NATION_MATCH
 )
 
 SQL["pick_structure"] = with_roles(f"""
@@ -710,7 +710,7 @@ SELECT structure FROM (SELECT DISTINCT structure FROM good WHERE unit_id IS NOT
 ORDER BY md5(structure || '|7'), structure LIMIT 1
 """)
 
-SQL["approx_location_stats"] = with_children(["NATION_1"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """
+SQL["approx_location_stats"] = with_children(["NATION_18"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """
 SELECT count(DISTINCT session_id) AS exact_sessions, count(DISTINCT location) AS exact_locations,
        true AS sessions_in_range, true AS locations_in_range
 FROM pl
