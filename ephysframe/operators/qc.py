@@ -26,7 +26,8 @@ def qc_manifest(files: DataFrame, sessions: DataFrame, root: str = "") -> DataFr
     skipped; ``kind`` is ``figure`` (.png), ``json`` (.json without
     ``plotly`` in the name) or null; ``title`` is the stem with ``_`` as
     spaces; ``depth`` is the folder depth below ``root``; ``is_first``
-    marks the first path of each session.
+    marks the first path of each session. A path that is listed twice stays
+    twice.
     """
     parts = F.split(F.col("path"), "/")
     f = (
@@ -41,17 +42,16 @@ def qc_manifest(files: DataFrame, sessions: DataFrame, root: str = "") -> DataFr
     f = f.withColumn("depth", (F.size("_parts") - 1 - F.lit(root_depth)).cast("int"))
     sess = sessions.select("session_id", F.expr("substring(session_id, 1, length(session_id) - 2)").alias("prefix")).where(
         F.length("prefix") > 0
-    )
+    ).distinct()
     # of each file name the beginnings that are as long as some session's
     lengths = sess.select(F.collect_set(F.length("prefix"))).scalar()
-    sized = f.select("path", "name", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("name"))
-    prefixes = sized.select("path", F.substr("name", F.lit(1), F.col("_n")).alias("prefix"))
-    matched = prefixes.join(sess, "prefix").select("session_id", "path").distinct()
+    sized = f.withColumn("_n", F.explode(lengths)).where(F.col("_n") <= F.length("name"))
+    matched = sized.withColumn("prefix", F.substr("name", F.lit(1), F.col("_n"))).join(sess, "prefix")
     kind = (
         F.when(F.col("suffix") == FIGURE_SUFFIX, F.lit("figure"))
         .when((F.col("suffix") == JSON_SUFFIX) & ~F.col("name").contains(SKIPPED_JSON_WORD), F.lit("json"))
     )
-    out = matched.join(f, "path").select(
+    out = matched.select(
         "session_id", "path", "name", "suffix", kind.alias("kind"),
         F.trim(F.replace(F.col("stem"), F.lit("_"), F.lit(" "))).alias("title"), "depth",
     )

@@ -12,10 +12,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephysframe.functions import all_of
+from ephysframe.sources import exists_flag, list_entries, list_folders, parent_folder, read_csv_variants
 
 # Parameter names that carry the input asset of a trigger job.
 TRIGGER_PARAMETER_NAME = "input data asset ID"
@@ -159,6 +160,31 @@ def manifest_datetime(manifest: DataFrame, folder_col: str = "folder", row_col:
     return manifest.groupBy(folder_col).agg(value.alias("acq_datetime"))
 
 
+def read_manifests(spark: SparkSession, root: str, name: str = "upload.csv") -> list[DataFrame]:
+    """C24's manifests ``<root>/<folder>/<name>``: one DataFrame for each header found, with ``folder`` and ``row``.
+
+    A header without a date-time column is rejected here, with the header.
+    """
+    found = [m.withColumn("folder", parent_folder("file")).drop("file") for m in read_csv_variants(spark, f"{root.rstrip('/')}/*/{name}")]
+    for m in found:
+        manifest_datetime(m)
+    return found
+
+
+def upload_board(spark: SparkSession, recordings: str, uploads: str, uploaded: DataFrame, prefix: str = "DRpilot", exclude: str | None = "366122",
+                 **shown) -> DataFrame:
+    """C24 from the folders themselves: recordings are listed, empty ones too, and the manifests under ``uploads`` are read.
+
+    A recording has ephys data if it holds a folder of its own name.
+    """
+    folders = list_folders(spark, recordings, f"{prefix}*", exclude).select("folder")
+    inner = list_entries(spark, recordings, f"{prefix}*/{prefix}*").select(
+        F.col("name").alias("folder"), F.element_at(F.split("path", "/"), -2).alias("outer"))
+    own = inner.where(F.col("folder") == F.col("outer")).select("folder")
+    folders = exists_flag(folders, own, "folder", "has_ephys")
+    return upload_status(folders, read_manifests(spark, uploads), uploaded, **shown)
+
+
 def recording_folders(folders: DataFrame, prefix: str = "DRpilot", exclude: str | None = "366122") -> DataFrame:
     """C24's folders: names with the prefix and without the excluded text."""
     out = folders.where(F.col("folder").startswith(prefix))

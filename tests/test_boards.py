@@ -145,3 +145,60 @@ def test_qc_manifest(spark):
     assert out["/qc/636766_2023-01-23_plotly.json"].kind is None
     assert out["/qc/636766_2023-01-23_drift_map.png"].depth == 0
     assert sum(r.is_first for r in out.values()) == 1
+
+
+def test_upload_board_from_folders(spark, tmp_path):
+    """Folders are listed (an empty one too), manifests of three headers are read, and one without a date-time is rejected."""
+    recordings, uploads = tmp_path / "ephys", tmp_path / "uploads"
+    for rel in ("DRpilot_100001_20240101/DRpilot_100001_20240101", "DRpilot_100002_20240102/x", "DRpilot_100003_20240103", "DRpilot_100004_20240104",
+                "DRpilot_366122_20240105", "Other_1"):
+        (recordings / rel).mkdir(parents=True)
+    (recordings / "DRpilot_note.txt").write_text("x")
+    for folder, data in {
+        "DRpilot_100001_20240101": "platform,acq-datetime\necephys,\necephys,2024-01-01 10:00:00\n",
+        "DRpilot_100002_20240102": "acq-datetime\r\n2024-01-02 11:00:00\r\n",
+        "DRpilot_100003_20240103": "acq-date,acq-time\n2024-01-03,12:00:00\n",
+    }.items():
+        (uploads / folder).mkdir(parents=True)
+        (uploads / folder / "upload.csv").write_bytes(data.encode())
+    done = spark.createDataFrame([("ecephys_100002_2024-01-02_11-00-00",)], "session_id string")
+    rows = status.upload_board(spark, str(recordings), str(uploads), done).collect()
+    assert [(r.folder, r.ephys, r.started, r.upload_session_id, r.finished) for r in rows] == [
+        ("DRpilot_100004_20240104", False, False, None, None),
+        ("DRpilot_100003_20240103", False, True, "ecephys_100003_2024-01-03_12-00-00", False),
+        ("DRpilot_100002_20240102", False, True, "ecephys_100002_2024-01-02_11-00-00", True),
+        ("DRpilot_100001_20240101", True, True, "ecephys_100001_2024-01-01_10-00-00", False),
+    ]
+    (uploads / "DRpilot_100004_20240104").mkdir()
+    (uploads / "DRpilot_100004_20240104" / "upload.csv").write_text("subject,platform\n1,2\n")
+    with pytest.raises(ValueError, match="no datetime column"):
+        status.upload_board(spark, str(recordings), str(uploads), done)
+
+
+def test_inventory_table_in_place(spark):
+    name = "probes_in_place"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    inventory.create_table(spark, name)
+    inventory.create_table(spark, name)
+    assert inventory.column_defaults(spark, name)["is_destroyed"] == "false"
+    batch = spark.createDataFrame([("P1", T0, "NP1", ""), ("P1", T1, "NP2", "bent"), ("P2", T0, "NP3", None)], "serial_number string, changed_at timestamp, rig string, issue string")
+    inventory.apply_to_table(spark, name, batch, ["changed_at"])
+    read = lambda: {r.serial_number: r for r in spark.table(name).collect()}
+    assert [(k, r.rig, r.issue, r.is_destroyed, r.date_installed) for k, r in sorted(read().items())] == [
+        ("P1", "NP2", "bent", False, None), ("P2", "NP3", None, False, None)]
+    # an edit that lacks columns keeps them; the table is replaced where it is read
+    edit = spark.createDataFrame([("P2", T1, True), ("P3", T1, None)], "serial_number string, changed_at timestamp, is_destroyed boolean")
+    inventory.apply_to_table(spark, name, edit, ["changed_at"])
+    assert [(k, r.rig, r.is_destroyed) for k, r in sorted(read().items())] == [("P1", "NP2", False), ("P2", "NP3", True), ("P3", None, None)]
+    before = read()
+    # failing batches leave the old rows: a repeated key, a null key, an unknown column, a row that cannot be computed
+    rows = spark.table(name)
+    failing = F.when(F.col("serial_number") == "P2", F.raise_error(F.lit("bad row"))).otherwise(F.col("rig"))
+    for bad in (rows.union(rows.limit(1)), rows.withColumn("serial_number", F.lit(None).cast("string")), rows.withColumn("colour", F.lit(1)), rows.withColumn("rig", failing)):
+        with pytest.raises(Exception):
+            inventory.replace_table(spark, name, bad)
+        spark.catalog.refreshTable(name)
+        assert read() == before
+    inventory.replace_table(spark, name, rows.where("serial_number <> 'P1'").select("serial_number", "rig"))
+    assert [(k, r.rig, r.is_destroyed) for k, r in sorted(read().items())] == [("P2", "NP3", False), ("P3", None, False)]
+    spark.sql(f"DROP TABLE {name}")
