@@ -339,6 +339,24 @@ def location_legend(counts: DataFrame) -> DataFrame:
     return counts.select("location").distinct().orderBy(F.asc_nulls_first("location"))
 
 
+#: log2 of the registers of a session sketch: a standard error of about 1.04 / sqrt(2 ** so many).
+SKETCH_BITS = 12
+
+
+def session_sketches(locations: DataFrame, by: tuple[str, ...] = ("location", "implant_location", "electrode_group_name")) -> DataFrame:
+    """One row a group with a mergeable HyperLogLog sketch of its sessions.
+
+    ``locations`` are probe-track or unit rows; they are read once. A sketch
+    has a fixed size, so the table grows with the groups, not with the rows.
+    """
+    return locations.groupBy(*by).agg(F.hll_sketch_agg(F.col("session_id").cast("string"), SKETCH_BITS).alias("sessions"))
+
+
+def approx_sessions(sketches: DataFrame, *by: str) -> DataFrame:
+    """Approximate distinct sessions of sketches (filtered at will), in all or by columns, without rereading their rows."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sessions")).alias("approx_sessions"))
+
+
 def approx_location_stats(locations: DataFrame) -> DataFrame:
     """Approximate distinct sessions and locations of a probe-track
     result (HyperLogLog++, mergeable partial states) beside the exact ones."""

@@ -490,6 +490,24 @@ def q_location_legend(c: Ctx) -> DataFrame:
     return coverage.location_legend(coverage.unit_counts(c.matched(AREA_PREFIX)))
 
 
+@query("session_sketches")
+def q_session_sketches(c: Ctx) -> DataFrame:
+    """Sketches of the good units' sessions by location, implant and probe, merged by probe and for two filters:
+    the exact counts, and whether the estimates lie within 6 % (about four standard errors) and 1 of them."""
+    rows = c.good.select("session_id", "location", "implant_location", "electrode_group_name")
+    sketches = coverage.session_sketches(rows)
+    keyed = lambda df, name: df.withColumn("part", name)
+    parts = [(F.col("electrode_group_name"), None), (F.lit("small implants"), F.col("implant_location").contains("small")),
+             (F.lit("prefix"), F.col("location").startswith(AREA_PREFIX))]
+    exact = approx = None
+    for name, keep in parts:
+        e, a = (keyed(x if keep is None else x.where(keep), name) for x in (rows, sketches))
+        exact, approx = (e, a) if exact is None else (exact.unionByName(e), approx.unionByName(a))
+    exact = exact.groupBy("part").agg(F.count_distinct("session_id").alias("exact_sessions"))
+    near = F.abs(F.col("approx_sessions") - F.col("exact_sessions")) <= 0.06 * F.col("exact_sessions") + 1
+    return exact.join(coverage.approx_sessions(approx, "part"), "part").select("part", "exact_sessions", near.alias("in_range"))
+
+
 @query("approx_location_stats")
 def q_approx_location_stats(c: Ctx) -> DataFrame:
     """Approximate distinct sessions/locations of NATION_18's probe tracks:

@@ -710,6 +710,14 @@ SELECT structure FROM (SELECT DISTINCT structure FROM good WHERE unit_id IS NOT
 ORDER BY md5(structure || '|7'), structure LIMIT 1
 """)
 
+SQL["session_sketches"] = with_roles("""
+, p AS (
+  SELECT electrode_group_name AS part, session_id FROM good
+  UNION ALL SELECT 'small implants', session_id FROM good WHERE contains(implant_location, 'small')
+  UNION ALL SELECT 'prefix', session_id FROM good WHERE starts_with(location, 'Supplier#0000000'))
+SELECT part, count(DISTINCT session_id) AS exact_sessions, true AS in_range FROM p GROUP BY part
+""")
+
 SQL["approx_location_stats"] = with_children(["NATION_18"], probe_sql(CHILD_HITS, 1, POS_KEYS) + """
 SELECT count(DISTINCT session_id) AS exact_sessions, count(DISTINCT location) AS exact_locations,
        true AS sessions_in_range, true AS locations_in_range

@@ -21,6 +21,16 @@ def read_component(spark: SparkSession, root: str, name: str, schema: T.StructTy
     return reader.parquet(os.path.join(root, f"{name}.parquet"))
 
 
+def write_bucketed(df: DataFrame, name: str, buckets: int, key: str = "session_id") -> None:
+    """A catalog table of ``df`` in buckets by ``key``, sorted by it within each.
+
+    Tables of equal bucket numbers join on the key, or on keys that start with
+    it, without a shuffle of either; choose the number so that a bucket fits a
+    task's memory. Each bucket is written by one task.
+    """
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet").saveAsTable(name)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header row (S3). Pass a schema in production: inference
     costs a full extra pass and can mistype text such as colour codes."""

@@ -2,7 +2,12 @@
 
 import datetime as dt
 
-from ephysframe.operators.behavior import dprime_over_time, session_mean_dprime
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from ephysframe.operators.behavior import dprime_over_time, ranked_in_group, session_mean_dprime
 
 COLS = "session_id string, subject_id long, date date, block_index long, vis_intra_dprime double, aud_intra_dprime double"
 
@@ -36,3 +41,30 @@ def test_sessions_without_a_subject_stay(spark):
     assert (by["a"].session_number, by["b"].session_number, by["b"].days_since_first_session) == (1, 2, 2)
     assert by["b"].mean_dprime == 2.0 and by["c"].session_number == 1
     assert [r.session_id for r in dprime_over_time(spark.createDataFrame(rows, COLS), "5").collect()] == ["c"]
+
+
+def test_rank_under_a_hot_group(spark):
+    """Half of all sessions have no subject: ranks are right, and no window holds more than its share of them."""
+    rng = random.Random(2)
+    rows = [(None if i % 2 else rng.randrange(50), f"{rng.randrange(10**9):09d}") for i in range(6000)]
+    rows += rows[:500] + [(3, None), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "subject_id long, session_id string").repartition(5)
+    got = [tuple(r) for r in ranked_in_group(df, "subject_id", "session_id", "n").collect()]
+    expect = []
+    for subject in {r[0] for r in rows}:
+        own = sorted({r[1] for r in rows if r[0] == subject}, key=lambda x: (x is None, x or ""))
+        expect += [(subject, x, k) for k, x in enumerate(own, 1)]
+    assert Counter(got) == Counter(expect)
+    plan = ranked_in_group(df, "subject_id", "session_id", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_g" in plan and "_b#" in plan.split("row_number()")[1].split("]")[0]
+    # the ranges of the hot group: about 3,000 sessions over 257 of them
+    ordered = sorted({r[1] for r in rows if r[1]})
+    picked = {}
+    for r in spark.createDataFrame([(x,) for x in ordered], "o string").select("o", F.pmod(F.xxhash64("o"), F.lit(256)).alias("k"), F.xxhash64(F.lit("cut"), "o").alias("h")).collect():
+        picked[r.k] = min(picked.get(r.k, (r.h, r.o)), (r.h, r.o))
+    cuts = sorted(o for _, o in picked.values())
+    hot = [sum(c <= s for c in cuts) for g, s, _ in got if g is None and s]
+    assert max(Counter(hot).values()) < len(hot) / 20
+    few = spark.createDataFrame([(1, 5), (1, 3), (None, 9)], "g int, o int")
+    assert Counter(map(tuple, ranked_in_group(few, "g", "o", "n").collect())) == Counter([(1, 3, 1), (1, 5, 2), (None, 9, 1)])
+    assert ranked_in_group(few.where("g > 5"), "g", "o", "n").collect() == []
