@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from .poisson_mix import PART, TERMS
 from .secret_scan import RULES, Rule
-from .url_ratio import ALPHABET, ORDER
+from .url_ratio import ALPHABET, COUNTS, ORDER
 from .url_ratio import RULES as URL_RULES
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -24,38 +24,45 @@ def urls() -> str:
     for r in sorted(URL_RULES, key=lambda r: (len(r.text), r.text)):
         fits = f"((host = {quoted(r.host)} OR ends_with(host, {quoted('.' + r.host)})) AND starts_with(path, {quoted(r.path)}))"
         rule, action = f"CASE WHEN {fits} THEN {quoted(r.text)} ELSE {rule} END", f"CASE WHEN {fits} THEN {quoted(r.action)} ELSE {action} END"
-    levels, columns, joins = [], [], []
+    levels, columns = [], []
+    names = [c for pair in COUNTS.values() for c in pair]
     for k in range(ORDER + 1):
         levels.append(f"""
-g{k} AS (SELECT substr(gram, {ORDER + 1 - k}) AS g, sum(acc) AS ca, sum(rej) AS cr FROM counts GROUP BY 1),
-c{k} AS (SELECT g[:{k}] AS c, sum(ca) AS na, sum(cr) AS nr, count(*) FILTER (WHERE ca > 0) AS ta, count(*) FILTER (WHERE cr > 0) AS tr
-       FROM g{k} GROUP BY 1)""")
-        before = f"p{k - 1}" if k else ""
-        start = f"CAST(1 AS DOUBLE) / {ALPHABET}"
-        pa, pr = (f"{before}.pa", f"{before}.pr") if k else (start, start)
+g{k} AS (SELECT substr(gram, {ORDER + 1 - k}) AS g, {', '.join(f'sum({c}) AS c_{c}' for c in names)} FROM counts GROUP BY 1),
+c{k} AS (SELECT g[:{k}] AS c, {', '.join(f'sum(c_{c}) AS n_{c}, count(*) FILTER (WHERE c_{c} > 0) AS t_{c}' for c in names)} FROM g{k} GROUP BY 1)""")
+        before = {c: f"p{k - 1}.p_{c}" if k else f"(CAST(1 AS DOUBLE) / {ALPHABET})" for c in names}
+        mixes = [f"CASE WHEN c.n_{c} > 0 THEN (g.c_{c} + c.t_{c} * {before[c]}) / (c.n_{c} + c.t_{c}) ELSE {before[c]} END AS p_{c}" for c in names]
         columns.append(f"""
-p{k} AS (SELECT x.gram, CASE WHEN c.na > 0 THEN (g.ca + c.ta * {pa}) / (c.na + c.ta) ELSE {pa} END AS pa,
-                CASE WHEN c.nr > 0 THEN (g.cr + c.tr * {pr}) / (c.nr + c.tr) ELSE {pr} END AS pr
+p{k} AS (SELECT x.gram, {', '.join(mixes)}
        FROM counts x JOIN g{k} g ON g.g = substr(x.gram, {ORDER + 1 - k}) JOIN c{k} c ON c.c = g.g[:{k}]
-       {f'JOIN {before} ON {before}.gram = x.gram' if k else ''})""")
+       {f'JOIN p{k - 1} ON p{k - 1}.gram = x.gram' if k else ''})""")
+
+    def weight(action: str, part: str) -> str:
+        return f"sum(CASE WHEN action = '{action}'{f' AND half = {part}' if part else ''} THEN n ELSE 0 END)"
+
+    sums = ", ".join(f"{weight(action, part)} AS {c}" for part, pair in COUNTS.items() for action, c in zip(("allow", "block"), pair))
     return f"""
 WITH a AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), {LETTERS}) AS host,
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), {LETTERS}) AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-parts AS (SELECT *, {rule} AS rule, {action} AS action FROM a),
-spelled AS (SELECT host, path, action, count(*) AS n, host || path AS s FROM parts GROUP BY ALL),
-per AS (SELECT host, path, action, n, substr(repeat(chr(2), {ORDER}) || s, CAST(i AS INTEGER), {ORDER + 1}) AS gram
+parts AS (
+  SELECT *, {rule} AS rule, {action} AS action,
+         coalesce(CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^(.*?://)[^/?#]*(.*)$', 1) || host
+                       || regexp_extract(url, '(?s)^(.*?://)[^/?#]*(.*)$', 2) ELSE url END, '') AS s FROM a),
+spelled AS (SELECT s, action, CAST('0x' || substr(md5(s), 1, 1) AS INTEGER) % 2 AS half, count(*) AS n FROM parts GROUP BY ALL),
+per AS (SELECT s, action, half, n, substr(repeat(chr(2), {ORDER}) || s, CAST(i AS INTEGER), {ORDER + 1}) AS gram
         FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM spelled)),
-counts AS (SELECT gram, sum(CASE WHEN action = 'allow' THEN n ELSE 0 END) AS acc, sum(CASE WHEN action = 'block' THEN n ELSE 0 END) AS rej
+counts AS (SELECT gram, {sums}
            FROM per GROUP BY 1),{','.join(levels)},{','.join(columns)},
-scores AS (SELECT host, path, avg(ln(pa) - ln(pr)) AS score FROM per JOIN p{ORDER} USING (gram) GROUP BY 1, 2),
-scored AS (SELECT s.*, coalesce(score, 0) AS score FROM spelled s LEFT JOIN scores USING (host, path)),
-stat AS (SELECT action, sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - (sum(n * score) / sum(n)) ** 2, 0)) AS sd
+scores AS (SELECT s, avg(ln(p_acc) - ln(p_rej)) AS score, avg(CASE WHEN half = 0 THEN ln(p_acc1) - ln(p_rej1) ELSE ln(p_acc0) - ln(p_rej0) END) AS unseen
+           FROM per JOIN p{ORDER} USING (gram) GROUP BY 1),
+scored AS (SELECT x.*, coalesce(score, 0) AS score, coalesce(unseen, 0) AS unseen FROM spelled x LEFT JOIN scores USING (s)),
+stat AS (SELECT action, sum(n * unseen) / sum(n) AS m, sqrt(greatest(sum(n * unseen * unseen) / sum(n) - (sum(n * unseen) / sum(n)) ** 2, 0)) AS sd
          FROM scored WHERE action IS NOT NULL GROUP BY 1),
 cut AS (SELECT (x.m * y.sd + y.m * x.sd) / (x.sd + y.sd) AS t FROM stat x, stat y WHERE x.action = 'allow' AND y.action = 'block')
 SELECT p.page_id, p.host, p.path, p.rule,
-       coalesce(p.action, CASE WHEN NOT EXISTS (FROM cut) OR s.score >= (SELECT t FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
-FROM parts p JOIN scored s USING (host, path)
+       coalesce(p.action, CASE WHEN NOT EXISTS (FROM cut) OR x.score >= (SELECT t FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
+FROM parts p JOIN scored x USING (s)
 """
 
 

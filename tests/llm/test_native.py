@@ -55,15 +55,23 @@ def test_url_model_against_python(spark):
     rows = [(i, u) for i, u in enumerate(URLS)]
     got = {r.page_id: r for r in url_ratio.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     k = url_ratio.ORDER
-    counts: dict = {"allow": [Counter() for _ in range(k + 1)], "block": [Counter() for _ in range(k + 1)]}
     known = {r.page_id: r.verdict for r in got.values() if r.rule}
-    for i, a in known.items():
-        s = url_ratio.PAD * k + got[i].host + got[i].path
-        for j in range(k, len(s)):
-            for o in range(k + 1):
-                counts[a][o][s[j - o:j + 1]] += 1
-
-    def prob(a, gram):
+    whole = {}
+    for i, u in enumerate(URLS):
+        m = re.match(r"(?s)(.*?://)([^/?#]*)(.*)", u or "")
+        whole[i] = m[1] + "".join(c.lower() if c.isascii() else c for c in m[2]) + m[3] if m else u or ""
+    half = {i: int(hashlib.md5(s.encode()).hexdigest()[0], 16) % 2 for i, s in whole.items()}
+
+    def model(part):
+        counts: dict = {"allow": [Counter() for _ in range(k + 1)], "block": [Counter() for _ in range(k + 1)]}
+        for i, a in known.items():
+            s = url_ratio.PAD * k + whole[i]
+            for j in range(k, len(s) if part is None or half[i] == part else 0):
+                for o in range(k + 1):
+                    counts[a][o][s[j - o:j + 1]] += 1
+        return counts
+
+    def prob(counts, a, gram):
         p = 1 / url_ratio.ALPHABET
         for o in range(k + 1):
             g = gram[k - o:]
@@ -73,15 +81,17 @@ def test_url_model_against_python(spark):
                 p = (counts[a][o][g] + t * p) / (n + t)
         return p
 
-    score = {}
-    for i, r in got.items():
-        s = url_ratio.PAD * k + r.host + r.path
-        terms = [math.log(prob("allow", s[j - k:j + 1])) - math.log(prob("block", s[j - k:j + 1])) for j in range(k, len(s))]
-        score[i] = sum(terms) / len(terms) if terms else 0.0
-        assert r.score == pytest.approx(score[i], abs=1e-9)
+    def scored(counts, i):
+        s = url_ratio.PAD * k + whole[i]
+        terms = [math.log(prob(counts, "allow", s[j - k:j + 1])) - math.log(prob(counts, "block", s[j - k:j + 1])) for j in range(k, len(s))]
+        return sum(terms) / len(terms) if terms else 0.0
+
+    full, halves = model(None), (model(0), model(1))
+    score = {i: scored(full, i) for i in got}
+    assert all(r.score == pytest.approx(score[i], abs=1e-9) for i, r in got.items())
     stat = {}
     for a in ("allow", "block"):
-        x = [score[i] for i, v in known.items() if v == a]
+        x = [scored(halves[1 - half[i]], i) for i, v in known.items() if v == a]
         m = sum(x) / len(x)
         stat[a] = m, math.sqrt(max(sum(v * v for v in x) / len(x) - m * m, 0))
     (ma, sa), (mb, sb) = stat["allow"], stat["block"]
@@ -91,6 +101,17 @@ def test_url_model_against_python(spark):
             assert r.verdict == ("allow" if score[i] >= cut else "block")
 
 
+def test_urls_that_differ_only_after_the_path(spark):
+    """Query, fragment and URLs without :// are judged by their own characters."""
+    good = [f"http://example.net/en/?q=reading{i}#chapter" for i in range(30)]
+    bad = [f"http://spam.net/?q=casino{i}#win" for i in range(30)]
+    asked = ["http://foo.com/a?q=reading77#chapter", "http://foo.com/a?q=casino77#win", "reading#chapter", "casino#win"]
+    rows = [(i, u) for i, u in enumerate([*good, *bad, *asked])]
+    got = {r.page_id: r for r in url_ratio.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[60 + i].verdict for i in range(4)] == ["allow", "block", "allow", "block"]
+    assert got[60].path == got[61].path == "/a" and got[62].host == got[63].host == ""
+
+
 def test_urls_without_known_class_and_empty(spark):
     schema = "page_id long, url string"
     assert [r.verdict for r in url_ratio.judge(spark.createDataFrame([(1, "http://a.example.com/x")], schema)).collect()] == ["allow"]
