@@ -167,14 +167,15 @@ def _verified(threshold: float):
 
 
 def join(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """``(id, n_links, component_id, kept)`` for each row of ``vectors``.
+    """``(id, n_links, component_id, kept, first)`` for each row of ``vectors``.
 
     Rows of equal, non-null label and equal dimension are linked at a cosine
     of ``threshold`` or more. A null, empty or zero vector, and one with null
     or non-finite components, links with nothing. Equal vectors are one node
-    that counts its copies; ids may repeat: rows are told apart inside. The
-    row of a component's smallest id (null last) is kept, one of them where
-    that id repeats.
+    that counts its copies; ids may repeat: rows are told apart inside.
+    ``component_id`` is a component's smallest id (null last), and ``kept``
+    says whether the row has that id (a null id has it where the component has
+    no other); where it repeats, ``first`` marks one of its rows.
     """
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -200,6 +201,6 @@ def join(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
                                                 F.col("top.id").alias("top_id"), F.col("top.rid").alias("top_rid"))
     full = own.join(named, ["label", "unit"], "left")
     alone = F.col("members").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("top_id"))
     return full.select("id", F.when(alone, F.lit(0).cast("long")).otherwise(F.col("links") + F.col("members") - 1).alias("n_links"),
-                       F.when(alone, F.col("id")).otherwise(F.col("top_id")).alias("component_id"),
-                       (alone | (F.col("rid") == F.col("top_rid"))).alias("kept"))
+                       component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), (alone | (F.col("rid") == F.col("top_rid"))).alias("first"))

@@ -62,7 +62,8 @@ def check_vectors(spark, rows):
     got = lattice_dedup.join(df).collect()
     expect, n = linked(rows)
     assert Counter((r.id, r.n_links, r.component_id) for r in got) == Counter(expect)
-    assert sum(r.kept for r in got) == n
+    assert sum(r.first for r in got) == n
+    assert all(r.kept == (r.id == r.component_id) for r in got)
 
 
 def test_lattice_on_odd_rows(spark):
@@ -81,6 +82,28 @@ def test_lattice_query_recall(spark):
     assert got == {i: (n, c, c == i) for i, n, c in expect}
 
 
+def planted(dim, pairs, seed):
+    """Lone pairs just above the threshold, each in a direction of its own."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(pairs):
+        a, b = rng.normal(size=(2, dim))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cos = rng.uniform(0.9801, 0.981)
+        rows += [(2 * k, a.tolist(), 1), (2 * k + 1, (cos * a + np.sqrt(1 - cos**2) * b).tolist(), 1)]
+    return rows
+
+
+def test_lattice_recall_of_lone_pairs(spark):
+    for dim, pairs, least in ((64, 600, 0.99), (768, 300, 0.99)):
+        rows = planted(dim, pairs, dim)
+        got = lattice_dedup.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)).collect()
+        linked = sum(r.n_links == 1 and r.component_id == r.id - r.id % 2 for r in got)
+        assert linked >= least * 2 * pairs and all(r.n_links <= 1 for r in got), (dim, linked)
+
+
 def test_e8_decoding_is_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)) * 2
