@@ -47,6 +47,16 @@ def unit_draw(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def joined_back(rows: DataFrame, sums: DataFrame, keys: str | list[str], name: str) -> DataFrame:
+    """``rows`` joined with a grouped aggregate of theirs.
+
+    The aggregate, one row a key, is written first: read back, it is dealt out
+    anew like the rows, and in such a join Spark splits a hot key's rows among
+    tasks. Joined as it is, it would keep the rows of a key together.
+    """
+    return rows.join(materialise(sums, name), keys)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Smallest node reachable from each node: ``(node, component)``.
 
@@ -60,12 +70,12 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while True:
         # large star: neighbours above a node go to the node's smallest neighbour
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = (both.join(low, both["a"] == low["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = joined_back(both, low, "a", name).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialise(large.distinct(), name)
         # small star: a node and its lower neighbours go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        kept = large.join(low.select(F.col("a").alias("n"), "m"), F.col("a") == F.col("n"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        kept = large.join(low, "a")
         small = (kept.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
                  .where("a <> b").distinct())
         e = materialise(small, name)

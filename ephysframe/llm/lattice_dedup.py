@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mixed
-from .common import blocks, by_group, connected_components, groups, materialise, spanning
+from .common import blocks, by_group, connected_components, groups, joined_back, materialise, spanning
 
 THRESHOLD = 0.98
 TABLES, PROBES = 6, 8
@@ -190,14 +190,14 @@ def join(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     near = by_group(dealt, ["label", "key", "bi", "bj"]).mapInArrow(_cell_edges(threshold), "a long, b long").distinct()
     comps = connected_components(near, "lattice-candidates")
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    wanted = comps.join(sizes, "component").select(F.col("component").alias("comp"), "node", "n").join(nodes.select("node", "unit", "members"), "node")
+    wanted = joined_back(comps, sizes, "component", "lattice-sizes").select(F.col("component").alias("comp"), "node", "n").join(nodes.select("node", "unit", "members"), "node")
     dealt = blocks(wanted, "comp", F.col("n"), BLOCK, F.xxhash64("node")).select("comp", "bi", "bj", "own", "node", "members", "unit")
     checked = materialise(by_group(dealt, ["comp", "bi", "bj"]).mapInArrow(_verified(threshold), "a long, b long, links long"), "lattice-checked")
     links = checked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     final = connected_components(checked.where("b is not null").select("a", "b"), "lattice-links")
     named = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
     top = named.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("no"), F.col("first_id").alias("id"), F.col("node").alias("rid"))).alias("top"))
-    named = named.join(top, "component").select("label", "unit", "members", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+    named = joined_back(named, top, "component", "lattice-tops").select("label", "unit", "members", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
                                                 F.col("top.id").alias("top_id"), F.col("top.rid").alias("top_rid"))
     full = own.join(named, ["label", "unit"], "left")
     alone = F.col("members").isNull()

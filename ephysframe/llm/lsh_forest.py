@@ -1,13 +1,14 @@
-"""N-gram Jaccard join through banded MinHash.
-
-Texts are sets of word shingles; equal sets are one class. Each tree is a band:
-the first values of a path of MinHash values, as many for every class as still
-let some tree find a pair at the threshold with the target recall. No tries are
-built or prefixes shortened by the data. Classes of one band are compared by
-sketches, and what looks similar is joined to candidate components. Within a
-component every pair is verified exactly on its shingle sets. Large buckets
-and components are split into blocks, and pairs of blocks are verified in
-tasks of their own; links are counted there, never listed.
+"""N-gram Jaccard join through a MinHash LSH forest.
+
+Texts are sets of word shingles; equal sets are one class. A tree's label of a
+class is a path of MinHash values, and the sorted labels of a tree are a trie.
+Classes that share the longest prefix are compared first, by sketches; then the
+prefix is shortened, and classes that no longer prefix has joined are compared,
+down to the depth at which some tree finds a pair at the threshold with the
+target recall. What looks similar is joined to candidate components. Within a
+component every pair is verified exactly on its shingle sets. Large nodes of a
+trie and large components are split into blocks, and pairs of blocks are
+compared in tasks of their own; links are counted there, never listed.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, mixed, slices
-from .common import blocks, by_group, connected_components, groups, materialise, spanning, text_or_empty
+from .common import blocks, by_group, connected_components, groups, joined_back, materialise, spanning, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 6, 0.99999
 #: Sketches agree in at least the threshold less so much; about 5 standard deviations of 144 values.
 SLACK = 0.17
-BUCKET_BLOCK, VERIFY_BLOCK = 1024, 512
+#: Classes of a trie's node, classes of a component and their shingles that are compared in one task, about.
+BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_SHINGLES = 1024, 512, 1 << 21
 #: A character of a word, as in ``bytetext``.
 WORDED = r"[0-9A-Za-z]|[^\x00-\x7F]"
 _draws = np.random.default_rng(20240229).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,35 +76,78 @@ def _signatures(shingle: int, keep: int):
                 key = np.broadcast_to(tree, (n, TREES)).copy()
                 for d in range(keep):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + path[:, :, d])
+                # what follows the shared prefix: 64 bits in which longer prefixes are leading bits
+                rest = np.zeros((n, TREES), np.uint64)
+                width = np.uint64(64 // (DEPTH - keep)) if keep < DEPTH else np.uint64(0)
+                for d in range(keep, DEPTH):
+                    rest = (rest << width) | (mixed(path[:, :, d] + tree) >> (np.uint64(64) - width))
                 sketch = mixed(low).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(first, n), batch.column("th").slice(first, n), pa.array(size),
                     pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES, dtype=np.int32)), pa.array(key.view(np.int64).ravel())),
-                ], names=["id", "th", "size", "c1", "c2", "sketch", "keys"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES, dtype=np.int32)), pa.array(rest.view(np.int64).ravel())),
+                ], names=["id", "th", "size", "c1", "c2", "sketch", "keys", "rests"])
     return run
 
 
-def _bucket_edges(limit: int):
+def ascend(sketch: np.ndarray, rest: np.ndarray, shifts: list[int], limit: int) -> list[tuple[int, int]]:
+    """Edges (row, row) that connect the rows of a trie's node whose sketches agree in ``limit`` places, directly or over others.
+
+    Rows are sorted by ``rest``, so the rows of a longer prefix are neighbours.
+    From the longest prefix up, each row is compared with the rows of its
+    prefix that are not joined with it yet; rows joined further down are
+    joined for good, so a cluster of near copies costs one comparison a row.
+    """
+    part = np.arange(len(rest))
+    edges: list[tuple[int, int]] = []
+    done = np.zeros(len(rest), np.int64)  # the length of the run in which a row was last compared with all others
+    for shift in shifts:
+        prefix = rest >> np.uint64(shift) if shift < 64 else np.zeros(len(rest), np.uint64)
+        bounds = [0, *(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1).tolist(), len(rest)]
+        for first, end in zip(bounds, bounds[1:]):
+            if end - first < 2 or end - first == done[first]:
+                continue
+            done[first:end] = end - first
+            left = np.arange(first, end)
+            while len(left):
+                # one part after another: its rows, and those that join it, against what is left
+                todo = left[part[left] == part[left[0]]].tolist()
+                name = part[left[0]]
+                left = left[part[left] != name]
+                while todo and len(left):
+                    row = todo.pop()
+                    near = left[(sketch[left] == sketch[row]).sum(axis=1) >= limit]
+                    if not len(near):
+                        continue
+                    joined = np.unique(part[near])
+                    at = {int(part[x]): int(x) for x in near.tolist()}
+                    edges += [(row, at[int(k)]) for k in joined]
+                    new = np.isin(part[left], joined)
+                    todo += left[new].tolist()
+                    part[left[new]] = name
+                    left = left[~new]
+    return edges
+
+
+def _bucket_edges(limit: int, shifts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
         for g in groups(batches, ["key", "bi", "bj"]):
             node = g.column("node").to_numpy()
+            if len(node) < 2:
+                continue
             sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-            own, bi, bj = g.column("own").to_numpy(), g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
             if len(node) == 2:
-                if (sketch[0] == sketch[1]).sum() >= limit:
-                    a.append(int(node[0]))
-                    b.append(int(node[1]))
-            elif len(node) > 2:
-                same = np.zeros((len(node), len(node)), np.uint8)
-                for c in range(sketch.shape[1]):
-                    same += sketch[:, c][:, None] == sketch[:, c][None, :]
-                for x, y in spanning(same >= limit, own, bi, bj):
-                    a.append(int(node[x]))
-                    b.append(int(node[y]))
+                found = [(0, 1)] if (sketch[0] == sketch[1]).sum() >= limit else []
+            else:
+                rest = g.column("rest").to_numpy().view(np.uint64)
+                order = np.argsort(rest, kind="stable")
+                found = [(order[x], order[y]) for x, y in ascend(sketch[order], rest[order], shifts, limit)]
+            a += [int(node[x]) for x, _ in found]
+            b += [int(node[y]) for _, y in found]
             if len(a) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -179,25 +224,31 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     keep = prefix_depth(threshold, TREES, DEPTH, RECALL)
     rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).withColumn("th", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(_signatures(shingle, keep), f"id {kind}, th long, size long, c1 long, c2 long, sketch binary, keys array<long>")
+    made = rows.mapInArrow(_signatures(shingle, keep), f"id {kind}, th long, size long, c1 long, c2 long, sketch binary, keys array<long>, rests array<long>")
     sig = materialise(made.withColumn("rid", F.monotonically_increasing_id()), "jaccard-signatures")
     worded = sig.where("size > 0")
     first = F.struct(F.col("id").isNull().alias("no"), "id", "rid")
     classes = worded.groupBy("c1", "c2").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("members"))
     classes = materialise(classes.select("c1", "c2", F.col("head.rid").alias("node"), F.col("head.id").alias("class_id"), "members"), "jaccard-classes")
     heads = worded.join(classes.select(F.col("node").alias("rid"), "members"), "rid")
-    # buckets of the forest that hold more than one class
-    entries = materialise(heads.select(F.col("rid").alias("node"), F.explode("keys").alias("key")), "jaccard-entries")
+    # nodes of the tries, at the shortest prefix, that hold more than one class
+    zipped = F.explode(F.arrays_zip("keys", "rests")).alias("label")
+    entries = heads.select(F.col("rid").alias("node"), zipped).select("node", F.col("label.keys").alias("key"), F.col("label.rests").alias("rest"))
+    entries = materialise(entries, "jaccard-entries")
     many = entries.groupBy("key").count().where("count > 1").withColumnRenamed("count", "size")
-    found = entries.join(many, "key").join(heads.select(F.col("rid").alias("node"), "sketch"), "node")
-    dealt = blocks(found, "key", F.col("size"), BUCKET_BLOCK, F.xxhash64("node")).select("key", "bi", "bj", "own", "node", "sketch")
+    found = joined_back(entries, many, "key", "jaccard-nodes").join(heads.select(F.col("rid").alias("node"), "sketch"), "node")
+    dealt = blocks(found, "key", F.col("size"), BUCKET_BLOCK, F.xxhash64("node")).select("key", "bi", "bj", "own", "node", "rest", "sketch")
     agree = round((threshold - SLACK) * TREES * DEPTH)
-    near = by_group(dealt, ["key", "bi", "bj"]).mapInArrow(_bucket_edges(agree), "a long, b long").distinct()
+    # bits dropped from the end of a label's rest, from the longest prefix to the shortest
+    shifts = [64 // (DEPTH - keep) * d for d in range(DEPTH - keep)] + [64] if keep < DEPTH else [64]
+    near = by_group(dealt, ["key", "bi", "bj"], "rest").mapInArrow(_bucket_edges(agree, shifts), "a long, b long").distinct()
     comps = connected_components(near, "jaccard-candidates")
     # exact verification of all pairs within a candidate component
-    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    wanted = (comps.join(sizes, "component").join(heads.select(F.col("rid").alias("node"), "id", "th", "members"), "node")
-              .select(F.col("component").alias("comp"), "node", "n", "members", F.col("id").alias("__id"), F.col("th").alias("__th")))
+    comps = comps.join(heads.select(F.col("rid").alias("node"), "id", "th", "members", "size"), "node")
+    # a component's blocks are as many as its classes and as its shingles ask for
+    sizes = comps.groupBy("component").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") * VERIFY_BLOCK / VERIFY_SHINGLES)).alias("n"))
+    wanted = joined_back(comps, sizes, "component", "jaccard-sizes").select(
+        F.col("component").alias("comp"), "node", "n", "members", F.col("id").alias("__id"), F.col("th").alias("__th"))
     wanted = materialise(wanted, "jaccard-wanted")
     # both sides grow with the corpus: a shuffle at every size
     texts = rows.join(wanted.hint("merge"), rows["id"].eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
@@ -208,7 +259,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     final = connected_components(checked.where("b is not null").select("a", "b"), "jaccard-links")
     named = (classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left"))
     top = named.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("no"), F.col("class_id").alias("id"), F.col("node").alias("rid"))).alias("top"))
-    named = named.join(top, "component").select("c1", "c2", "class_id", "members", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+    named = joined_back(named, top, "component", "jaccard-tops").select("c1", "c2", "class_id", "members", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
                                                 F.col("top.id").alias("component_id"), F.col("top.rid").alias("top_rid"))
     full = sig.select("id", "th", "size", "c1", "c2", "rid").join(named, ["c1", "c2"], "left")
     alone = F.col("size") == 0

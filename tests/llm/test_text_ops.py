@@ -1,6 +1,7 @@
 """Suffix arrays, Jaccard join, winnowing: against brute force on odd rows and on the smallest tables."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -134,6 +135,37 @@ def test_prefix_is_shortened_until_recall():
     assert lsh_forest.prefix_depth(0.1, 2, 6, 0.99999) == 1
 
 
+def test_ascending_a_trie_joins_what_is_similar():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 60))
+        sketch = rng.integers(0, 3, (n, 12)).astype(np.uint8)
+        sketch[rng.integers(0, n, n // 2)] = sketch[0]
+        rest = np.sort(rng.integers(0, 3, n).astype(np.uint64) << np.uint64(32) | rng.integers(0, 3, n).astype(np.uint64))
+        found = lsh_forest.ascend(sketch, rest, [0, 32, 64], 8)
+        near = (sketch[:, None] == sketch[None]).sum(axis=2) >= 8
+        assert all(near[x, y] for x, y in found) and len(found) < n
+        got, want = list(range(n)), list(range(n))
+        for up, edges in ((got, found), (want, np.argwhere(near).tolist())):
+            for x, y in edges:
+                a, b = up[x], up[y]
+                up[:] = [min(a, b) if c in (a, b) else c for c in up]
+        assert got == want
+
+
+def test_jaccard_recall_of_lone_pairs(spark):
+    """Pairs of texts at a Jaccard similarity of exactly 0.8: 45 and 45 shingles, 40 of them shared."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = []
+    for k in range(900):
+        w = [word() for _ in range(49)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:44], *(word() for _ in range(5))]))]
+    got = lsh_forest.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    linked = sum(r.n_links == 1 and r.component_id == r.id - r.id % 2 for r in got)
+    assert linked >= 0.99 * len(rows) and all(r.n_links <= 1 for r in got), linked
+
+
 def test_deduplicate_keeps_every_wordless_row(spark):
     none = [(i, t, None, source, 0, "", "", 0, "", "") for i, t in ((None, None), (7, ""), (8, "!?\n")) for source in ("a", "a", "b")]
     worded = [(1, "one text of some words", None, s, 0, "", "", 0, "", "") for s in ("a", "b")] + [
