@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +34,16 @@ LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sBBxxIIIIIQ")
 MAGIC = b"rAN1"
 
-#: Texts may be cut before white space that follows something else, and after a run of letters and digits.
-#: Cutting marks off words leaves fewer different pieces. The other pattern has what some tokenizers take for white space too.
-_CHUNK = re.compile(r"[ \n\t\r]*[^\W_]+|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Kinds of UTF-8 bytes: ASCII letters and digits, white space, other ASCII, and parts of longer characters.
+#: Texts may be cut before white space that follows something else, and between a letter or digit and a mark.
+#: Cutting marks off words leaves fewer different pieces. The pattern has what some tokenizers take for white space too.
+WORD, SPACE, MARK, WIDE = range(4)
+_KIND = np.array([WIDE if b > 127 else WORD if chr(b).isalnum() else SPACE if chr(b) in " \n\t\r" else MARK for b in range(256)], np.uint8)
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: Encoded pieces that a Python worker remembers, in two generations of so many.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Pieces looked up at once, and bytes of texts encoded at once (one text at least).
+AT_ONCE, CHARS = 1 << 20, 1 << 22
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -69,9 +74,7 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.new) + len(pieces) > REMEMBERED:
-            self.old, self.new = self.new, {}
+    def learn(self, pieces: list[str]) -> None:
         joined, alone = [], []
         for p in pieces:
             if (found := self.old.get(p)) is not None:
@@ -89,6 +92,41 @@ class Encoder:
             for p, a, b in zip(part, np.append(0, at[:-1]).tolist(), at.tolist()):
                 self.new[p] = data[a * width:b * width]
 
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, remembered or learnt."""
+        missing = [p for p in pieces if p not in self.new]
+        if len(self.new) + len(missing) > REMEMBERED and missing:
+            self.old, self.new, missing = self.new, {}, pieces
+        self.learn(missing)
+        return [self.new[p] for p in pieces]
+
+    def by_pieces(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text: cut into pieces, each different one of a run looked up once, gathered by its number."""
+        body = b"".join(texts)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        kind = _KIND[np.frombuffer(body, np.uint8)]
+        first = np.zeros(len(body) + 1, bool)
+        first[1:-1] = ((kind[1:] == SPACE) & (kind[:-1] != SPACE)) | ((kind[1:] == MARK) & (kind[:-1] == WORD))
+        first[0] = first[ends] = True
+        edges = np.flatnonzero(first)
+        n, width, buffer = len(edges) - 1, self.dtype.itemsize, pa.py_buffer(body)
+        tokens, counts = [], []
+        for lo in range(0, n, AT_ONCE):
+            own = edges[lo:lo + AT_ONCE + 1]
+            pieces = pa.LargeStringArray.from_buffers(len(own) - 1, pa.py_buffer(own.astype(np.int64)), buffer).dictionary_encode()
+            ids = self.known(pieces.dictionary.to_pylist())
+            which = pieces.indices.to_numpy()
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+            begin = np.cumsum(size) - size
+            count = size[which]
+            shift = begin[which] - (np.cumsum(count) - count)
+            tokens.append(np.frombuffer(b"".join(ids), self.dtype)[np.repeat(shift, count) + np.arange(count.sum())])
+            counts.append(count)
+        data = b"".join(t.tobytes() for t in tokens)
+        before = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) * width if counts else np.zeros(1, np.int64)
+        stops = before[np.searchsorted(edges, ends)].tolist()
+        return (data[a:b] for a, b in zip([0, *stops], stops))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
         if not self.by_piece:
@@ -97,20 +135,21 @@ class Encoder:
         odd = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                pieces = _CHUNK.findall(text)
-                known = self.new
-                try:
-                    out[i] = b"".join([known[p] for p in pieces])
-                except KeyError:
-                    self.learn({p for p in pieces if p not in known})
-                    if self.new is not known:
-                        self.learn({p for p in pieces if p not in self.new})
-                    out[i] = b"".join([self.new[p] for p in pieces])
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.by_pieces([texts[i].encode() for i in rest])):
+            out[i] = ids
         return out
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts together have about ``CHARS`` bytes, or of one row."""
+    size = np.array(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), np.int64)
+    run = np.cumsum(size) // CHARS
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _tokenise(path: str, width: int, end_id: int, block: int):
     """Blocks ``(part, blk, ids, lengths, tokens)`` of the rows of a partition, in their order."""
 
@@ -127,8 +166,9 @@ def _tokenise(path: str, width: int, end_id: int, block: int):
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            for first in range(0, batch.num_rows, 64):
-                few = batch.slice(first, 64)
+            for few in _few(batch):
+                if not few.num_rows:
+                    continue
                 part = few.column("part")[0].as_py()
                 for i, ids in zip(few.column("id").to_pylist(), encoder.encode(few.column("text").to_pylist())):
                     held[0].append(i)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -54,6 +55,20 @@ def test_memory_of_pieces_turns_over(monkeypatch):
     assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_runs_of_pieces_and_texts(monkeypatch, at_once):
+    monkeypatch.setattr(token_blocks, "AT_ONCE", at_once)
+    monkeypatch.setattr(token_blocks, "CHARS", 50)
+    encoder = token_blocks.Encoder(BPE, 4)
+    texts = ["", "it's a_b __!? x2y\n\n \t end ", "", "a" * 70, "é–a. ßß!", " ", "a  b   c", "", "\n", "it's", ""]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    assert encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    few = list(token_blocks._few(batch))
+    assert len(few) > 1 and [t for b in few for t in b.column("text").to_pylist()] == texts
+
+
 def test_folder_of_odd_rows(spark):
     rows = documents()
     path = scratch(spark, "test-tokens")
