@@ -351,8 +351,9 @@ def q_region_mask_right(c: Ctx) -> DataFrame:
 
 @query("projection_sagittal")
 def q_projection_sagittal(c: Ctx) -> DataFrame:
-    """Sagittal projection of the left half of the volume."""
-    img = V.project(_mask(c, None), "sagittal", depth_size=roles.SHAPE["ml"] // 2)
+    """Sagittal projection of the left half of the volume, from running counts."""
+    half = roles.SHAPE["ml"] // 2
+    img = V.project_counts(V.running_counts(_mask(c, None), "sagittal", depth_size=half), depth_size=half)
     return _round_image(img)
 
 
@@ -383,10 +384,10 @@ def q_projection_area(c: Ctx) -> DataFrame:
 @query("projection_slab")
 def q_projection_slab(c: Ctx) -> DataFrame:
     """Coronal projection of the whole left volume through a 10-plane
-    slab, grey, 0/1 alpha, 0..255 colour."""
-
-    img = V.project(_mask(c, None), "coronal", depth_size=roles.SHAPE["ap"], thickness=10,
-                    with_opacity=False, normalize_rgb=False)
+    slab, grey, 0/1 alpha, 0..255 colour, from running counts."""
+    n = roles.SHAPE["ap"]
+    img = V.project_counts(V.running_counts(_mask(c, None), "coronal", depth_size=n), depth_size=n, thickness=10,
+                           with_opacity=False, normalize_rgb=False)
     return _round_image(img)
 
 

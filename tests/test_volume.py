@@ -65,6 +65,29 @@ def test_projection_matches_numpy(spark):
         assert {(r.r, r.g, r.b) for r in img.collect()} == {(0.1, 0.2, 0.3)}
 
 
+def test_slabs_of_running_counts(spark):
+    rng = np.random.default_rng(5)
+    t = _table(spark, _volume(rng))
+    # voxels outside the volume, one counted twice, one without a depth
+    odd = spark.createDataFrame([(0, 9, 0, 1), (0, -1, 0, 1), (1, 2, 3, 1), (1, 2, 3, 1), (2, None, 2, 1)], t.schema)
+    t = t.unionByName(odd)
+    for projection, n in (("horizontal", 6), ("coronal", 9), ("sagittal", 7)):
+        running = V.running_counts(t, projection, depth_size=n)
+        first = running.first().upto
+        assert len(first) == n + 1 and first[0] == 0 and first == sorted(first)
+        slabs = [(None, None), (0, 0), (n - 1, 1), (n + 9, 2)] + [(int(rng.integers(-2, n + 2)), int(rng.integers(0, n + 3))) for _ in range(4)]
+        for cen, thick in slabs:
+            opts = dict(depth_size=n, center=cen, thickness=thick, normalize_rgb=False)
+            got, want = V.project_counts(running, **opts), V.project(t, projection, **opts)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (projection, cen, thick)
+
+
+def test_running_counts_of_nothing(spark):
+    t = spark.createDataFrame([], "ml int, dv int, ap int, structure_id long")
+    running = V.running_counts(t, "coronal", depth_size=4)
+    assert running.count() == 0 and V.project_counts(running, depth_size=4).count() == 0
+
+
 def test_scatter_matches_histogram(spark):
     rng = np.random.default_rng(3)
     pts = rng.uniform(-20, 260, size=(400, 2))
