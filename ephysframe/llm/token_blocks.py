@@ -114,7 +114,7 @@ class Encoder:
         for lo in range(0, n, AT_ONCE):
             own = edges[lo:lo + AT_ONCE + 1]
             pieces = pa.LargeStringArray.from_buffers(len(own) - 1, pa.py_buffer(own.astype(np.int64)), buffer).dictionary_encode()
-            ids = self.known(pieces.dictionary.to_pylist())
+            ids = self.known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
             which = pieces.indices.to_numpy()
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
             begin = np.cumsum(size) - size
