@@ -40,6 +40,8 @@ MAGIC = b"rAN1"
 WORD, SPACE, MARK, WIDE = range(4)
 _KIND = np.array([WIDE if b > 127 else WORD if chr(b).isalnum() else SPACE if chr(b) in " \n\t\r" else MARK for b in range(256)], np.uint8)
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
+#: First UTF-8 bytes of that white space: only texts that hold one are searched for it.
+_SUSPECT = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
 #: Encoded pieces that a Python worker remembers, in two generations of so many.
 REMEMBERED = 800_000
 #: Pieces looked up at once, and bytes of texts encoded at once (one text at least).
@@ -94,11 +96,14 @@ class Encoder:
 
     def known(self, pieces: list[str]) -> list[bytes]:
         """The ids of different pieces, remembered or learnt."""
-        missing = [p for p in pieces if p not in self.new]
+        ids = list(map(self.new.get, pieces))
+        missing = [i for i, found in enumerate(ids) if found is None]
         if len(self.new) + len(missing) > REMEMBERED and missing:
-            self.old, self.new, missing = self.new, {}, pieces
-        self.learn(missing)
-        return [self.new[p] for p in pieces]
+            self.old, self.new = self.new, {}
+        self.learn([pieces[i] for i in missing])
+        for i in missing:
+            ids[i] = self.new[pieces[i]]
+        return ids
 
     def by_pieces(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text: cut into pieces, each different one of a run looked up once, gathered by its number."""
@@ -119,8 +124,11 @@ class Encoder:
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
             begin = np.cumsum(size) - size
             count = size[which]
-            shift = begin[which] - (np.cumsum(count) - count)
-            tokens.append(np.frombuffer(b"".join(ids), self.dtype)[np.repeat(shift, count) + np.arange(count.sum())])
+            # at most AT_ONCE pieces, or one text: places in 32 bits
+            shift = (begin[which] - (np.cumsum(count) - count)).astype(np.int32)
+            place = np.repeat(shift, count)
+            place += np.arange(len(place), dtype=np.int32)
+            tokens.append(np.frombuffer(b"".join(ids), self.dtype)[place])
             counts.append(count)
         data = b"".join(t.tobytes() for t in tokens)
         before = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) * width if counts else np.zeros(1, np.int64)
@@ -132,11 +140,14 @@ class Encoder:
         if not self.by_piece:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
+        raw = [t.encode() for t in texts]
+        hits = np.flatnonzero(_SUSPECT[np.frombuffer(b"".join(raw), np.uint8)])
+        ends = np.cumsum([0, *map(len, raw)], dtype=np.int64)
+        odd = [i for i in np.flatnonzero(np.diff(np.searchsorted(hits, ends))).tolist() if _OTHER_SPACE.search(texts[i])]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self.by_pieces([texts[i].encode() for i in rest])):
+        for i, ids in zip(rest, self.by_pieces([raw[i] for i in rest])):
             out[i] = ids
         return out
 
