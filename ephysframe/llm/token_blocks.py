@@ -306,7 +306,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocab: int, end_id: int =
     width = 2 if vocab <= 1 << 16 else 4
     rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    # by text hash too: rows of one id, null among them, are not one partition's
+    order = ("id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     spark = docs.sparkSession
     raw = scratch(spark, "token-ids")
     schema = f"part int, blk int, ids array<{kind}>, lengths array<bigint>, tokens binary"
