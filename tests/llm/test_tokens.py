@@ -88,6 +88,24 @@ def test_folder_of_odd_rows(spark):
         (r.start, len(r.tokens), zlib.crc32(np.array(r.tokens, "<u4").tobytes())) for r in got]
 
 
+def test_rows_of_one_id_are_dealt_to_several_ranges(spark):
+    texts = [f"row {i} of one id" for i in range(600)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, "last")], "doc_id long, text string")
+    path = scratch(spark, "test-tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_blocks.write(docs, path, BPE, 50_257)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.where("exists(ids, i -> i is null)").select("part").distinct().count() > 1
+    got = sorted(token_blocks.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.id for r in got] == [None] * 600 + [1]
+    assert [r.start for r in got] == np.cumsum([0, *(len(r.tokens) for r in got[:-1])]).tolist()
+    tokenizer = Tokenizer.from_file(BPE)
+    assert sorted(tuple(r.tokens) for r in got) == sorted((*tokenizer.encode(t, add_special_tokens=False).ids, 0) for t in [*texts, "last"])
+
+
 def test_query_against_whole_encodings(spark):
     sf = "/root/testdata/sf0.001"
     tokenizer = Tokenizer.from_file(BPE)
