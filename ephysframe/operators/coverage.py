@@ -161,15 +161,8 @@ def contains_any(values: DataFrame, needles: DataFrame) -> DataFrame:
     return subs.join(needles.select("term_idx", F.col("acronym").alias("needle")), "needle").select("term_idx", "value").distinct()
 
 
-def _probe_tracks(
-    electrodes: DataFrame,
-    electrode_groups: DataFrame,
-    midline: float | Column,
-    include_right_hemisphere: bool,
-    implant: str | None,
-    probe_letter: str | None,
-) -> DataFrame:
-    """Electrodes with their insertion's implant location; the insertion filters come first."""
+def _sites(electrodes: DataFrame, midline: float | Column, include_right_hemisphere: bool, probe_letter: str | None) -> DataFrame:
+    """Electrodes of the hemisphere and of the probe letter, if one is given."""
     e = electrodes.select(
         "session_id",
         F.col("group_name").alias("electrode_group_name"),
@@ -181,21 +174,27 @@ def _probe_tracks(
     )
     midline_col = midline if isinstance(midline, Column) else F.lit(float(midline))
     e = _hemisphere_filter(e.withColumn("is_right_hemisphere", F.col("ccf_ml") > midline_col), include_right_hemisphere)
+    return e.where(all_of(_insertion_filters(None, probe_letter)))
+
+
+def _probe_tracks(sites: DataFrame, electrode_groups: DataFrame, implant: str | None, probe_letter: str | None) -> DataFrame:
+    """Electrodes with their insertion's implant location; the insertion filters come first."""
     groups = electrode_groups.select(
         "session_id", F.col("name").alias("electrode_group_name"), F.col("location").alias("implant_location")
     ).where(all_of(_insertion_filters(implant, probe_letter)))
-    if probe_letter:
-        e = e.where(_insertion_filters(None, probe_letter)[0])
-    return e.join(groups, PROBE_KEY)
+    return sites.join(groups, PROBE_KEY)
 
 
-def _reached(tracks: DataFrame, filter_area: str | None, filter_type: str, atlas: Atlas | None) -> DataFrame:
-    """Probes (session, electrode group) of which, for EVERY term, some electrode's label matches."""
+def _reached(sites: DataFrame, filter_area: str | None, filter_type: str, atlas: Atlas | None) -> DataFrame:
+    """Probes (session, electrode group) of which, for EVERY term, some electrode's label matches.
+
+    The terms are matched with the distinct pairs of labels, which are few and
+    shared by many electrodes, so only electrodes with a matching label are
+    gathered by probe, a flag a term.
+    """
     terms = split_terms(filter_area)
-    # a probe's distinct labels only: structures are few and shared by many electrodes
-    labelled = tracks.select(*PROBE_KEY, F.explode(F.array("location", "structure")).alias("value")).where(
-        F.col("value").isNotNull()
-    ).distinct()
+    pair = ["location", "structure"]
+    labelled = sites.select(*pair).distinct().select(*pair, F.explode(F.array(*pair)).alias("value")).where(F.col("value").isNotNull())
     if filter_type == "children_of":
         if atlas is None:
             raise ValueError("children_of needs an Atlas")
@@ -203,11 +202,15 @@ def _reached(tracks: DataFrame, filter_area: str | None, filter_type: str, atlas
         labelled = labelled.join(hits, "value")
     else:
         found = F.array(*[F.when(F.col("value").rlike(t), F.lit(i)) for i, t in enumerate(terms)])
-        labelled = labelled.select(*PROBE_KEY, F.explode(F.filter(found, lambda i: i.isNotNull())).alias("term_idx"))
+        labelled = labelled.select(*pair, F.explode(F.filter(found, lambda i: i.isNotNull())).alias("term_idx"))
+    flags = [f"_term{i}" for i in range(len(terms))]
+    matched = labelled.groupBy(*pair).agg(*[F.bool_or(F.col("term_idx") == i).alias(f) for i, f in enumerate(flags)])
+    s, m = sites.alias("s"), matched.alias("m")
+    at_label = s.join(m, all_of([F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in pair]))
     return (
-        labelled.groupBy(*PROBE_KEY)
-        .agg(F.count_distinct("term_idx").alias("terms_hit"))
-        .where(F.col("terms_hit") == len(terms))
+        at_label.groupBy(*[F.col(f"s.{c}") for c in PROBE_KEY])
+        .agg(*[F.bool_or(f"m.{f}").alias(f) for f in flags])
+        .where(all_of([F.col(f) for f in flags]))
         .select(*PROBE_KEY)
     )
 
@@ -243,9 +246,10 @@ def probe_locations(
     case flag does not apply here. Kept electrodes must then coincide with a
     matched unit: same probe, and same position unless ``whole_probe``.
     """
-    e = _probe_tracks(electrodes, electrode_groups, midline, include_right_hemisphere, filter_implant_location, filter_probe_letter)
+    sites = _sites(electrodes, midline, include_right_hemisphere, filter_probe_letter)
+    e = _probe_tracks(sites, electrode_groups, filter_implant_location, filter_probe_letter)
     if split_terms(filter_area):
-        e = e.join(_reached(e, filter_area, filter_type, atlas), PROBE_KEY, "left_semi")
+        e = e.join(_reached(sites, filter_area, filter_type, atlas), PROBE_KEY, "left_semi")
     join_on = PROBE_KEY + ([] if whole_probe else POSITION)
     e = _inside(e.join(matched_units.select(*join_on), join_on, "left_semi"))
     return _coloured(e, tree)
@@ -270,11 +274,12 @@ def probe_keys(
     atlas: Atlas | None = None,
 ) -> DataFrame:
     """C6 without positions: the distinct probes with a row in :func:`probe_locations`."""
-    e = _probe_tracks(electrodes, electrode_groups, midline, include_right_hemisphere, None, None)
+    sites = _sites(electrodes, midline, include_right_hemisphere, None)
+    e = _probe_tracks(sites, electrode_groups, None, None)
     at_units = _inside(e.join(matched_units.select(*PROBE_KEY, *POSITION), PROBE_KEY + POSITION, "left_semi"))
     keys = at_units.join(tree.select(F.col("acronym").alias("location")), "location", "left_semi").select(*PROBE_KEY).distinct()
     if split_terms(filter_area):
-        keys = keys.join(_reached(e, filter_area, filter_type, atlas), PROBE_KEY, "left_semi")
+        keys = keys.join(_reached(sites, filter_area, filter_type, atlas), PROBE_KEY, "left_semi")
     return keys
 
 
@@ -308,11 +313,12 @@ def missed_insertions(
     area when its labels match and a unit of its own lies in the area; both
     are flags of the probe, so electrodes and good units are each read once.
     """
-    e = _probe_tracks(electrodes, electrode_groups, midline, include_right_hemisphere, filter_implant_location, filter_probe_letter)
+    sites = _sites(electrodes, midline, include_right_hemisphere, filter_probe_letter)
+    e = _probe_tracks(sites, electrode_groups, filter_implant_location, filter_probe_letter)
     units = flagged if include_right_hemisphere else flagged.where(F.col("is_right_hemisphere") == F.lit(False))
     probes = units.where(F.col("location").isNotNull()).groupBy(*PROBE_KEY).agg(F.max("in_area").alias("_unit_in_area"))
     if split_terms(filter_area):
-        reached = _reached(e, filter_area, filter_type, atlas).withColumn("_reached", F.lit(True))
+        reached = _reached(sites, filter_area, filter_type, atlas).withColumn("_reached", F.lit(True))
         probes = probes.join(reached, PROBE_KEY, "left")
     else:
         probes = probes.withColumn("_reached", F.lit(True))

@@ -1,6 +1,7 @@
 """Gates (C1, C2, C12) and coverage operators on small domain fixtures."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,27 @@ def test_probe_tracks_and_missed(domain, spark):
     assert [r.ccf_ap for r in only.collect()] == [200.0]
 
 
+def test_probes_are_gathered_without_their_labels(spark):
+    el = [("s1", "probeA", "VISp1", None), ("s1", "probeA", None, "MOs"), ("s1", "probeB", "VISp1", "VISp"), ("s1", "probeB", "VISp1", "VISp"),
+          ("s2", "probeA", None, None), ("s2", "probeB", None, "VISpMOs"), ("s3", "probeA", "MOs1", "MOs"), (None, "probeA", "VISp1", "MOs")]
+    sites = spark.createDataFrame([(a, b, 1.0, 1.0, 1.0, c, d) for a, b, c, d in el],
+                                  "session_id string, group_name string, x double, y double, z double, location string, structure string")
+    groups = spark.createDataFrame([(s, p, "E1") for s in ("s1", "s2", "s3") for p in ("probeA", "probeB")], "session_id string, name string, location string")
+    tree = spark.createDataFrame([("VISp1",), ("MOs1",)], "acronym string")
+    units = sites.select("session_id", F.col("group_name").alias("electrode_group_name"), *[F.lit(1.0).alias(c) for c in coverage.POSITION])
+    for area in ("VIS, MOs", "VIS", "MOs, MOs", "none, VIS"):
+        out = coverage.probe_locations(sites, groups, units, tree, 125.0, area, "contains")
+        labels = {}
+        for a, b, *own in el:
+            labels.setdefault((a, b), set()).update(filter(None, own))
+        reached = {k for k, own in labels.items() if all(any(t in v for v in own) for t in area.split(", "))}
+        want = sorted((a, b, c) for a, b, c, _ in el if a and (a, b) in reached and c in ("VISp1", "MOs1"))
+        assert sorted((r.session_id, r.electrode_group_name, r.location) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        grouped = [set(re.sub(r"#\d+L?", "", g).split(", ")) for g in re.findall(r"Aggregate \[([^\]]*)\]", plan)]
+        assert any("location" in g for g in grouped) and all(g <= set(coverage.PROBE_KEY) for g in grouped if "session_id" in g)
+
+
 def test_unit_counts_and_breakdown(domain):
     counts = coverage.unit_counts(domain["good"])
     rows = {(r.session_id, r.location): r for r in counts.collect()}
