@@ -16,6 +16,7 @@ block).
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -42,20 +43,37 @@ _KIND = np.array([WIDE if b > 127 else WORD if chr(b).isalnum() else SPACE if ch
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: First UTF-8 bytes of that white space: only texts that hold one are searched for it.
 _SUSPECT = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
-#: Encoded pieces that a Python worker remembers, in two generations of so many.
+#: Pieces that a Python worker remembers, of up to 16 ids each on average, and those of a run.
 REMEMBERED = 800_000
 #: Pieces looked up at once, and bytes of texts encoded at once (one text at least).
-AT_ONCE, CHARS = 1 << 20, 1 << 22
+AT_ONCE, CHARS = 1 << 21, 1 << 23
+#: New pieces encoded as one string: few, as the tokenizer takes longer for a character of a long one.
+JOINED = 256
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
+def _gather(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at ``begin``, one after another."""
+    # at most AT_ONCE pieces, or one text: places in 32 bits
+    place = np.repeat((begin - (np.cumsum(size) - size)).astype(np.int32), size)
+    place += np.arange(len(place), dtype=np.int32)
+    return ids[place]
+
+
+def _bytes(texts: pa.LargeStringArray) -> tuple[pa.Buffer, np.ndarray]:
+    """The texts' bytes one after another, and where each begins and the last ends."""
+    _, where, data = texts.buffers()
+    offsets = np.frombuffer(where, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    return (data if data is not None else pa.py_buffer(b""))[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 class Encoder:
     """The tokenizer with a memory of pieces.
 
     A byte-level tokenizer never joins a character with white space that
     follows it, nor a letter or digit with anything else that follows it, so a
     text's ids are the ids of its pieces. Other tokenizers, and texts with other
-    kinds of white space, get whole texts.
+    kinds of white space or with an added token, get whole texts.
     """
 
     def __init__(self, path: str, width: int):
@@ -66,89 +84,96 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces = pa.array([], pa.large_string())
+        self.ids, self.begin, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        joined, alone = [], []
-        for p in pieces:
-            if (found := self.old.get(p)) is not None:
-                self.new[p] = found
-            else:
-                (joined if p[0] in " \n\t\r" and p[-1] not in " \n\t\r" else alone).append(p)
-        for p, ids in zip(alone, self.whole(alone)):
-            self.new[p] = ids
-        for i in range(0, len(joined), 4096):
-            part = joined[i:i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(p.encode()) for p in part])
-            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            for p, a, b in zip(part, np.append(0, at[:-1]).tolist(), at.tolist()):
-                self.new[p] = data[a * width:b * width]
-
-    def known(self, pieces: list[str]) -> list[bytes]:
-        """The ids of different pieces, remembered or learnt."""
-        ids = list(map(self.new.get, pieces))
-        missing = [i for i, found in enumerate(ids) if found is None]
-        if len(self.new) + len(missing) > REMEMBERED and missing:
-            self.old, self.new = self.new, {}
-        self.learn([pieces[i] for i in missing])
-        for i in missing:
-            ids[i] = self.new[pieces[i]]
-        return ids
-
-    def by_pieces(self, texts: list[bytes]) -> Iterator[bytes]:
+    def learn(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, begin, size)`` of the pieces; those that may follow one another are encoded in runs."""
+        body, offsets = _bytes(pieces)
+        body = np.frombuffer(body, np.uint8)
+        joined = (_KIND[body[offsets[:-1]]] == SPACE) & (_KIND[body[offsets[1:] - 1]] != SPACE)
+        text, ends = _bytes(pieces.filter(pa.array(joined)))
+        cuts = [*range(0, len(ends) - 1, JOINED), len(ends) - 1]
+        runs = [text[a:b].to_pybytes().decode() for a, b in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist())]
+        ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        alone = [np.frombuffer(x, self.dtype) for x in self.whole(pieces.filter(pa.array(~joined)).to_pylist())]
+        ids = np.concatenate([np.zeros(0, self.dtype), *ids])
+        at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[1:]) + 1
+        size = np.zeros(len(pieces), np.int64)
+        size[joined] = np.diff(at, prepend=0)
+        size[~joined] = list(map(len, alone))
+        begin = np.zeros(len(pieces), np.int64)
+        for own in (joined, ~joined):
+            begin[own] = np.cumsum(size[own]) - size[own]
+        begin[~joined] += len(ids)
+        return np.concatenate([ids, *alone]), begin, size
+
+    def known(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of different pieces, remembered or learnt, begin, and how many they are."""
+        at = pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = at < 0
+        if max(len(self.pieces) + np.count_nonzero(missing), len(self.ids) // 16) > REMEMBERED:
+            # only what this run has again stays
+            kept = at[~missing]
+            self.ids, self.size = _gather(self.ids, self.begin[kept], self.size[kept]), self.size[kept]
+            self.pieces, self.begin = self.pieces.take(pa.array(kept)), np.cumsum(self.size) - self.size
+            at[~missing] = np.arange(len(kept))
+        if missing.any():
+            new = pieces.filter(pa.array(missing))
+            ids, begin, size = self.learn(new)
+            at[missing] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+            self.begin, self.size = np.append(self.begin, begin + len(self.ids)), np.append(self.size, size)
+            self.pieces, self.ids = pa.concat_arrays([self.pieces, new]), np.append(self.ids, ids)
+        return self.begin[at], self.size[at]
+
+    def by_pieces(self, texts: pa.LargeStringArray) -> Iterator[bytes]:
         """The ids of each text: cut into pieces, each different one of a run looked up once, gathered by its number."""
-        body = b"".join(texts)
-        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        kind = _KIND[np.frombuffer(body, np.uint8)]
-        first = np.zeros(len(body) + 1, bool)
+        buffer, ends = _bytes(texts)
+        kind = _KIND[np.frombuffer(buffer, np.uint8)]
+        first = np.zeros(len(kind) + 1, bool)
         first[1:-1] = ((kind[1:] == SPACE) & (kind[:-1] != SPACE)) | ((kind[1:] == MARK) & (kind[:-1] == WORD))
-        first[0] = first[ends] = True
+        first[ends] = True
         edges = np.flatnonzero(first)
-        n, width, buffer = len(edges) - 1, self.dtype.itemsize, pa.py_buffer(body)
-        tokens, counts = [], []
+        n, width = len(edges) - 1, self.dtype.itemsize
+        tokens, counts = [], [np.zeros(1, np.int64)]
         for lo in range(0, n, AT_ONCE):
             own = edges[lo:lo + AT_ONCE + 1]
             pieces = pa.LargeStringArray.from_buffers(len(own) - 1, pa.py_buffer(own.astype(np.int64)), buffer).dictionary_encode()
-            ids = self.known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+            begin, size = self.known(pieces.dictionary)
             which = pieces.indices.to_numpy()
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-            begin = np.cumsum(size) - size
-            count = size[which]
-            # at most AT_ONCE pieces, or one text: places in 32 bits
-            shift = (begin[which] - (np.cumsum(count) - count)).astype(np.int32)
-            place = np.repeat(shift, count)
-            place += np.arange(len(place), dtype=np.int32)
-            tokens.append(np.frombuffer(b"".join(ids), self.dtype)[place])
-            counts.append(count)
-        data = b"".join(t.tobytes() for t in tokens)
-        before = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) * width if counts else np.zeros(1, np.int64)
-        stops = before[np.searchsorted(edges, ends)].tolist()
-        return (data[a:b] for a, b in zip([0, *stops], stops))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            counts.append(size[which])
+            tokens.append(_gather(self.ids, begin[which], counts[-1]).tobytes())
+        data = b"".join(tokens)
+        stops = (np.cumsum(np.concatenate(counts))[np.searchsorted(edges, ends)] * width).tolist()
+        return (data[a:b] for a, b in zip(stops, stops[1:]))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not self.by_piece:
-            return self.whole(texts)
+            return self.whole(texts.to_pylist())
+        body, ends = _bytes(texts)
+        hits = np.flatnonzero(_SUSPECT[np.frombuffer(body, np.uint8)])
+        odd = {i for i in np.flatnonzero(np.diff(np.searchsorted(hits, ends))).tolist() if _OTHER_SPACE.search(texts[i].as_py())}
+        plain = body.to_pybytes() if self.added else b""
+        for token in self.added:
+            if token.encode() in plain:
+                odd.update(np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist())
+        if not odd:
+            return list(self.by_pieces(texts))
         out: list[bytes | None] = [None] * len(texts)
-        raw = [t.encode() for t in texts]
-        hits = np.flatnonzero(_SUSPECT[np.frombuffer(b"".join(raw), np.uint8)])
-        ends = np.cumsum([0, *map(len, raw)], dtype=np.int64)
-        odd = [i for i in np.flatnonzero(np.diff(np.searchsorted(hits, ends))).tolist() if _OTHER_SPACE.search(texts[i])]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self.by_pieces([raw[i] for i in rest])):
-            out[i] = ids
+        rest = [i for i in range(len(texts)) if i not in odd]
+        for own, found in ((sorted(odd), self.whole(texts.take(pa.array(sorted(odd))).to_pylist())), (rest, self.by_pieces(texts.take(pa.array(rest, pa.int64()))))):
+            for i, ids in zip(own, found):
+                out[i] = ids
         return out
 
 
@@ -165,6 +190,8 @@ def _tokenise(path: str, width: int, end_id: int, block: int):
     """Blocks ``(part, blk, ids, lengths, tokens)`` of the rows of a partition, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task has one core: the tokenizer's own threads would only take time from the other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoders.get((path, width)) or _encoders.setdefault((path, width), Encoder(path, width))
         end = np.array([end_id], encoder.dtype).tobytes()
         held: list = [[], [], []]
@@ -181,7 +208,7 @@ def _tokenise(path: str, width: int, end_id: int, block: int):
                 if not few.num_rows:
                     continue
                 part = few.column("part")[0].as_py()
-                for i, ids in zip(few.column("id").to_pylist(), encoder.encode(few.column("text").to_pylist())):
+                for i, ids in zip(few.column("id").to_pylist(), encoder.encode(few.column("text"))):
                     held[0].append(i)
                     held[1].append(len(ids) // width + 1)
                     held[2] += [ids, end]

@@ -1,5 +1,6 @@
 """Token blocks: exact round trips, independent segments, checksums, order."""
 
+import sys
 import zlib
 
 import numpy as np
@@ -69,6 +70,43 @@ def test_runs_of_pieces_and_texts(monkeypatch, at_once):
     assert len(few) > 1 and [t for b in few for t in b.column("text").to_pylist()] == texts
 
 
+def test_no_call_for_each_piece():
+    encoder = token_blocks.Encoder(BPE, 2)
+    texts = ["".join(f" w{i:x}q" for i in range(j, j + 1000)) for j in range(0, 20_000, 1000)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = encoder.encode(texts), encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert got == (want, want)
+    assert calls < 5_000  # of 20,000 different pieces, learnt and looked up
+
+
+def test_pieces_kept_through_a_turn_over(monkeypatch):
+    monkeypatch.setattr(token_blocks, "REMEMBERED", 6)
+    encoder = token_blocks.Encoder(BPE, 2)
+    learnt, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda pieces: learnt.append(pieces.to_pylist()) or learn(pieces))
+    for text in ("a. b c", "d c b e f", "f b\t c", " b c"):
+        assert encoder.encode([text]) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+    assert learnt == [["a", ".", " b", " c"], ["d", " e", " f"], ["f", "\t c"], [" c"]]
+
+
+def test_added_tokens_inside_texts():
+    encoder = token_blocks.Encoder(BPE, 2)
+    texts = ["a <|endoftext|> b", "x y", "<|endoftext|>", "", "it's<|endoftext|>\n", "<|endoftext"]
+    assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    sliced = pa.array(["\xa0 left out", *texts, "é left out"]).slice(1, len(texts))
+    assert encoder.encode(sliced) == encoder.encode(texts)
+
+
 def test_folder_of_odd_rows(spark):
     rows = documents()
     path = scratch(spark, "test-tokens")
