@@ -40,6 +40,7 @@ MAGIC = b"rAN1"
 #: Cutting marks off words leaves fewer different pieces. The pattern has what some tokenizers take for white space too.
 WORD, SPACE, MARK, WIDE = range(4)
 _KIND = np.array([WIDE if b > 127 else WORD if chr(b).isalnum() else SPACE if chr(b) in " \n\t\r" else MARK for b in range(256)], np.uint8)
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: First UTF-8 bytes of that white space: only texts that hold one are searched for it.
 _SUSPECT = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
@@ -77,9 +78,12 @@ class Encoder:
     """
 
     def __init__(self, path: str, width: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a space and ASCII letters are one word for the byte-level pattern too, which takes longer; U+0120 stands for the space
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
@@ -100,21 +104,24 @@ class Encoder:
         body, offsets = _bytes(pieces)
         body = np.frombuffer(body, np.uint8)
         joined = (_KIND[body[offsets[:-1]]] == SPACE) & (_KIND[body[offsets[1:] - 1]] != SPACE)
-        text, ends = _bytes(pieces.filter(pa.array(joined)))
-        cuts = [*range(0, len(ends) - 1, JOINED), len(ends) - 1]
-        runs = [text[a:b].to_pybytes().decode() for a, b in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist())]
-        ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        other = np.concatenate([[0], np.cumsum(~_LETTER[body])])
+        word = joined & (body[offsets[:-1]] == ord(" ")) & (np.diff(other[offsets]) == 1)
+        size, begin = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        found, n = [np.zeros(0, self.dtype)], 0
+        for own, tokenizer, space in ((word, self.words, " \u0120"), (joined & ~word, self.tokenizer, " ")):
+            text, ends = _bytes(pieces.filter(pa.array(own)))
+            cuts = [*range(0, len(ends) - 1, JOINED), len(ends) - 1]
+            runs = [text[a:b].to_pybytes().decode().replace(" ", space) for a, b in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist())]
+            ids = [np.array(e.ids, self.dtype) for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+            ids = np.concatenate([np.zeros(0, self.dtype), *ids])
+            size[own] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[1:]) + 1, prepend=0)
+            begin[own] = n + np.cumsum(size[own]) - size[own]
+            found.append(ids)
+            n += len(ids)
         alone = [np.frombuffer(x, self.dtype) for x in self.whole(pieces.filter(pa.array(~joined)).to_pylist())]
-        ids = np.concatenate([np.zeros(0, self.dtype), *ids])
-        at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[1:]) + 1
-        size = np.zeros(len(pieces), np.int64)
-        size[joined] = np.diff(at, prepend=0)
         size[~joined] = list(map(len, alone))
-        begin = np.zeros(len(pieces), np.int64)
-        for own in (joined, ~joined):
-            begin[own] = np.cumsum(size[own]) - size[own]
-        begin[~joined] += len(ids)
-        return np.concatenate([ids, *alone]), begin, size
+        begin[~joined] = n + np.cumsum(size[~joined]) - size[~joined]
+        return np.concatenate([*found, *alone]), begin, size
 
     def known(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``ids`` those of different pieces, remembered or learnt, begin, and how many they are."""

@@ -70,6 +70,18 @@ def test_runs_of_pieces_and_texts(monkeypatch, at_once):
     assert len(few) > 1 and [t for b in few for t in b.column("text").to_pylist()] == texts
 
 
+def test_words_among_other_pieces():
+    encoder = token_blocks.Encoder(BPE, 2)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from([" ", "the", "Word", "zqx", "e", "é", "Ġ", "'", "s", "1", "\n", ".", "\u212a"]), max_size=30))
+    def check(parts):
+        text = "".join(parts)
+        assert encoder.encode([text]) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+
+    check()
+
+
 def test_no_call_for_each_piece():
     encoder = token_blocks.Encoder(BPE, 2)
     texts = ["".join(f" w{i:x}q" for i in range(j, j + 1000)) for j in range(0, 20_000, 1000)]
