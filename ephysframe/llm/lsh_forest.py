@@ -29,6 +29,8 @@ TREES, DEPTH, RECALL = 24, 6, 0.99999
 SLACK = 0.17
 #: Classes of a trie's node, classes of a component and their shingles that are compared in one task, about.
 BUCKET_BLOCK, VERIFY_BLOCK, VERIFY_SHINGLES = 1024, 512, 1 << 21
+#: Cells of an incidence matrix that are multiplied at once, about.
+OVERLAP_CELLS = 4 << 20
 #: A character of a word, as in ``bytetext``.
 WORDED = r"[0-9A-Za-z]|[^\x00-\x7F]"
 _draws = np.random.default_rng(20240229).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,8 +179,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
     out = np.zeros((n, n), np.float32)
-    step = max(256, (16 << 20) // max(1, n))
-    for c in range(0, int(shared.sum()), step):
+    # no wider than what is shared: most components are a few texts
+    total = int(shared.sum())
+    step = max(1, min(total, max(256, OVERLAP_CELLS // max(1, n))))
+    for c in range(0, total, step):
         lo, hi = np.searchsorted(column, [c, c + step])
         part = np.zeros((n, step), np.float32)
         part[rows[lo:hi], column[lo:hi] - c] = 1

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -122,6 +123,23 @@ def test_jaccard_blocks(spark, monkeypatch):
         assert (got[i].class_id, got[i].n_links, got[i].component_id) == e
 
 
+def test_overlaps_take_memory_by_what_is_shared(monkeypatch):
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 600).astype(np.uint64))
+    sets = [np.sort(rng.permutation(pool)[:k]) for k in (400, 300, 1, 0, 500)]
+    want = [[len(np.intersect1d(x, y)) if i != j else int(np.isin(x, np.concatenate([*sets[:i], *sets[i + 1:]])).sum()) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    tracemalloc.start()
+    try:
+        got = lsh_forest.overlaps(sets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == want and peak < 1_000_000, peak
+    monkeypatch.setattr(lsh_forest, "OVERLAP_CELLS", 1)  # several steps of 256 columns
+    assert lsh_forest.overlaps(sets).tolist() == want
+    assert lsh_forest.overlaps([pool[:3], pool[3:5]]).tolist() == [[0, 0], [0, 0]]
+
+
 def test_jaccard_query(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, "documents")]
     expect, _ = classes(rows)
